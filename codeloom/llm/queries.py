@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontaminate, mixing, quality_rules, simhash, token_output
+from codeloom.llm import decontaminate, mixing, pii, quality_model, quality_rules, secrets, simhash, token_output, toxicity
 from codeloom.llm.common import read
 
 
@@ -20,6 +20,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _span_digests(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    counts = [secrets.count("spans", k).alias(f"n_{k}") for k in kinds]
+    return rows.select("doc_id", *counts, F.sha2(secrets.joined("spans", base_only=True), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(pii.find_personal_data(read(spark, sf_dir, "documents")), pii.KINDS)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(read(spark, sf_dir, "documents"))
 
@@ -28,10 +37,27 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digest(token_output.encode(read(spark, sf_dir, "documents")))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(secrets.find_secrets(read(spark, sf_dir, "documents")), secrets.KINDS)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = toxicity.fold("doc_id", 5) == 0
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), held_out=held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(read(spark, sf_dir, "documents"))
 
 
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = toxicity.fold("doc_id", 3) == 1
+    out = quality_model.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out=held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
