@@ -1,9 +1,9 @@
 """Toxicity scores from subword bags: n-gram embeddings averaged into a linear softmax, trained jointly.
 
 A word is the mean of the embeddings of its character 3- to 5-grams and of itself (all hashed into BUCKETS rows), a
-passage is the mean of its words, and a linear softmax over two classes scores the passage; a document is as toxic as its most toxic
+passage is the mean of its distinct words, and a linear softmax over two classes scores the passage; a document is as toxic as its most toxic
 passage, so that one insult in a long document isn't averaged away. Embeddings and softmax are trained together, by
-Adam on whole batches, from at most 2 * PER_CLASS labelled documents (those of each class with the smallest hashes of
+gradient steps with momentum on whole batches, from at most 2 * PER_CLASS labelled documents (those of each class with the smallest hashes of
 their ids: a stated bound). As unseen misspellings share most n-grams with the words they come from, they share their vectors.
 
 A share of the sample is kept out of training and sets scale and offset of the scores (Platt's method).
@@ -28,11 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import durable
+from codeloom.llm.simhash import fingerprint
 
 BUCKETS, DIMENSION = 1 << 17, 8
 GRAMS = (3, 4, 5)
-PASSAGE = 24
-PER_CLASS, STEPS, RATE = 2000, 60, 0.05
+#: Words of a passage; its mean is over its distinct words, at least over FLOOR (else a repeated word counts undiluted).
+PASSAGE, FLOOR = 96, 16
+PER_CLASS, STEPS, EVERY = 1500, 60, 5
+#: Longest steps of embeddings, softmax and offsets; documents that must have an n-gram for it to get an embedding; prior count.
+RATES, LEAST, PRIOR = (0.1, 0.02, 0.05), 4, 2.0
+#: Fingerprints of the sample's near copies differ by so many bits at most; those of unrelated texts by 32 on average.
+NEAR_BITS = 10
 CACHE_WORDS = 300_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -73,12 +79,8 @@ class Model:
         for x in w:
             if x not in known:
                 known[x] = float(self.direction[grams(x)].mean())
-        if not w:
-            return self.bias
-        total = np.concatenate(([0.0], np.cumsum(np.fromiter((known[x] for x in w), dtype=np.float64, count=len(w)))))
-        a = passages(len(w))
-        b = np.minimum(a + PASSAGE, len(w))
-        return float(((total[b] - total[a]) / (b - a)).max()) + self.bias
+        parts = (set(w[a : a + PASSAGE]) for a in passages(len(w)))
+        return max(sum(known[x] for x in part) / max(len(part), FLOOR) for part in parts) + self.bias
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.scale * self.logit(text) + self.offset, -50, 50))))
@@ -95,11 +97,11 @@ def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS, seed:
     for d, text in enumerate(texts):
         ids = np.array([index.setdefault(x, len(index)) for x in words(text)], dtype=np.int64)
         for a in passages(len(ids)):
-            part = ids[a : a + PASSAGE]
+            part = np.unique(ids[a : a + PASSAGE])
             word_of.append(part)
             passage_of.append(np.full(len(part), len(sizes)))
             doc_of.append(d)
-            sizes.append(max(len(part), 1))
+            sizes.append(max(len(part), FLOOR))
     word_of, passage_of, doc_of, sizes = np.concatenate(word_of), np.concatenate(passage_of), np.array(doc_of), np.array(sizes)
     own = [grams(x) for x in index]
     counts = np.array([len(g) for g in own], dtype=np.int64)
@@ -107,9 +109,19 @@ def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS, seed:
     share = 1.0 / np.maximum(counts, 1)
     rng = np.random.default_rng(seed)
     held = rng.random(len(y)) < 0.2
-    weight = np.where(y == 1, 0.5 / max((y[~held] == 1).sum(), 1), 0.5 / max((y[~held] == 0).sum(), 1)) * ~held
-    emb, soft, bias = rng.normal(0, 0.01, (BUCKETS, DIMENSION)), np.zeros((DIMENSION, 2)), np.zeros(2)
-    soft[:, 1] = rng.normal(0, 1, DIMENSION)
+    weight = 1.0 / copies(texts) * ~held
+    for c in (0, 1):
+        weight[y == c] *= 0.5 / max(weight[y == c].sum(), 1e-9)
+    # start: along one direction the log odds of the documents with an n-gram, noise in the others
+    once = 1.0 / copies(texts) * ~held
+    in_toxic, in_clean = (_in_documents(gram, gram_word, word_of, doc_of[passage_of], once * (y == c)) for c in (1, 0))
+    n_toxic, n_clean = (once * (y == 1)).sum(), (once * (y == 0)).sum()
+    odds = np.log((in_toxic + PRIOR) / (n_toxic + 2 * PRIOR)) - np.log((in_clean + PRIOR) / (n_clean + 2 * PRIOR)) - np.log((n_clean + 2 * PRIOR) / (n_toxic + 2 * PRIOR)) * (in_toxic + in_clean == 0)
+    odds[in_toxic + in_clean < LEAST] = 0
+    emb, soft, bias = rng.normal(0, 0.01, (BUCKETS, DIMENSION)), rng.normal(0, 0.1, (DIMENSION, 2)), np.zeros(2)
+    emb[:, 0] += odds
+    soft[0] = -2, 2
+    known = in_toxic + in_clean >= LEAST
     starts = np.flatnonzero(np.diff(doc_of, prepend=-1))
 
     def logits(emb, soft, bias):
@@ -121,28 +133,57 @@ def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS, seed:
         order = np.lexsort((z, doc_of))
         return order[np.append(starts[1:], len(z)) - 1]
 
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, soft, bias)]
-    for t in range(1, steps + 1):
+    speed = [np.zeros_like(p) for p in (emb, soft, bias)]
+    can_check, kept = 0 < y[held].sum() < held.sum(), (np.inf, 0, None, 0.0, 1.0, 0.0)
+    for t in range(steps):
         z = logits(emb, soft, bias)
         # a clean document has no toxic passage: all of its passages teach; a toxic one has at least one
         best = top(z)
+        if can_check and t % EVERY == 0:
+            fit = _platt(z[best][held], y[held])
+            if (loss := _loss(fit[0] * z[best][held] + fit[1], y[held])) < kept[0]:
+                kept = (loss, t, emb @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]), *fit)
         g = np.zeros(len(z))
-        g[best] = weight * (1 / (1 + np.exp(-np.clip(z[best], -50, 50))) - y)
+        p1 = 1 / (1 + np.exp(-np.clip(z[best], -50, 50)))
+        g[best] = weight * (p1 - y)
         clean = (y[doc_of] == 0) & (weight[doc_of] > 0)
         per_doc = np.bincount(doc_of, minlength=len(y))[doc_of]
         g[clean] += weight[doc_of[clean]] / per_doc[clean] / (1 + np.exp(-np.clip(z[clean], -50, 50)))
         by_word = np.bincount(word_of, (g / sizes)[passage_of], minlength=len(own)) * share
-        by_gram = np.bincount(gram, by_word[gram_word], minlength=BUCKETS)
+        by_gram = np.bincount(gram, by_word[gram_word], minlength=BUCKETS) * known
         d_soft = by_gram @ emb
         grads = (np.outer(by_gram, soft[:, 1] - soft[:, 0]), np.stack((-d_soft, d_soft), axis=1), np.array([-g.sum(), g.sum()]))
-        for p, grad, s in zip((emb, soft, bias), grads, state, strict=True):
-            s[0] = 0.9 * s[0] + 0.1 * grad
-            s[1] = 0.99 * s[1] + 0.01 * grad**2
-            p -= RATE * (s[0] / (1 - 0.9**t)) / (np.sqrt(s[1] / (1 - 0.99**t)) + 1e-9)
-    z = logits(emb, soft, bias)
-    z = z[top(z)]
-    scale, offset = _platt(z[held], y[held]) if 0 < y[held].sum() < held.sum() else (1.0, 0.0)
-    return Model(emb @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]), scale, offset)
+        # one step length for each group: rare n-grams must not move like frequent ones
+        for p, grad, v, rate in zip((emb, soft, bias), grads, speed, RATES, strict=True):
+            v *= 0.8
+            v += rate * grad / (np.abs(grad).max() + 1e-12)
+            p -= v
+    if can_check:  # the step after which the texts kept out fitted best: later ones learn wrong labels by heart
+        return Model(*kept[2:])
+    return Model(emb @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]))
+
+
+def _loss(z: np.ndarray, y: np.ndarray) -> float:
+    """Logistic loss with both classes weighing the same."""
+    v = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    return float((v * np.logaddexp(0, np.where(y == 1, -z, z))).sum())
+
+
+def copies(texts: list[str | None]) -> np.ndarray:
+    """How many of the sample's texts (itself included) are near copies of each: they share one weight, and one label's error."""
+    fp = np.array([fingerprint(x) for x in texts], dtype=np.int64).view(np.uint64)
+    return np.array([(np.bitwise_count(fp ^ x) <= NEAR_BITS).sum() for x in fp])
+
+
+def _in_documents(gram: np.ndarray, gram_word: np.ndarray, word_of: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The weight of the documents in which each bucket is found."""
+    kept = weight[doc] > 0
+    pairs = np.unique(np.stack((doc[kept], word_of[kept]), axis=1), axis=0)
+    first = np.searchsorted(gram_word, np.arange(gram_word.max() + 2 if len(gram_word) else 1))
+    n = first[pairs[:, 1] + 1] - first[pairs[:, 1]]
+    at = np.repeat(first[pairs[:, 1]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    both = np.unique(np.repeat(pairs[:, 0], n) * BUCKETS + gram[at])
+    return np.bincount(both % BUCKETS, weight[both // BUCKETS], minlength=BUCKETS)
 
 
 def _platt(z: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
