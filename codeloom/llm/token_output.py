@@ -18,6 +18,7 @@ other in the order of their texts; null ids come first. Ids must be below 2^16 -
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from uuid import uuid4
@@ -35,32 +36,63 @@ SHARD_IDS = 2_000_000
 FEW_SHARDS = 50_000
 BASE, MAX_RULES = 49_408, 16_000
 ROUNDS, LEAST = 4, 64
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_PIECES = 300_000, 500_000
 
 SCHEMA = "doc_ids array<bigint>, first_id long, n_ids long, lengths binary, symbols binary, rules binary, spans binary"
 
 
+#: How the vocabulary file cuts lower-case text of the Latin-1 range: endings after an apostrophe, letters, single digits, other signs.
+_LETTER, _DIGIT = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\x09-\x0d\x20\x85\xa0{_LETTER}{_DIGIT}]+")
+_LATIN = re.compile(r"[\x00-\xff]*")
+
+
+def _visible_bytes() -> dict[int, int]:
+    """Byte-level vocabularies write a byte as itself if it is printable in Latin-1, and else as the next code point from 256."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+
+
 class WordEncoder:
-    """encode() of the tokenizers library, by words: this vocabulary never joins what ASCII white space separates."""
+    """encode() of the tokenizers library, by words: this vocabulary never joins what ASCII white space separates.
+
+    Words that were met before come from a table. Of new words in Latin-1 only the pieces that are new go to the
+    library's model; other words, and words with signs of special tokens, go through the library as a whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.known, self.pieces, self.bytes = self.tokenizer.model, {}, {}, _visible_bytes()
+
+    def _new(self, word: bytes) -> bytes:
+        text = word.decode("utf-8")
+        if b"<|" in word or not _LATIN.fullmatch(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        out, pieces = [], self.pieces
+        for p in _PIECE.findall(text.lower()):
+            ids = pieces.get(p)
+            if ids is None:
+                tokens = self.model.tokenize(p.encode().decode("latin-1").translate(self.bytes))
+                ids = pieces[p] = b"".join([t.id.to_bytes(2, "little") for t in tokens])
+            out.append(ids)
+        return b"".join(out)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint16 ids of each text."""
-        split = [(x or "").encode("utf-8", "surrogatepass").split() for x in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known, new = self.known, {w for ws in split for w in ws if w not in self.known}
-        if new:
-            order = list(new)
-            for at in range(0, len(order), 20_000):
-                part = order[at : at + 20_000]
-                encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-                known.update((w, np.array(e.ids, dtype="<u2").tobytes()) for w, e in zip(part, encoded, strict=True))
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        known, out = self.known, []
+        for x in texts:
+            words = (x or "").encode("utf-8", "surrogatepass").split()
+            for w in words:
+                if w not in known:
+                    known[w] = self._new(w)
+            out.append(b"".join([known[w] for w in words]))
+        return out
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
