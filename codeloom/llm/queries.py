@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontaminate, mixing, pii, quality_model, quality_rules, secrets, simhash, token_output, toxicity
+from codeloom.llm import decontaminate, mixing, pii, quality_model, quality_rules, secrets, simhash, substring_dedup, token_output, toxicity
 from codeloom.llm.common import read
 
 
@@ -13,6 +13,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return out.withColumn("spans", spans)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select(
