@@ -39,14 +39,13 @@ def _count(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]", ""))).cast("long")
 
 
-def window_hashes(w: Column, window: int = WINDOW) -> Column:
-    """A hash for each window of so many words (a power of two): hashes of 2, 4, 8 words are built by doubling."""
-    h, step = F.transform(w, lambda x: F.xxhash64(x)), 1
-    while step < window:
-        size = F.greatest(F.size(h) - step, F.lit(0))
-        h = F.zip_with(F.slice(h, F.lit(1), size), F.slice(h, F.lit(step + 1), size), lambda x, y: F.xxhash64(x, y))
-        step *= 2
-    return h
+def window_hashes(h: str, window: int = WINDOW) -> Column:
+    """A hash for each window of so many words, from the column h of the words' hashes.
+
+    h must be a column and not an expression, which would be evaluated anew for each word of a window.
+    """
+    starts = F.slice(F.col(h), F.lit(1), F.greatest(F.size(h) - (window - 1), F.lit(0)))
+    return F.transform(starts, lambda x, i: F.xxhash64(x, *(F.get(F.col(h), i + k) for k in range(1, window))))
 
 
 def features(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
@@ -62,8 +61,9 @@ def features(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         _count(F.col("_t"), "A-Z").alias("n_capitals"),
         _count(F.col("_t"), "!").alias("n_shouts"),
-        F.when(F.size("_w") > WINDOW, window_hashes(F.col("_w"))).alias("_h"),
+        F.when(F.size("_w") > WINDOW, F.transform("_w", lambda x: F.xxhash64(x))).alias("_g"),
     )
+    df = df.withColumn("_h", window_hashes("_g")).drop("_g")
     # Words in windows found twice or more: sorting (hash, position) puts equal windows side by side; each of their
     # starts, in order, adds the words up to the next start, or a whole window.
     order = F.sort_array(F.transform(F.col("_h"), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
