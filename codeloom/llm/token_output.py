@@ -44,7 +44,7 @@ SCHEMA = "doc_ids array<bigint>, first_id long, n_ids long, lengths binary, symb
 #: How the vocabulary file cuts lower-case text of the Latin-1 range: endings after an apostrophe, letters, single digits, other signs.
 _LETTER, _DIGIT = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\x09-\x0d\x20\x85\xa0{_LETTER}{_DIGIT}]+")
-_LATIN = re.compile(r"[\x00-\xff]*")
+_LATIN = re.compile(r"[\x00-\x1b\x20-\xff]*")  # without the separators that Python takes for white space
 
 
 def _visible_bytes() -> dict[int, int]:
@@ -57,41 +57,50 @@ class WordEncoder:
     """encode() of the tokenizers library, by words: this vocabulary never joins what ASCII white space separates.
 
     Words that were met before come from a table. Of new words in Latin-1 only the pieces that are new go to the
-    library's model; other words, and words with signs of special tokens, go through the library as a whole.
+    library's model; other texts, and texts with signs of special tokens, go through the library word by word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.known, self.pieces, self.bytes = self.tokenizer.model, {}, {}, _visible_bytes()
-
-    def _new(self, word: bytes) -> bytes:
-        text = word.decode("utf-8")
-        if b"<|" in word or not _LATIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        out, pieces = [], self.pieces
-        for p in _PIECE.findall(text.lower()):
-            ids = pieces.get(p)
-            if ids is None:
-                tokens = self.model.tokenize(p.encode().decode("latin-1").translate(self.bytes))
-                ids = pieces[p] = b"".join([t.id.to_bytes(2, "little") for t in tokens])
-            out.append(ids)
+        self.model, self.known, self.pieces, self.whole = self.tokenizer.model, {}, {}, {}
+        self.visible, self.id_bytes = _visible_bytes(), [i.to_bytes(2, "little") for i in range(1 << 16)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of new lower-case words."""
+        known, pieces, find, id_bytes = self.known, self.pieces, _PIECE.findall, self.id_bytes
+        for w in words:
+            parts = find(w)
+            for p in parts:
+                if p not in pieces:
+                    tokens = self.model.tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.visible))
+                    pieces[p] = b"".join([id_bytes[t.id] for t in tokens])
+            known[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+
+    def _other(self, text: str) -> bytes:
+        """Ids of a text that isn't plain Latin-1."""
+        whole, out = self.whole, []
+        for w in text.encode("utf-8").split():
+            if w not in whole:
+                whole[w] = np.array(self.tokenizer.encode(w.decode("utf-8"), add_special_tokens=False).ids, dtype="<u2").tobytes()
+            out.append(whole[w])
         return b"".join(out)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint16 ids of each text."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        known, out = self.known, []
-        for x in texts:
-            words = (x or "").encode("utf-8", "surrogatepass").split()
-            for w in words:
-                if w not in known:
-                    known[w] = self._new(w)
-            out.append(b"".join([known[w] for w in words]))
+        for table, most in ((self.known, CACHE_WORDS), (self.whole, CACHE_WORDS), (self.pieces, CACHE_PIECES)):
+            if len(table) > most:
+                table.clear()
+        out, get = [], self.known.__getitem__
+        for text in texts:
+            if text and (not _LATIN.fullmatch(text) or "<|" in text):
+                out.append(self._other(text))
+                continue
+            words = (text or "").lower().split()
+            if new := set(words).difference(self.known):
+                self._learn(new)
+            out.append(b"".join(map(get, words)))
         return out
 
 
@@ -103,19 +112,23 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple
         if len(x) < 2 or free <= 0:
             break
         pair = (x[:-1].astype(np.uint32) << np.uint32(16)) | x[1:]
-        values, counts = _frequent(pair, least)
+        slot = (pair * np.uint32(2654435761)) >> np.uint32(12)
+        values, counts = _frequent(pair, slot, least)
         if len(counts) > (most := min(free, max(1, MAX_RULES // rounds))):
             top = np.argpartition(-counts, most - 1)[:most]
             values, counts = values[top], counts[top]
         if not len(values):
             break
-        values = np.sort(values)
-        table = np.zeros(1 << 16, dtype=bool)
-        table[values >> np.uint32(16)] = True
-        maybe = np.flatnonzero(table[x[:-1]])
-        where = np.minimum(np.searchsorted(values, pair[maybe]), len(values) - 1)
-        ok = values[where] == pair[maybe]
-        at, rule = maybe[ok], where[ok]
+        values = values[np.argsort(counts, kind="stable")]
+        # a slot stands for one pair, the most frequent of those that fall on it; the others wait for another round
+        rule_at = np.full(1 << 20, -1, dtype=np.int32)
+        rule_at[(values * np.uint32(2654435761)) >> np.uint32(12)] = np.arange(len(values))
+        values = values[rule_at[rule_at >= 0]]
+        rule_at[rule_at >= 0] = np.arange(len(values))
+        rule = rule_at[slot]
+        at = np.flatnonzero(rule >= 0)
+        at = at[values[rule[at]] == pair[at]]
+        rule = rule[at]
         # overlapping occurrences: in a run of consecutive starts take every second one
         starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         offset = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
@@ -131,9 +144,8 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple
     return x, np.array(rules, dtype=np.uint16).reshape(-1, 2), spans
 
 
-def _frequent(pair: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that occur so often, and how often: hashed counts leave out the rare ones, the rest are counted by sorting."""
-    slot = (pair * np.uint32(2654435761)) >> np.uint32(12)
+def _frequent(pair: np.ndarray, slot: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that occur so often, and how often: counts by slot leave out the rare ones, the rest are counted exactly."""
     many = np.bincount(slot, minlength=1 << 20) >= least
     values, counts = np.unique(pair[many[slot]], return_counts=True)
     return values[counts >= least], counts[counts >= least]
