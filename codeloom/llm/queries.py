@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import decontaminate, mixing, pii, quality_model, quality_rules, secrets, simhash, substring_dedup, token_output, toxicity
 from codeloom.llm.common import read
+from codeloom.llm.sql import SQL
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
