@@ -107,17 +107,21 @@ def signed(x: Iterable[int] | np.ndarray) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node of the undirected edges (a, b); isolated nodes don't occur.
 
-    Every round lets each node point at its smallest neighbour, follows that pointer once more, and contracts the
-    edges; at most half of the nodes with edges are left, so rounds grow with the logarithm of the graph. Minima are
-    combined before the shuffle, so that hubs cost no more than other nodes. Each round ends in a checkpoint.
+    Every round lets each node point at its smallest neighbour, doubles the pointers until they all end at a node that has no
+    smaller neighbour, and contracts the edges to those ends; at most half of the nodes with edges are left. So both
+    loops take a number of steps that grows with the logarithm of the graph, also on long paths. Minima are combined
+    before the shuffle, so that hubs cost no more than other nodes. Each step ends in a checkpoint.
     """
     edges = durable(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     labels = durable(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("x"), F.least("a", "low").alias("p"))
-        far = up.select(F.col("x").alias("p"), F.col("p").alias("q"))
-        jump = durable(up.join(far, "p").select("x", "q"))
+        jump, moving = durable(up.withColumnRenamed("p", "q")), True
+        while moving:
+            far = jump.select(F.col("x").alias("q"), F.col("q").alias("end"))
+            step = durable(jump.join(far, "q").select("x", "q", "end"))
+            moving, jump = not step.where("q <> end").isEmpty(), step.select("x", F.col("end").alias("q"))
         labels = durable(
             labels.join(jump, labels["root"] == jump["x"], "left").select("node", F.coalesce("q", "root").alias("root"))
         )
