@@ -115,5 +115,6 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that contain an item; rows with a null id are dropped if any of those contains one."""
-    leaks = durable(contained(docs, items, threshold).select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    leaks = durable(contained(docs, items, threshold).select(F.col("doc_id").alias("leak")).distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))  # one column: no name can clash
+    return rows.join(leaks, F.col("id").eqNullSafe(F.col("leak")), "left_anti").select("row.*")

@@ -61,9 +61,10 @@ def replicate(
     The rates' table has a row for each source; a distribution function has some more entries than its rate.
     """
     rated = rates(docs, weights, source)
-    drawn = docs.join(rated, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_u", uniform(seed, F.col(doc_id)))
-    times = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    copies = drawn.withColumn("_times", times).where("_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col("copy").cast("string"))))
     out = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    return keyed.select(*out, "copy", "mix_key").repartitionByRange("mix_key").sortWithinPartitions("mix_key")
+    rows = docs.select(F.struct(*out).alias("row"), F.col(source).alias("source"), F.col(doc_id).cast("string").alias("id"))  # no name can clash
+    drawn = rows.join(rated, F.col("source").eqNullSafe(F.col("_source"))).withColumn("u", uniform(seed, F.col("id")))
+    times = F.size(F.filter("_cdf", lambda c: c <= F.col("u")))
+    copies = drawn.withColumn("times", times).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce("id", F.lit("null")), F.col("copy").cast("string")))
+    return copies.select("row.*", "copy", key.alias("mix_key")).repartitionByRange("mix_key").sortWithinPartitions("mix_key")

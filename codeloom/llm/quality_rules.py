@@ -166,7 +166,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     are judged like others, by a join on their text's hash.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text")))
-    keyed = docs.withColumn("_key", key)
+    keyed = docs.select(F.struct("*").alias("row"), key.alias("key"))  # whole rows as one column: no name can clash
     verdicts = judged(docs.withColumn("doc_id", key), labels)
-    rejected = durable(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_key")).distinct())
-    return keyed.join(rejected, "_key", "left_anti").select(*docs.columns)
+    rejected = durable(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct())
+    return keyed.join(rejected, "key", "left_anti").select("row.*")

@@ -121,9 +121,8 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     Rows with a null id have no class to speak for and stay.
     """
-    kept = classes(docs, text, doc_id).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = durable(kept.withColumnRenamed("doc_id", "_kept"))
-    held = docs.join(kept, F.col(doc_id) == F.col("_kept"))
-    once = held.where("_rows = 1").select(*docs.columns)
-    again = held.where("_rows > 1").select(*docs.columns).dropDuplicates([doc_id])
-    return once.unionByName(again).unionByName(docs.where(F.col(doc_id).isNull()))
+    kept = durable(classes(docs, text, doc_id).where("doc_id = component_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")))
+    # whole rows as one column, so that no name of theirs can clash
+    held = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id")).join(kept, "id")
+    once, again = held.where("n = 1"), held.where("n > 1").dropDuplicates(["id"])
+    return once.unionByName(again).select("row.*").unionByName(docs.where(F.col(doc_id).isNull()))
