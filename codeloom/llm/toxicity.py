@@ -18,6 +18,7 @@ document, with null, or for repeated ids are counted as they are. Without labels
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -103,9 +104,14 @@ def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS, seed:
             doc_of.append(d)
             sizes.append(max(len(part), FLOOR))
     word_of, passage_of, doc_of, sizes = np.concatenate(word_of), np.concatenate(passage_of), np.array(doc_of), np.array(sizes)
-    own = [grams(x) for x in index]
-    counts = np.array([len(g) for g in own], dtype=np.int64)
-    gram, gram_word = np.concatenate([np.array(g, dtype=np.int64) for g in own]) if own else np.zeros(0, np.int64), np.repeat(np.arange(len(own)), counts)
+    flat, sizes_of = array("q"), array("q")  # not lists: a word's n-grams are a dozen numbers
+    for x in index:
+        own = grams(x)
+        flat.extend(own)
+        sizes_of.append(len(own))
+    gram, counts, n_words = np.array(flat, dtype=np.int64), np.array(sizes_of, dtype=np.int64), len(index)
+    gram_word = np.repeat(np.arange(n_words), counts)
+    del flat, sizes_of, index
     share = 1.0 / np.maximum(counts, 1)
     rng = np.random.default_rng(seed)
     held = rng.random(len(y)) < 0.2
@@ -125,7 +131,7 @@ def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS, seed:
     starts = np.flatnonzero(np.diff(doc_of, prepend=-1))
 
     def logits(emb, soft, bias):
-        word = np.bincount(gram_word, (emb @ (soft[:, 1] - soft[:, 0]))[gram], minlength=len(own)) * share
+        word = np.bincount(gram_word, (emb @ (soft[:, 1] - soft[:, 0]))[gram], minlength=n_words) * share
         return np.bincount(passage_of, word[word_of], minlength=len(sizes)) / sizes + bias[1] - bias[0]
 
     def top(z):
@@ -149,7 +155,7 @@ def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS, seed:
         clean = (y[doc_of] == 0) & (weight[doc_of] > 0)
         per_doc = np.bincount(doc_of, minlength=len(y))[doc_of]
         g[clean] += weight[doc_of[clean]] / per_doc[clean] / (1 + np.exp(-np.clip(z[clean], -50, 50)))
-        by_word = np.bincount(word_of, (g / sizes)[passage_of], minlength=len(own)) * share
+        by_word = np.bincount(word_of, (g / sizes)[passage_of], minlength=n_words) * share
         by_gram = np.bincount(gram, by_word[gram_word], minlength=BUCKETS) * known
         d_soft = by_gram @ emb
         grads = (np.outer(by_gram, soft[:, 1] - soft[:, 0]), np.stack((-d_soft, d_soft), axis=1), np.array([-g.sum(), g.sum()]))
@@ -176,14 +182,18 @@ def copies(texts: list[str | None]) -> np.ndarray:
 
 
 def _in_documents(gram: np.ndarray, gram_word: np.ndarray, word_of: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The weight of the documents in which each bucket is found."""
-    kept = weight[doc] > 0
-    pairs = np.unique(np.stack((doc[kept], word_of[kept]), axis=1), axis=0)
+    """The weight of the documents in which each bucket is found; counted for some documents at a time, to bound the memory."""
     first = np.searchsorted(gram_word, np.arange(gram_word.max() + 2 if len(gram_word) else 1))
-    n = first[pairs[:, 1] + 1] - first[pairs[:, 1]]
-    at = np.repeat(first[pairs[:, 1]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    both = np.unique(np.repeat(pairs[:, 0], n) * BUCKETS + gram[at])
-    return np.bincount(both % BUCKETS, weight[both // BUCKETS], minlength=BUCKETS)
+    out, starts = np.zeros(BUCKETS), np.searchsorted(doc, np.arange(0, len(weight) + 100, 100))  # doc is in order
+    for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+        d, w = doc[lo:hi], word_of[lo:hi]
+        pairs = np.unique(d[weight[d] > 0] * (len(first) + 1) + w[weight[d] > 0])
+        d, w = pairs // (len(first) + 1), pairs % (len(first) + 1)
+        n = first[w + 1] - first[w]
+        at = np.repeat(first[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        both = np.unique(np.repeat(d, n) * BUCKETS + gram[at])
+        out += np.bincount(both % BUCKETS, weight[both // BUCKETS], minlength=BUCKETS)
+    return out
 
 
 def _platt(z: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
