@@ -16,6 +16,7 @@ are 0.5.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -32,23 +33,31 @@ REPEAT = BUCKETS + SHAPES
 ROWS = BUCKETS + SHAPES + 2
 PER_CLASS, HIDDEN, EPOCHS = 4000, 32, 60
 CACHE_WORDS = 300_000
+#: Words whose contexts are added in one pass.
+TOGETHER = 50_000
+
+
+def _kind(c: str) -> str:
+    return "d" if c.isdigit() else ("X" if c.isupper() else "x") if c.isalpha() else c
+
+
+_LATIN = {k: _kind(chr(k)) for k in range(256)}
+_RUN = re.compile(r"(.)\1{2,}", re.DOTALL)
 
 
 def shape(word: str) -> str:
     """The word with capitals as X, other letters as x and digits as d; of equal signs in a row two stay."""
-    out: list[str] = []
-    for c in word:
-        k = "d" if c.isdigit() else ("X" if c.isupper() else "x") if c.isalpha() else c
-        if len(out) < 2 or out[-1] != k or out[-2] != k:
-            out.append(k)
-    return "".join(out)
+    kinds = word.translate(_LATIN)
+    if not kinds.isascii():
+        kinds = "".join(map(_kind, word))
+    return _RUN.sub(r"\1\1", kinds)
 
 
 class Reader:
     """Rows of the table for the words of a text."""
 
     def __init__(self):
-        self.known: dict[bytes, tuple[int, int]] = {}
+        self.known: dict[bytes, int] = {}
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the words, and of their shapes with the repeat marks."""
@@ -56,15 +65,14 @@ class Reader:
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        for x in w:
-            if x not in known:
-                known[x] = (crc32(x) % BUCKETS, BUCKETS + crc32(shape(x.decode("utf-8", "replace")).encode()) % SHAPES)
+        for x in set(w).difference(known):
+            known[x] = (crc32(x) % BUCKETS) * SHAPES + crc32(shape(x.decode("utf-8", "replace")).encode()) % SHAPES
         if not w:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        both = np.array([known[x] for x in w], dtype=np.int64)
+        row, kind = np.divmod(np.fromiter(map(known.__getitem__, w), dtype=np.int64, count=len(w)), SHAPES)
         same = np.zeros(len(w), dtype=np.int64)
-        same[1:] = both[1:, 0] == both[:-1, 0]
-        return both[:, 0], np.concatenate((both[:, 1], REPEAT + same))
+        same[1:] = row[1:] == row[:-1]
+        return row, np.concatenate((BUCKETS + kind, REPEAT + same))
 
 
 def sparse_signs() -> np.ndarray:
@@ -76,15 +84,24 @@ def sparse_signs() -> np.ndarray:
     return out
 
 
-def add_contexts(table: np.ndarray, rows: np.ndarray, extra: np.ndarray, signs: np.ndarray) -> None:
-    """Add each word's neighbours, two to either side and the shapes at its place, to its row and its shape's."""
+def add_contexts(table: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray) -> None:
+    """Add each word's neighbours, two to either side and the shape at its place, to its row, its shape's and its repeat mark's.
+
+    Some texts at a time, with two empty places (row ROWS, a zero vector) after each, so that no word is a neighbour of another text's.
+    """
+    if not texts:
+        return
+    gap = np.full(2, ROWS, dtype=np.int64)
+    rows = np.concatenate([x for r, _ in texts for x in (r, gap)])
+    shapes = np.concatenate([x for r, e in texts for x in (e[: len(r)], gap)])
+    repeats = np.concatenate([x for r, e in texts for x in (e[len(r) :], gap)])
     n = len(rows)
-    near = np.zeros((n + 4, DIMENSION), dtype=np.int64)
+    near = np.zeros((n + 4, DIMENSION), dtype=np.int32)
     own = signs[rows]
     for k in (0, 1, 3, 4):
         near[k : k + n] += own
-    near = near[2 : n + 2] + signs[extra[:n]]
-    for at in (rows, extra[:n], extra[n:]):
+    near = near[2 : n + 2] + signs[shapes]
+    for at in (rows, shapes, repeats):
         order = np.argsort(at, kind="stable")
         first = np.flatnonzero(np.diff(at[order], prepend=-1))
         table[at[order][first], :DIMENSION] += np.add.reduceat(near[order], first, axis=0)
@@ -92,13 +109,21 @@ def add_contexts(table: np.ndarray, rows: np.ndarray, extra: np.ndarray, signs:
 
 
 def _indexer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table, signs, reader = np.zeros((ROWS, DIMENSION + 1), dtype=np.int64), sparse_signs(), Reader()
+    table, reader = np.zeros((ROWS + 1, DIMENSION + 1), dtype=np.int64), Reader()
+    signs = np.concatenate((sparse_signs(), np.zeros((1, DIMENSION), dtype=np.int64))).astype(np.int32)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     for batch in rows:
         for x in batch.column(0).to_pylist():
             r, e = reader(x)
             if len(r):
-                add_contexts(table, r, e, signs)
-    used = np.flatnonzero(table[:, DIMENSION])
+                held.append((r, e))
+                size += len(r)
+            if size > TOGETHER:
+                add_contexts(table, held, signs)
+                held, size = [], 0
+    add_contexts(table, held, signs)
+    used = np.flatnonzero(table[:ROWS, DIMENSION])
     cols = {"row": pa.array(used, pa.int64())} | {f"v{k}": pa.array(table[used, k], pa.int64()) for k in range(DIMENSION + 1)}
     yield pa.record_batch(cols)
 
