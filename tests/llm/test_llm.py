@@ -296,6 +296,14 @@ def test_planted_passages_with_edits(spark):
     assert {r["doc_id"] for r in got} == set(range(30)) and {r["class_id"] for r in got} == {0}
 
 
+def test_short_passages_in_many_surroundings(spark):
+    rng = np.random.default_rng(11)
+    fill = lambda n: [f"f{k}" for k in rng.integers(0, 10**6, n)]
+    rows_ = [(p * 1000 + k, " ".join(fill(30) + [f"p{p}x{i}" for i in range(50)] + fill(30))) for p in range(120) for k in range(40)]
+    got = {r["doc_id"]: r["class_id"] for r in substring_dedup.repeated_passages(spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: i // 1000 * 1000 for i, _ in rows_}
+
+
 def test_binomial_bound(spark):
     from math import comb
 
