@@ -143,11 +143,11 @@ def cutoffs(feats: DataFrame, labels: DataFrame, stratum: str = "lang", total_ra
     )
 
 
-def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", total_rate: float = TOTAL_RATE, delta: float = DELTA) -> DataFrame:
-    """doc_id, the stratum, the features, base_failed, the rules that reject the document, and kept; a row for each row of docs."""
+def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", total_rate: float = TOTAL_RATE, delta: float = DELTA, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the stratum, the columns ``keep``, the features, base_failed, the rules that reject the document, and kept; a row for each row of docs."""
     # cast first: docs may hold other types or further columns of the names used here
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    feats = durable(features(base, "doc_id", "lang"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("lang"), F.col("text").cast("string").alias("text"), *keep)
+    feats = durable(features(base, "doc_id", "lang", *keep))
     safe = cutoffs(feats, labels, "lang", total_rate, delta)
     by_stratum = safe.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
     scored = feats.join(by_stratum, F.coalesce("lang", F.lit("")) == F.col("stratum"), "left")
@@ -163,10 +163,11 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the documents that the rules reject.
 
     A document is known by its id; rows that share an id are rejected together if one of them is. Rows with a null id
-    are judged like others, by a join on their text's hash.
+    are judged like others, and known by their text's hash, which is kept apart from the ids.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text")))
+    own = F.col("doc_id").cast("long")
+    key = F.struct(own.isNull().alias("no_id"), F.coalesce(own, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("id"))
     keyed = docs.select(F.struct("*").alias("row"), key.alias("key"))  # whole rows as one column: no name can clash
-    verdicts = judged(docs.withColumn("doc_id", key), labels)
-    rejected = durable(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct())
+    verdicts = judged(docs.withColumn("_key", key), labels, keep=("_key",))
+    rejected = durable(verdicts.where(~F.col("kept")).select(F.col("_key").alias("key")).distinct())
     return keyed.join(rejected, "key", "left_anti").select("row.*")

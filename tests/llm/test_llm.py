@@ -378,6 +378,12 @@ def test_stages_keep_the_columns(spark, odd, labels):
     assert 5 not in {r["doc_id"] for r in decontaminate.decontaminate(odd, items).collect()}
 
 
+def test_null_ids_do_not_reject_others(spark, labels):
+    good = " ".join(f"w{k}" for k in range(60))  # xxhash64 of a null is 42
+    docs = spark.createDataFrame([(42, good, "en", "s", 1), (None, None, "en", "s", 1), (None, good + " x", "en", "s", 1)], DOCS)
+    assert sorted((r["doc_id"] is None, r["text"]) for r in quality_rules.keep_good(docs, labels).collect()) == [(False, good), (True, good + " x")]
+
+
 def test_empty_tables(spark, none, labels):
     items = spark.createDataFrame([], "item_id long, text string")
     for df in (
