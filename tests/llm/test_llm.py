@@ -304,6 +304,19 @@ def test_short_passages_in_many_surroundings(spark):
     assert got == {i: i // 1000 * 1000 for i, _ in rows_}
 
 
+def test_passages_with_words_put_in(spark):
+    rng = np.random.default_rng(2)
+    fill = lambda n: [f"f{k}" for k in rng.integers(0, 10**6, n)]
+    rows_ = []
+    for k in range(24):
+        one, more = [f"p{k}x{i}" for i in range(80)], 5 + k % 6
+        two = one[:40] + [f"in{k}x{i}" for i in range(more)] + one[40:]
+        rows_ += [(2 * k, " ".join(fill(60) + (two if k % 4 < 2 else one) + fill(60))), (2 * k + 1, " ".join(fill(60) + (one if k % 4 < 2 else two) + fill(60)))]
+    want = {i for i, _ in rows_ if 72 >= 0.8 * (80 + 5 + i // 2 % 6)}  # 72 shingles in common of 76 and 76 + the words put in + 4
+    got = {r["doc_id"]: r["class_id"] for r in substring_dedup.repeated_passages(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert len(set(got) & want) >= 0.8 * len(want) and all(c == i // 2 * 2 for i, c in got.items())
+
+
 def test_binomial_bound(spark):
     from math import comb
 
