@@ -21,6 +21,12 @@ def sentences(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+", -1)
 
 
+def pieces(text: Column, chars: int) -> Column:
+    """The text in pieces of so many characters, the last one shorter; an empty text is one piece."""
+    last = F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / chars).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(text, k * chars + 1, F.lit(chars)))
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
 

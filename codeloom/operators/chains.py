@@ -9,6 +9,8 @@ from codeloom.functions import text as T
 from codeloom.functions.tables import RELATIONS
 
 CHAIN = 4
+#: Characters of an excerpt: the default annotator cuts longer sentences into pieces, so that a text without sentence ends doesn't grow with its square.
+EXCERPT = 400
 
 
 def relation_at(block_seq: Column, pos: Column) -> Column:
@@ -19,15 +21,16 @@ def relation_at(block_seq: Column, pos: Column) -> Column:
 def annotate(docs: DataFrame) -> DataFrame:
     """(doc_id, block_seq, excerpt, factors, relations): the deterministic default annotator.
 
-    In every sentence, each run of CHAIN short words is a chain of factors; a last run needs two words. Stands in for a
-    model call wherever none is configured; one row per block, all work in the row, no shuffle.
+    In every sentence (every EXCERPT characters of a longer one), each run of CHAIN short words is a chain of factors; a
+    last run needs two words. Stands in for a model call wherever none is configured; one row per block, all work in the
+    row, no shuffle.
     """
     runs = lambda s: F.transform(
         F.filter(F.sequence(F.lit(0), F.size(s["ws"])), lambda k: (k % CHAIN == 0) & (F.size(s["ws"]) - k >= 2)),
         lambda k: F.struct(s["e"].alias("e"), F.slice(s["ws"], k + 1, CHAIN).alias("f")),
     )
     found = F.transform(
-        T.sentences(F.col("text")),
+        F.flatten(F.transform(T.sentences(F.col("text")), lambda e: T.pieces(e, EXCERPT))),
         lambda e: F.struct(e.alias("e"), F.regexp_extract_all(F.lower(e), F.lit(r"([a-z]{3,5})"), F.lit(1)).alias("ws")),
     )
     rows = docs.select("doc_id", found.alias("ss")).select("doc_id", F.posexplode(F.flatten(F.transform("ss", runs))).alias("block_seq", "b"))

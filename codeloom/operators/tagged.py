@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 
 
+# The marks of the tagged format.
 HEADER = r"(?s)\[-begin_header-\](.*?)\[-end_header-\]"
+BLOCK = r"(?s)\[-begin-\]\s*(.*?)\s*\[-end-\]"
 
 
 def _cat(*parts) -> Column:
@@ -36,9 +38,10 @@ def render(blocks: DataFrame) -> DataFrame:
 
 def parse(tagged: DataFrame) -> DataFrame:
     """(ref, block_seq, excerpt, description, factors, relations) of every block with a factor; documents without a reference have none."""
-    ref = F.trim(F.regexp_extract("tagged", r"referencia_bibtex:\s*([^\n]+)", 1))
-    raw = F.regexp_extract_all("tagged", F.lit(r"(?s)\[-begin-\]\s*(.*?)\s*\[-end-\]"), F.lit(1))
-    rows = tagged.select(ref.alias("ref"), F.posexplode(raw).alias("block_seq", "b")).where("ref <> ''")
+    ref = F.regexp_extract("tagged", r"referencia_bibtex:\s*(\S+)", 1)
+    raw = F.regexp_extract_all("tagged", F.lit(BLOCK), F.lit(1))
+    # the columns come first, as an explosion beside an expression of the text would copy the text to every block
+    rows = tagged.select(ref.alias("ref"), raw.alias("raw")).where("ref <> ''").select("ref", F.posexplode("raw").alias("block_seq", "b"))
     tag = lambda p: F.regexp_extract("b", p, 1)
     found = rows.select(
         "ref", "block_seq", F.trim(tag(r"\[!(.*?)!\]")).alias("excerpt"), tag(r"\[%(.*?)%\]").alias("description"),
@@ -69,7 +72,7 @@ def repair_block(block: Column) -> Column:
 
 def classify_response(response: Column) -> Column:
     """What a model's answer needs: no_chains, ok, blocks_only, recovered (chains, but no whole block), failed."""
-    whole = F.exists(F.regexp_extract_all(response, F.lit(r"(?s)\[-begin-\]\s*(.*?)\s*\[-end-\]"), F.lit(1)), lambda b: repair_block(b).isNotNull())
+    whole = F.exists(F.regexp_extract_all(response, F.lit(BLOCK), F.lit(1)), lambda b: repair_block(b).isNotNull())
     head = response.rlike(HEADER)
     some = F.contains(response, F.lit("[#")) & F.contains(response, F.lit("[&"))
     return (

@@ -35,7 +35,8 @@ def query(sql: str | None = None):
 #: documents -> blocks(doc_id, block_seq, excerpt, factors, relations), occ, edges
 BLOCKS = r"""
 with s1 as (select doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) as st from documents),
-s2 as (select doc_id, list_transform(st, lambda x: {'e': x, 'ws': regexp_extract_all(lower(x), '[a-z]{3,5}')}) as ss from s1),
+s0 as (select doc_id, flatten(list_transform(st, lambda x: list_transform(range(0, greatest(length(x) - 1, 0) // 400 + 1), lambda k: x[k * 400 + 1 : (k + 1) * 400]))) as st from s1),
+s2 as (select doc_id, list_transform(st, lambda x: {'e': x, 'ws': regexp_extract_all(lower(x), '[a-z]{3,5}')}) as ss from s0),
 s3 as (select doc_id, flatten(list_transform(ss, lambda x: list_transform(list_filter(range(0, len(x.ws) + 1), lambda k: k % 4 = 0 and len(x.ws) - k >= 2),
        lambda k: {'e': x.e, 'f': x.ws[k + 1 : k + 4]}))) as bl from s2),
 s4 as (select doc_id, unnest(range(len(bl)))::INT as block_seq, unnest(bl) as b from s3),

@@ -196,8 +196,8 @@ def r7_vocabulary(spark, d):
     return rules.vocabulary(memory.frequency(blocks(spark, d)))
 
 
-@query(BLOCKS + """, e as (select src, dst, count(*) as n from edges where src <> dst group by 1, 2)
-select a.src, a.dst, a.n as forward, b.n as backward from e a join e b on a.src = b.dst and a.dst = b.src where a.src < a.dst""")
+@query(BLOCKS + """select least(src, dst) as src, greatest(src, dst) as dst, count(*) filter (src < dst) as forward, count(*) filter (src > dst) as backward from edges where src <> dst
+group by 1, 2 having count(*) filter (src < dst) > 0 and count(*) filter (src > dst) > 0""")
 def r8_circular_chains(spark, d):
     return rules.circular(chains.edges(blocks(spark, d)))
 

@@ -44,6 +44,8 @@ def sf():
 
 def rows(df) -> list[tuple]:
     """Rows with the columns by name, as comparable text; floats to six places."""
+    import pandas as pd
+
     cols = sorted(df.columns)
-    show = lambda v: "NULL" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    show = lambda v: "NULL" if pd.api.types.is_scalar(v) and pd.isna(v) else f"{v:.6f}" if isinstance(v, float) else str(v)
     return sorted(tuple(show(v) for v in r) for r in df[cols].astype(object).itertuples(index=False))
