@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
+from uuid import uuid4
 
 import numpy as np
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that cache)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +27,13 @@ def words(text: str | Column) -> Column:
 
 
 def set_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; without one, a folder of the warehouse."""
+    """Use the folder named in spark.checkpoint.dir; without one, a local session gets a folder of the warehouse, and a cluster an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(named)
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -39,6 +42,30 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder: lineage is cut as by durable(), and later steps read only the columns that they use."""
+    spark = df.sparkSession
+    set_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark remove the shuffles of finished steps now: it does so when the driver's garbage collector finds that nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Rows with one or two short keys that a join may broadcast: some 30 MB.
+FEW_KEYS = 300_000
+
+
+def few(rows: DataFrame, most: int = FEW_KEYS) -> DataFrame:
+    """Durable rows, marked for a broadcast if a count shows that they are few; the join with more of them is by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 # --- fixed-size filters -------------------------------------------------------------------------------------------
 
 #: Bits of a filter: 2^26 are 8 MB, whatever the number of keys.
@@ -110,7 +137,8 @@ def components(edges: DataFrame) -> DataFrame:
     Every round lets each node point at its smallest neighbour, doubles the pointers until they all end at a node that has no
     smaller neighbour, and contracts the edges to those ends; at most half of the nodes with edges are left. So both
     loops take a number of steps that grows with the logarithm of the graph, also on long paths. Minima are combined
-    before the shuffle, so that hubs cost no more than other nodes. Each step ends in a checkpoint.
+    before the shuffle, so that hubs cost no more than other nodes; in the joins of pointers the side with one row per
+    node is small, and Spark splits the other one where many nodes point at a hub. Each step ends in a checkpoint.
     """
     edges = durable(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     labels = durable(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
