@@ -9,7 +9,8 @@ rule the strictest is taken; alpha is the total false-rejection rate divided by
 together stay within the total. A stratum with too few labels for any guarantee gets no cutoff, and keeps its documents.
 
 Everything is DataFrame expressions. Null texts count as empty; a null language is a stratum of its own; rows may repeat
-and count each time; labels without a document, or with a null quality, are ignored.
+and are judged each for itself (a label counts for each row with its id); labels without a document, or with a null
+quality, are ignored. An empty table gives an empty result. Further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import SPACES, durable, words
+from codeloom.llm.common import SPACES, durable, few, words, written
 
 TOTAL_RATE, DELTA = 0.05, 0.05
 WINDOW = 8
@@ -32,6 +33,8 @@ RULES = {
 }
 #: Cutoffs that are tried for every rule: steps of 1/40.
 GRID = 40
+#: Strata whose cutoffs may be broadcast; those of more are joined by a shuffle.
+FEW_STRATA = 10_000
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -126,13 +129,13 @@ def cutoffs(feats: DataFrame, labels: DataFrame, stratum: str = "lang", total_ra
     # a score is above the cutoffs 0/GRID .. (step - 1)/GRID
     step = F.least(F.ceil(F.col("s.score") * GRID), F.lit(GRID)).cast("int")
     steps = (
-        held.select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.explode(scores()).alias("s"))
+        held.select(F.col(stratum).alias("stratum"), F.explode(scores()).alias("s"))
         .select("stratum", "s.rule", step.alias("step"))
         .groupBy("stratum", "rule", "step")
         .agg(F.count("*").alias("docs"))
     )
     grouped = durable(steps.groupBy("stratum", "rule").agg(F.collect_list(F.struct("step", "docs")).alias("hist"), F.sum("docs").alias("n")))
-    tests = max(1, grouped.select(F.count_distinct("stratum")).first()[0]) * len(RULES) * GRID
+    tests = max(1, grouped.select("stratum").distinct().count()) * len(RULES) * GRID
     tried = grouped.select("stratum", "rule", "n", "hist", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("k"))
     rejected = F.aggregate(F.filter("hist", lambda h: h["step"] > F.col("k")), F.lit(0).cast("long"), lambda acc, h: acc + h["docs"])
     bound = tried.withColumn("x", rejected).where(F.col("x") <= F.col("n") * F.lit(rate)).withColumn("p", binomial_tail(F.col("n"), F.col("x"), rate))
@@ -147,10 +150,10 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", total_rate
     """doc_id, the stratum, the columns ``keep``, the features, base_failed, the rules that reject the document, and kept; a row for each row of docs."""
     # cast first: docs may hold other types or further columns of the names used here
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("lang"), F.col("text").cast("string").alias("text"), *keep)
-    feats = durable(features(base, "doc_id", "lang", *keep))
+    feats = written(features(base, "doc_id", "lang", *keep), "features")
     safe = cutoffs(feats, labels, "lang", total_rate, delta)
-    by_stratum = safe.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
-    scored = feats.join(by_stratum, F.coalesce("lang", F.lit("")) == F.col("stratum"), "left")
+    by_stratum = durable(safe.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")))
+    scored = feats.join(few(by_stratum, FEW_STRATA), F.col("lang").eqNullSafe(F.col("stratum")), "left")
     broken = F.transform(
         F.filter(scores(), lambda s: F.ceil(s["score"] * GRID) > F.round(F.coalesce(F.col("cutoffs")[s["rule"]], F.lit(1e9)) * GRID)),
         lambda s: s["rule"],
@@ -160,14 +163,10 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", total_rate
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents that the rules reject.
+    """docs without the rows that the rules reject.
 
-    A document is known by its id; rows that share an id are rejected together if one of them is. Rows with a null id
-    are judged like others, and known by their text's hash, which is kept apart from the ids.
+    Whole rows are carried beside their features as one column, so no text is shuffled, no name can clash, and each row is judged
+    for itself: rows that share an id, or have none, don't reject one another.
     """
-    own = F.col("doc_id").cast("long")
-    key = F.struct(own.isNull().alias("no_id"), F.coalesce(own, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("id"))
-    keyed = docs.select(F.struct("*").alias("row"), key.alias("key"))  # whole rows as one column: no name can clash
-    verdicts = judged(docs.withColumn("_key", key), labels, keep=("_key",))
-    rejected = durable(verdicts.where(~F.col("kept")).select(F.col("_key").alias("key")).distinct())
-    return keyed.join(rejected, "key", "left_anti").select("row.*")
+    rows = docs.select("doc_id", "lang", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    return judged(rows, labels, keep=("_row",)).where("kept").select("_row.*")

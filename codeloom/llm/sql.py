@@ -25,16 +25,16 @@ f as (select doc_id, lang, len(w) as n_words, length(array_to_string(w, '')) as
   len(l) - len(list_distinct(l)) as n_dup_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) as n_capitals, length(t) - length(regexp_replace(t, '!', '', 'g')) as n_shouts, coalesce(r, 0) as n_repeat_words
   from w left join rep using (doc_id)),
 g as (select *, (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed from f),
-sc as (select doc_id, coalesce(lang, '') as stratum, base_failed, ord, rule, least(ceil(score * {Q.GRID}), {Q.GRID}) as step, ceil(score * {Q.GRID}) as raw from g, lateral (values {_SCORES}) v(ord, rule, score)),
+sc as (select doc_id, lang as stratum, base_failed, ord, rule, least(ceil(score * {Q.GRID}), {Q.GRID}) as step, ceil(score * {Q.GRID}) as raw from g, lateral (values {_SCORES}) v(ord, rule, score)),
 h as (select stratum, rule, step from sc join labels using (doc_id) where quality = 1 and not base_failed),
 hist as (select stratum, rule, step, count(*) as docs from h group by 1, 2, 3),
 n as (select stratum, rule, sum(docs)::DOUBLE as n from hist group by 1, 2),
-tests as (select greatest(count(distinct stratum), 1) * {len(Q.RULES) * Q.GRID} as tests from n),
-x as (select n.stratum, n.rule, n.n, k, coalesce((select sum(docs) from hist where hist.stratum = n.stratum and hist.rule = n.rule and step > k), 0)::BIGINT as x from n, range({Q.GRID}) r(k)),
+tests as (select greatest((select count(*) from (select distinct stratum from n)), 1) * {len(Q.RULES) * Q.GRID} as tests from n),
+x as (select n.stratum, n.rule, n.n, k, coalesce((select sum(docs) from hist where hist.stratum is not distinct from n.stratum and hist.rule = n.rule and step > k), 0)::BIGINT as x from n, range({Q.GRID}) r(k)),
 p as (select x.*, (select sum(exp(lgamma(x.n + 1) - lgamma(i + 1) - lgamma(x.n - i + 1) + i * ln({Q.TOTAL_RATE / len(Q.RULES)}::DOUBLE) + (x.n - i) * ln(1 - {Q.TOTAL_RATE / len(Q.RULES)}::DOUBLE))) from range(0, x.x + 1) s(i)) as p
   from x where x.x <= x.n * {Q.TOTAL_RATE / len(Q.RULES)}::DOUBLE),
 cut as (select stratum, rule, min(k) as k from p, tests where p <= {Q.DELTA}::DOUBLE / tests group by 1, 2),
-br as (select doc_id, string_agg(rule, ',' order by ord) as broken from sc join cut using (stratum, rule) where raw > k group by 1)
+br as (select doc_id, string_agg(sc.rule, ',' order by ord) as broken from sc join cut on sc.stratum is not distinct from cut.stratum and sc.rule = cut.rule where raw > k group by 1)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines::BIGINT as n_dup_lines, n_repeat_words, base_failed, not base_failed and broken is null as kept, coalesce(broken, '') as broken from g left join br using (doc_id)
 """
 
