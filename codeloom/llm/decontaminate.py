@@ -3,26 +3,26 @@
 An item is contained in a document if the document has at least the share THRESHOLD of the item's distinct five-word
 shingles; words are runs of letters and digits in lower case, so that punctuation and white space don't matter. Jaccard
 similarity between a short item and a long document says nothing, so the search is one-sided: items are partitioned
-by size (powers of two of their shingle counts), and each size class has a sketch length s, the number of its
-shingles with the smallest hashes that an item keeps (its bottom-s MinHash). s is the largest q - ceil(THRESHOLD q) + 1
-among the class's sizes q: a document that contains the item misses at most q - ceil(THRESHOLD q) of its shingles, so it
-has at least one of the sketch. Documents with a shingle of a sketch are candidates, and no other can contain the item.
+by size (powers of two of their shingle counts), and each size class has a sketch length s: an item keeps the s shingles
+that come first, those that few items have before others, by hash among equals (its bottom-s MinHash). s is the largest q - ceil(THRESHOLD q) + 1
+among the class's sizes q. A document that contains the item misses at most q - ceil(THRESHOLD q) of its shingles, so it has
+s - q + ceil(THRESHOLD q) of the sketch at least, which is one or more: documents that meet fewer of a sketch's shingles are
+no candidates, and no others are compared.
 
-Tasks find these documents with a filter of fixed size made from the sketches, and emit the document's shingles that a
-second such filter, of all the items' shingles, lets pass; joins on the shingles' texts then count the distinct ones of each pair
-exactly. So what leaves a task is bounded by what the document shares with the benchmark, and neither the
-benchmark nor a document is ever held whole in one place.
+Tasks find documents that may meet a sketch with a filter of fixed size made from the sketches, and emit the shingles that a
+second such filter, of all the items' shingles, lets pass. Joins on sketch hashes give the candidate pairs of document and item; the distinct
+shingles in common are counted, by their texts, for these pairs alone. So a phrase that many items and documents have
+makes no pairs by itself, and neither the benchmark nor a document is ever held whole in one place.
 
 Nulls and texts with fewer than five words have no shingles: such items are in no document, such documents contain none.
 Rows that repeat a doc_id are treated as one document that has the shingles of all of them, repeated item ids likewise.
-A null doc_id or item_id takes part like any other value. Empty tables give an empty result.
+A null doc_id or item_id takes part like any other value. Empty tables give an empty result. Further columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import durable, hits, key_filter, shingle_hashes, signed
+from codeloom.llm.common import durable, few, hits, key_filter, shingle_hashes, signed
 
 WIDTH, THRESHOLD = 5, 0.8
 _WORD = re.compile(r"[^\W_]+")
@@ -57,64 +57,81 @@ def _item_shingles(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"item_id": pa.array(ids, pa.int64()), "h": pa.array(np.concatenate(hs) if hs else [], pa.int64()), "shingle": pa.array(texts, pa.string())})
 
 
-def _needed(q: int, threshold: float) -> int:
-    """Shingles that an item of q must share."""
-    return max(1, ceil(threshold * q - 1e-9))
-
-
 def sketches(shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(item_id, size_class, h): the bottom MinHash values of every item, as many as its size class takes.
+    """(item_id, size_class, needed, h): the sketch of every item, as long as its size class takes, and how many of it a document must have.
 
-    The smallest hashes of an item are found by one sort of its own distinct shingles, that is of one test item.
+    The first shingles of an item are found by one sort of its own distinct shingles, that is of one test item.
     """
-    by_item = shingles.groupBy("item_id").agg(F.array_sort(F.collect_set("h")).alias("hs"))
+    common = shingles.groupBy("h").agg(F.floor(F.log2(F.count_distinct("item_id") + 1)).cast("int").alias("common"))
+    by_item = shingles.join(common, "h").groupBy("item_id").agg(F.array_sort(F.collect_set(F.struct("common", "h"))).alias("hs"))
     sized = by_item.withColumn("size_class", F.floor(F.log2(F.size("hs"))).cast("int"))
+    misses = lambda q: F.floor(q * F.lit(1 - threshold) + F.lit(1e-9)).cast("int")
     # the longest sketch that a size 2^c .. 2^(c+1) - 1 needs
-    keep = F.floor((F.pow(F.lit(2.0), F.col("size_class") + 1) - 1) * F.lit(1 - threshold) + F.lit(1e-9)).cast("int") + 1
-    return sized.select("item_id", "size_class", F.explode(F.slice("hs", F.lit(1), keep)).alias("h"))
+    kept = F.slice("hs", F.lit(1), misses(F.pow(F.lit(2.0), F.col("size_class") + 1) - 1) + 1)
+    needed = F.size("kept") - misses(F.size("hs"))
+    return sized.withColumn("kept", kept).select("item_id", "size_class", needed.alias("needed"), F.explode("kept").alias("k")).select("item_id", "size_class", "needed", "k.h")
 
 
-def _shared(sketch_filter: np.ndarray, all_filter: np.ndarray):
+def _shared(sketch_filter: np.ndarray, all_filter: np.ndarray, kind: pa.DataType):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            ids, texts = [], []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys, hs, texts, flags = [], [], [], []
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w = _words(x)
                 if len(w) < WIDTH:
                     continue
                 h = _hashes(w)
-                if not hits(sketch_filter, h).any():
+                sketched = hits(sketch_filter, h)
+                if not sketched.any():
                     continue
-                own = {" ".join(w[k : k + WIDTH]) for k in np.flatnonzero(hits(all_filter, h))}
-                ids += [i] * len(own)
+                at = np.flatnonzero(hits(all_filter, h))
+                own = dict(zip((" ".join(w[k : k + WIDTH]) for k in at), zip(signed(h)[at].tolist(), sketched[at].tolist(), strict=True), strict=True))
+                keys += [key] * len(own)
                 texts += own
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "shingle": pa.array(texts, pa.string())})
+                hs += [v for v, _ in own.values()]
+                flags += [f for _, f in own.values()]
+            yield pa.record_batch({"key": pa.array(keys, kind), "h": pa.array(hs, pa.int64()), "shingle": pa.array(texts, pa.string()), "sketched": pa.array(flags, pa.bool_())})
 
     return run
 
 
+def _contained(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(key, item_id, n_shared, n_shingles) of every contained item, exactly, for texts(key, text); keys are numbers or strings."""
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    shingles = durable(own.mapInArrow(_item_shingles, "item_id long, h long, shingle string").distinct())
+    chosen = durable(sketches(shingles, threshold))
+    kind = texts.schema["key"].dataType.simpleString()
+    search = _shared(key_filter(chosen, "h"), key_filter(shingles, "h"), pa.string() if kind == "string" else pa.int64())
+    shared = durable(texts.mapInArrow(search, f"key {kind}, h long, shingle string, sketched boolean").distinct())
+    met = shared.where("sketched").join(chosen, "h").groupBy("key", "item_id").agg(F.count("*").alias("met"), F.first("needed").alias("needed")).where("met >= needed")
+    pairs = met.select(F.col("key").alias("doc"), F.col("item_id").alias("item"))
+    both = pairs.join(shared.select("key", "shingle"), F.col("doc").eqNullSafe(F.col("key")))
+    of_item = shingles.select(F.col("item_id"), F.col("shingle").alias("text")).distinct()
+    same = both.join(of_item, F.col("item").eqNullSafe(F.col("item_id")) & (F.col("shingle") == F.col("text")))
+    counted = same.groupBy("doc", "item").agg(F.count("*").alias("n_shared"))
+    sizes = of_item.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
+    out = counted.join(sizes, F.col("item").eqNullSafe(F.col("item_id"))).select(F.col("doc").alias("key"), "item_id", "n_shared", "n_shingles")
+    return out.where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - F.lit(1e-9)))
+
+
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_shared, n_shingles, containment) of every contained item, exactly.
 
     docs has doc_id and text, items has item_id and text.
     """
-    own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    shingles = durable(own.mapInArrow(_item_shingles, "item_id long, h long, shingle string").distinct())
-    sketch = key_filter(sketches(shingles, threshold), "h")
-    every = key_filter(shingles, "h")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = texts.mapInArrow(_shared(sketch, every), "doc_id long, shingle string").distinct()
-    pairs = shared.join(shingles.select("item_id", "shingle").distinct(), "shingle").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
-    sizes = shingles.groupBy("item_id").agg(F.count_distinct("shingle").alias("n_shingles"))
-    counted = pairs.alias("p").join(sizes.alias("s"), F.col("p.item_id").eqNullSafe(F.col("s.item_id")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
     share = (F.col("n_shared") / F.col("n_shingles")).alias("containment")
-    return counted.select("doc_id", "p.item_id", "n_shared", "n_shingles", share).where(
-        F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - F.lit(1e-9))
-    )
+    return _contained(texts, items, threshold).select(F.col("key").alias("doc_id"), "item_id", "n_shared", "n_shingles", share)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that contain an item; rows with a null id are dropped if any of those contains one."""
-    leaks = durable(contained(docs, items, threshold).select(F.col("doc_id").alias("leak")).distinct())
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))  # one column: no name can clash
-    return rows.join(leaks, F.col("id").eqNullSafe(F.col("leak")), "left_anti").select("row.*")
+    """docs without the rows whose text contains an item.
+
+    Each row is judged by its own text, known by its digest: rows that share an id, or have none, don't reject one another.
+    The digests of rejected texts are broadcast if they are few, and else joined by a shuffle.
+    """
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    texts = docs.select(digest.alias("key"), F.col("text").cast("string").alias("text"))
+    leaks = durable(_contained(texts, items, threshold).select(F.col("key").alias("leak")).distinct())
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), digest.alias("digest"))  # one column: no name can clash
+    return rows.join(few(leaks), F.col("digest") == F.col("leak"), "left_anti").select("row.*")
