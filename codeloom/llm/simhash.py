@@ -10,12 +10,14 @@ fingerprints have equal relative distances in at least two families, and an equi
 for each of the six choices, meets every linked pair. Of what it meets, pairs with a coordinate that differs by more than
 two are discarded (triangle inequality), and the rest are verified by the Hamming distance itself.
 
-A cell of the table with more fingerprints than PAIR_CELL isn't paired: its fingerprints link through the points at one
-bit's distance from them, as two fingerprints are within two bits exactly if they share such a point (or one is such a
-point of the other). That costs 65 rows for each fingerprint, not a square, and loses no link.
+A cell with more fingerprints than PAIR_CELL is divided by further pivots: its fingerprints agree in two of four segments, and
+each half of the other two gets a family of its own, of which linked fingerprints again agree in two of four. So cells
+agree in 32, 48, 56 and at last 60 of 64 bits, when at most 16 distinct fingerprints are left in one; no link is lost and
+no large cell is squared.
 
 Nulls and texts without words have fingerprint zero; a null doc_id keeps its row, and never becomes a class id unless
-its class has no other. Repeated rows count once for a class and are all returned. An empty table gives an empty result.
+its class has no other. Repeated rows count once for a class and are all returned. An empty table gives an empty result. Further
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import components, durable
+from codeloom.llm.common import components, durable, few
 
 SEED, WIDTH, RADIUS = 42, 3, 2
 FAMILIES, PIVOTS = 4, 12
-#: Fingerprints of a cell that are compared pair by pair; larger cells link through neighbouring points.
+#: Fingerprints of a cell that are compared pair by pair; larger cells are divided by further pivots.
 PAIR_CELL = 32
 
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
@@ -54,14 +56,14 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array([fingerprint(x) for x in batch.column(1).to_pylist()], pa.int64())})
+        yield pa.record_batch({"doc_id": batch.column(0), "digest": batch.column(2), "fp": pa.array([fingerprint(x) for x in batch.column(1).to_pylist()], pa.int64())})
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) for every row of docs."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        _fingerprints, "doc_id long, fp long"
-    )
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digest: Column | None = None) -> DataFrame:
+    """(doc_id, digest, fp) for every row of docs; digest is what is given."""
+    given = F.lit(None).cast("string") if digest is None else digest
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), given.alias("digest"))
+    return own.mapInArrow(_fingerprints, "doc_id long, digest string, fp long")
 
 
 def _pivots() -> list[list[int]]:
@@ -80,49 +82,82 @@ def pivot_table(fps: DataFrame) -> DataFrame:
     return fps.select("fp", _distance("fp", 0).alias("d0"), F.array(*(F.array(*(_distance("fp", p) for p in f)) for f in _pivots())).alias("d"))
 
 
+def _near(left: Column, right: Column) -> Column:
+    """No coordinate of the table differs by more than RADIUS (triangle inequality), nor do more bits."""
+    near = [F.abs(_distance(left, p) - _distance(right, p)) <= RADIUS for f in [[0], *_pivots()] for p in f]
+    return reduce(Column.__and__, near) & (F.bit_count(left.bitwiseXOR(right)) <= RADIUS)
+
+
+_TWO = list(combinations(range(FAMILIES), FAMILIES - RADIUS))
+
+
+def _halves(starts: list[Column], taken: tuple[int, int], width: int) -> Column:
+    """Where the halves of the segments start that are not taken."""
+    return F.array(*(s + half for k, s in enumerate(starts) if k not in taken for half in (F.lit(0), F.lit(width // 2))))
+
+
+def _divided(cells: DataFrame, width: int) -> DataFrame:
+    """(fp, cell, starts) of the cells' next division: families of pivots on the segments (of so many bits) that start at ``starts``."""
+    pivots = np.random.default_rng(SEED + width).permutation(np.arange(1, 1 << width))[:PIVOTS].tolist()
+    shifted = lambda p, k: F.call_function("shiftleft", F.lit(p).cast("long"), F.get("starts", F.lit(k)))
+    relative = [F.array(*(F.bit_count(F.col("fp").bitwiseXOR(shifted(p, k))) - F.bit_count("fp") for p in pivots)) for k in range(FAMILIES)]
+    starts = [F.get("starts", F.lit(k)) for k in range(FAMILIES)]
+    parts = F.array(*(F.struct(F.xxhash64("cell", F.lit(i), relative[i], F.lit(j), relative[j]).alias("cell"), _halves(starts, (i, j), width).alias("starts")) for i, j in _TWO))
+    return cells.select("fp", F.explode(parts).alias("p")).select("fp", "p.cell", "p.starts")
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) that connect exactly the classes of the distinct fingerprints fps(fp)."""
-    table = pivot_table(fps)
+    table, width = pivot_table(fps), 64 // FAMILIES
     relative = lambda g: F.transform(F.col("d")[g], lambda x: x - F.col("d0"))
     table = table.select("fp", *(F.xxhash64(relative(g)).alias(f"k{g}") for g in range(FAMILIES)))
-    keys = [F.xxhash64(F.lit(i), F.col(f"k{i}"), F.lit(j), F.col(f"k{j}")) for i, j in combinations(range(FAMILIES), FAMILIES - RADIUS)]
-    cells = table.select("fp", F.explode(F.array(*keys)).alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
-    shared = durable(cells.join(sizes, "cell"))
-    small, left, right = shared.where(F.col("size") <= PAIR_CELL), F.col("l.fp"), F.col("r.fp")
-    near = [F.abs(_distance(left, p) - _distance(right, p)) <= RADIUS for f in [[0], *_pivots()] for p in f]
-    pairs = (
-        small.alias("l")
-        .join(small.alias("r"), (F.col("l.cell") == F.col("r.cell")) & (left < right) & reduce(Column.__and__, near))
-        .where(F.bit_count(left.bitwiseXOR(right)) <= RADIUS)
-        .select(left.alias("a"), right.alias("b"))
-    )
-    crowded = shared.where(F.col("size") > PAIR_CELL).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)))
-    points = durable(crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point")))
-    least = points.groupBy("point").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
-    through = points.join(least, "point").where("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
-    return pairs.unionByName(through)
-
-
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs."""
-    fps = durable(fingerprints(docs, text, doc_id))
+    starts = [F.lit(g * width) for g in range(FAMILIES)]
+    first = F.array(*(F.struct(F.xxhash64(F.lit(i), F.col(f"k{i}"), F.lit(j), F.col(f"k{j}")).alias("cell"), _halves(starts, (i, j), width).alias("starts")) for i, j in _TWO))
+    cells, out = table.select("fp", F.explode(first).alias("p")).select("fp", "p.cell", "p.starts"), []
+    while True:
+        width //= 2
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
+        shared = durable(cells.join(sizes, "cell"))
+        small = shared if width < 2 else shared.where(F.col("size") <= PAIR_CELL)
+        left, right = F.col("l.fp"), F.col("r.fp")
+        met = small.alias("l").join(small.alias("r"), (F.col("l.cell") == F.col("r.cell")) & (left < right) & _near(left, right))
+        out.append(met.select(left.alias("a"), right.alias("b")))
+        crowded = shared.where(F.col("size") > PAIR_CELL)
+        if width < 2 or crowded.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        cells = _divided(crowded, width)
+
+
+def _with_classes(fps: DataFrame) -> DataFrame:
+    """Durable fps(doc_id, digest, fp) with component_id."""
     distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = rooted.join(lowest, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = durable(rooted.join(lowest, "root").select("fp", "component_id"))  # one row for a fingerprint: Spark splits the other side where many rows have it
+    return fps.join(of, "fp")
+
+
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs."""
+    out = _with_classes(durable(fingerprints(docs, text, doc_id)))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with the one document of each class that has the smallest id; of rows that repeat this id, one stays.
+    """docs with one row of each class: of those with the smallest id the one whose text has the smallest digest.
 
-    Rows with a null id have no class to speak for and stay.
+    Rows are known by their id and their text's digest, so rows that share an id but not a class don't drop one another. Rows with a null
+    id have no class to speak for and stay. What is dropped is broadcast if it is little, and else joined by a shuffle.
     """
-    kept = durable(classes(docs, text, doc_id).where("doc_id = component_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")))
+    digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    found = _with_classes(durable(fingerprints(docs, text, doc_id, digest))).where("doc_id is not null")
+    one = found.groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "component_id").agg(F.count("*").alias("n"))
+    first = one.where("id = component_id").groupBy("component_id").agg(F.min("of").alias("first"))
+    known = one.join(first, "component_id").withColumn("stays", (F.col("id") == F.col("component_id")) & (F.col("of") == F.col("first")))
+    verdicts = durable(known.where("not stays or n > 1").select("id", "of", "stays"))
     # whole rows as one column, so that no name of theirs can clash
-    held = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id")).join(kept, "id")
-    once, again = held.where("n = 1"), held.where("n > 1").dropDuplicates(["id"])
-    return once.unionByName(again).select("row.*").unionByName(docs.where(F.col(doc_id).isNull()))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_id).cast("long").alias("_id"), digest.alias("_of"))
+    judged = held.join(few(verdicts), (F.col("_id") == F.col("id")) & (F.col("_of") == F.col("of")), "left")
+    again = judged.where("stays").dropDuplicates(["_id"])
+    return judged.where("stays is null").select("row.*").unionByName(again.select("row.*"))
