@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import durable
 from codeloom.llm.toxicity import fold, labelled_sample
 
-BUCKETS, SHAPES, DIMENSION, SIGNS = 1 << 13, 1 << 11, 32, 4
+BUCKETS, SHAPES, DIMENSION, SIGNS = 1 << 15, 1 << 11, 32, 4
 REPEAT = BUCKETS + SHAPES
 ROWS = BUCKETS + SHAPES + 2
 PER_CLASS, HIDDEN, EPOCHS = 4000, 32, 60
