@@ -27,7 +27,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that sources weigh the same, shuffled globally."""
-    return mixing.replicate(docs).drop("copy", "mix_key")
+    return mixing.replicate(docs, marks=False)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
