@@ -59,10 +59,14 @@ def edges(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "block_seq", F.explode(steps).alias("s")).select("doc_id", "block_seq", "s.*")
 
 
-def co_occurrences(blocks: DataFrame) -> DataFrame:
-    """(factor, co_factor, n, first_seen): pairs of different factors of a block, made in the row and summed before the shuffle."""
+def co_occurrences(blocks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(factor, co_factor, n, first_seen): pairs of different factors of a block, made in the row and summed before the shuffle.
+
+    ``only`` names the factors (a few, as it is broadcast) whose pairs are wanted.
+    """
     others = F.filter(F.transform("factors", lambda g, j: F.struct(g.alias("co_factor"), j.alias("pos2"))), lambda x: x["co_factor"] != F.col("factor"))
-    pairs = occurrences(blocks).select("doc_id", "block_seq", "pos", "factor", F.explode(others).alias("o"))
+    own = occurrences(blocks) if only is None else occurrences(blocks).join(F.broadcast(only), "factor", "left_semi")
+    pairs = own.select("doc_id", "block_seq", "pos", "factor", F.explode(others).alias("o"))
     return pairs.groupBy("factor", F.col("o.co_factor").alias("co_factor")).agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "block_seq", "pos", "o.pos2")).alias("first_seen")
     )

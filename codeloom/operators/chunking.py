@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
@@ -46,19 +46,19 @@ def chunks(docs: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
 def truncate(docs: DataFrame, budget: int) -> DataFrame:
     """(doc_id, text, tokens): leading sentences while the sum of their token estimates stays within the budget.
 
-    The whole text is kept if its own estimate fits. The running sum is per document; estimates aren't negative, so it
-    stops where the greedy loop does.
+    The whole text is kept if its own estimate fits. All work is in the row: the sentences are folded to how many fit.
     """
-    cut = docs.select("doc_id", "text", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
-    run = F.sum(T.tokens_by_words(F.col("s"))).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    kept = cut.select("doc_id", "pos", "s", run.alias("run")).where(F.col("run") <= budget)
-    head = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), " ").alias("head"), F.max("run").alias("used"))
-    own = docs.select("doc_id", "text", T.tokens_by_words(F.col("text")).alias("all"))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), T.sentences(F.col("text")).alias("s"), T.tokens_by_words(F.col("text")).alias("all"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"), F.lit(False).alias("full"))
+
+    def step(acc, n):
+        full = acc["full"] | (acc["used"] + n > budget)
+        return F.struct(F.when(full, acc["n"]).otherwise(acc["n"] + 1).alias("n"), F.when(full, acc["used"]).otherwise(acc["used"] + n).alias("used"), full.alias("full"))
+
+    folded = own.withColumn("k", F.aggregate(F.transform("s", lambda x: T.tokens_by_words(x)), start, step))
     fits = F.col("all") <= budget
-    return own.join(head, "doc_id", "left").select(
-        "doc_id", F.when(fits, F.col("text")).otherwise(F.coalesce("head", F.lit(""))).alias("text"),
-        F.when(fits, F.col("all")).otherwise(F.coalesce("used", F.lit(0))).cast("long").alias("tokens"),
-    )
+    head = F.array_join(F.slice("s", F.lit(1), F.col("k.n")), " ")
+    return folded.select("doc_id", F.when(fits, F.col("text")).otherwise(head).alias("text"), F.when(fits, F.col("all")).otherwise(F.col("k.used")).cast("long").alias("tokens"))
 
 
 def transcript_budget(static: Column, output: int = OUTPUT_LIMIT, limit: int = MODEL_LIMIT) -> Column:
@@ -107,7 +107,7 @@ def _windows(max_chars: int, overlap: int, mode: str):
                     ends.append(b)
                     texts.append((text or "")[a:b])
             yield pa.record_batch(
-                {"doc_id": pa.array(ids, pa.int64()), "part": pa.array(parts, pa.int32()), "start": pa.array(starts, pa.int64()), "end": pa.array(ends, pa.int64()), "chunk": pa.array(texts, pa.string())}
+                {"doc_id": pa.array(ids, batch.column(0).type), "part": pa.array(parts, pa.int32()), "start": pa.array(starts, pa.int64()), "end": pa.array(ends, pa.int64()), "chunk": pa.array(texts, pa.string())}
             )
 
     return run
@@ -115,5 +115,5 @@ def _windows(max_chars: int, overlap: int, mode: str):
 
 def overlapping(docs: DataFrame, max_chars: int = 18_000, overlap: int = OVERLAP, mode: str = "parity") -> DataFrame:
     """(doc_id, part, start, end, chunk) of every document's windows."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.mapInArrow(_windows(max_chars, overlap, mode), "doc_id long, part int, start long, end long, chunk string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_windows(max_chars, overlap, mode), f"doc_id {kind}, part int, start long, end long, chunk string")

@@ -22,16 +22,16 @@ def scopes_of(mode: Column) -> Column:
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """(scope, code, definition) from lines(line_no, line) of an indented ``key: "definition"`` listing.
+    """(file, scope, code, definition) from lines(file, line_no, line) of indented ``key: "definition"`` listings.
 
-    The scope is the last key without indentation; comments after // or # outside quotes are left out.
+    The scope is the last key without indentation of the same file; comments after // or # outside quotes are left out.
     """
     clean = F.regexp_replace(F.regexp_replace("line", r"^((?:[^\"]*\"[^\"]*\")*[^\"]*?)(//|#).*$", "$1"), "\t", "    ")
-    rows = lines.select("line_no", clean.alias("l"))
+    rows = lines.select("file", "line_no", clean.alias("l"))
     root = F.when(F.col("l").rlike(r"^[A-Za-z0-9_]+:"), F.regexp_extract("l", r"^([A-Za-z0-9_]+):", 1))
-    scoped = rows.withColumn("scope", F.last(root, ignorenulls=True).over(Window.orderBy("line_no")))  # one codebook: a small file
+    scoped = rows.withColumn("scope", F.last(root, ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no")))
     leaf = r"""^[ \t]*([A-Za-z0-9_]+):\s*["'](.*)["']\s*$"""
-    return scoped.where(F.col("l").rlike(leaf)).select("scope", F.regexp_extract("l", leaf, 1).alias("code"), F.regexp_extract("l", leaf, 2).alias("definition"))
+    return scoped.where(F.col("l").rlike(leaf)).select("file", "scope", F.regexp_extract("l", leaf, 1).alias("code"), F.regexp_extract("l", leaf, 2).alias("definition"))
 
 
 def valid_codes(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -56,14 +56,21 @@ def keywords(definition: Column, most: int = 5) -> Column:
 
 
 def keyword_index(codebook: DataFrame) -> DataFrame:
-    """(keyword, codes): the codes that each keyword stands for, in the codebook's order (column ord)."""
+    """(keyword, code, ord): the codes that each keyword stands for, with their place in the codebook; a row for each, as a keyword may have any number."""
     rows = codebook.select("ord", "code", F.explode(keywords(F.col("definition"))).alias("keyword"))
-    first = rows.groupBy("keyword", "code").agg(F.min("ord").alias("ord"))
-    return first.groupBy("keyword").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "code"))), lambda x: x["code"]).alias("codes"))
+    return rows.groupBy("keyword", "code").agg(F.min("ord").alias("ord"))
 
 
 def first_keywords(index: DataFrame, n: int = 50, codes: int = 4) -> DataFrame:
-    return index.orderBy("keyword").limit(n).select("keyword", F.slice("codes", 1, codes).alias("codes"))
+    """(keyword, codes): the first n keywords, each with its first codes in the codebook's order.
+
+    The keywords come first, and only their rows go on; of these tasks keep a few for each keyword before they pass them on.
+    """
+    first = index.select("keyword").distinct().orderBy("keyword").limit(n)
+    own = index.join(F.broadcast(first), "keyword")  # n rows
+    place = F.row_number().over(Window.partitionBy("keyword").orderBy("ord", "code"))
+    some = own.withColumn("k", place).where(F.col("k") <= codes)
+    return some.groupBy("keyword").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "code"))), lambda x: x["code"]).alias("codes"))
 
 
 def tag(units: DataFrame, index: DataFrame, unit: str = "doc_id") -> DataFrame:

@@ -8,12 +8,15 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from codeloom.functions import text as T
 from codeloom.functions.tables import EXPECTED_CODES
+from codeloom.operators import storage
 
 LITERAL, CLOSE = 0.95, 0.8
+#: Needles (texts of a few words) that may be broadcast.
+FEW_NEEDLES = 50_000
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
@@ -23,12 +26,12 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     return turns.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("interview_id"), text.alias("transcript"))
 
 
-def annotate(conversations: DataFrame) -> DataFrame:
-    """(interview_id, turn, sent, excerpt, pairs): the default annotator makes an item of each sentence, with its short words as codes."""
-    rows = conversations.select("conv_id", "turn", "role", F.posexplode(T.sentences(F.col("text"))).alias("sent", "excerpt"))
+def annotate(conversations: DataFrame, *keep: str) -> DataFrame:
+    """(interview_id, turn, sent, excerpt, pairs) and the columns ``keep``: the default annotator makes an item of each sentence, with its short words as codes."""
+    rows = conversations.select("conv_id", "turn", "role", *keep, F.posexplode(T.sentences(F.col("text"))).alias("sent", "excerpt"))
     codes = F.regexp_extract_all(F.lower("excerpt"), F.lit(r"([a-z]{3,5})"), F.lit(1))
     pairs = F.transform(codes, lambda c: F.struct(c.alias("code"), F.col("role").alias("rationale")))
-    return rows.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("interview_id"), "turn", "sent", "excerpt", pairs.alias("pairs"))
+    return rows.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("interview_id"), "turn", "sent", "excerpt", pairs.alias("pairs"), *keep)
 
 
 def render(item_id: Column, excerpt: Column, pairs: Column) -> Column:
@@ -66,6 +69,11 @@ def parse(texts: DataFrame, text: str = "syn") -> DataFrame:
     return rows.select("interview_id", "item_seq", F.regexp_extract("b", r"^(\S+)", 1).alias("item_id"), bare(excerpt).alias("excerpt"), pairs.alias("pairs"))
 
 
+def line_anchored(text: Column) -> Column:
+    """The ITEM blocks that start and end at the start of a line, as they stand; what else names items is passed over."""
+    return F.regexp_extract_all(text, F.lit(r"(?ms)^ITEM\s+@\S+.*?^END ITEM"), F.lit(0))
+
+
 def header(text: Column) -> Column:
     """The SOURCE block of a text, or of the tagged header in it; empty if there is none."""
     inner = F.regexp_extract(text, r"(?s)\[-begin_header-\](.*?)\[-end_header-\]", 1)
@@ -197,26 +205,32 @@ def best_window(needle: str, text: str, threshold: float = LITERAL) -> float:
 def literal(items: DataFrame, texts: DataFrame, threshold: float = LITERAL) -> DataFrame:
     """Items with is_valid and score: whether the excerpt stands in the transcript, literally or nearly so.
 
-    Exact hits are found by the join alone; only the others go to Python. Items without an excerpt pass.
+    The items of an interview meet its transcript once. Exact hits are found by expressions; only the others go to Python,
+    again once for each interview. Items without an excerpt pass.
     """
 
-    @F.pandas_udf(DoubleType())
-    def search(needle: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([best_window(a, b, threshold) for a, b in zip(needle, text, strict=True)], dtype="float64")
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def search(needles: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([[best_window(x, b, threshold) for x in a] for a, b in zip(needles, text, strict=True)])
 
-    own = texts.select("interview_id", T.fingerprint(F.col("transcript")).alias("t"))
-    joined = items.join(own, "interview_id").withColumn("e", T.fingerprint(F.col("excerpt")))
-    hit = F.contains("t", "e")
-    exact = joined.where(hit).withColumn("score", F.lit(1.0))
-    near = joined.where(~hit).withColumn("score", search("e", "t"))
-    return exact.unionByName(near).drop("e", "t").withColumn("is_valid", F.col("score") >= threshold)
+    one = F.struct(*(F.col(f"`{c}`") for c in items.columns)).alias("item")
+    own = items.select("interview_id", F.struct(T.fingerprint(F.coalesce("excerpt", F.lit(""))).alias("e"), one).alias("i")).groupBy("interview_id").agg(F.collect_list("i").alias("all"))
+    met = own.join(texts.select("interview_id", T.fingerprint(F.col("transcript")).alias("t")), "interview_id")
+    hit = lambda x: F.contains(F.col("t"), x["e"])
+    met = met.select("t", F.filter("all", hit).alias("exact"), F.filter("all", lambda x: ~hit(x)).alias("rest"))
+    met = met.withColumn("scores", F.when(F.size("rest") > 0, search(F.transform("rest", lambda x: x["e"]), F.when(F.size("rest") > 0, F.col("t")).otherwise(""))))
+    scored = lambda x, score: F.struct(x["item"].alias("item"), score.alias("score"))
+    near = F.transform("rest", lambda x, k: scored(x, F.get("scores", k)))
+    out = met.select(F.explode(F.concat(F.transform("exact", lambda x: scored(x, F.lit(1.0))), near)).alias("o"))
+    return out.select("o.item.*", "o.score").withColumn("is_valid", F.col("score") >= threshold)
 
 
 def contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """(item_id, doc_id): needles(item_id, text) that occur in texts(doc_id, text), up to case and white space.
 
     A needle of five words or more shares its second to fourth words with the text; an equi-join on three words finds the
-    candidates, and the texts are compared for these alone. Shorter needles are compared by a theta join.
+    candidates, and the texts are compared for these alone. The needles' words are broadcast if they are few by count, so that
+    the texts' words need no shuffle. Shorter needles may stand within words and are compared with every text, if there are any.
     """
     w = lambda c: F.split(T.fingerprint(F.col(c)), " ", -1)
     short = needles.where(F.size(w("text")) < 5).select("item_id", T.fingerprint(F.col("text")).alias("n"))
@@ -224,26 +238,30 @@ def contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
     keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i), F.get("w", i + 1)))
     body = texts.select("doc_id", T.fingerprint(F.col("text")).alias("t"))
     grams = body.select("doc_id", "t", F.split("t", " ", -1).alias("w")).select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
-    pairs = grams.join(long, "key").select("doc_id", "item_id", "n")
-    found = pairs.join(body, "doc_id").where(F.contains("t", "n")).select("item_id", "doc_id")
-    theta = short.join(body, F.contains("t", "n")).select("item_id", "doc_id")
-    return found.unionByName(theta)
+    pairs = storage.written(grams.join(storage.few(long, FEW_NEEDLES), "key").select("doc_id", "item_id", "n"), "pairs")
+    found = storage.few(pairs, FEW_NEEDLES).join(body, "doc_id").where(F.contains("t", "n")).select("item_id", "doc_id")
+    if short.isEmpty():
+        return found
+    return found.unionByName(storage.few(short, FEW_NEEDLES).join(body, F.contains("t", "n")).select("item_id", "doc_id"))
 
 
 def closest_codes(words: DataFrame, codebook: DataFrame, cutoff: float = CLOSE) -> DataFrame:
     """(word, code, is_valid): each word's code, or the most similar one from the cutoff on (ties: the greater string), or itself.
 
-    Words similar to that degree share two adjacent characters, so a join on those meets every candidate.
+    Words similar to that degree share two adjacent characters, and their lengths differ by a bounded factor; a join on both
+    meets every candidate, and of these only pairs with enough characters in common are compared.
     """
     norm = lambda c: F.btrim(F.trim(F.lower(c)), F.lit("'\""))
     own, codes = words.select("word", norm("word").alias("w")).distinct(), codebook.select(norm("code").alias("code")).distinct()
     pairs_of = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2))))
     shared = lambda a, b: F.size(F.filter(F.split(F.col(a), ""), lambda c: (c != "") & F.contains(F.col(b), c)))  # noqa: E731  bounds the matching characters
+    # 2 * shorter >= cutoff * (shorter + longer)
+    lengths = lambda c: F.sequence(F.ceil(F.length(c) * F.lit(cutoff / (2 - cutoff)) - 1e-9).cast("int"), F.floor(F.length(c) * F.lit((2 - cutoff) / cutoff) + 1e-9).cast("int"))
     exact = own.join(codes, F.col("w") == F.col("code")).select("word", "code", F.lit(True).alias("is_valid"))
     rest = own.join(codes, F.col("w") == F.col("code"), "left_anti")
     met = (
-        rest.select("word", "w", F.explode(pairs_of("w")).alias("g"))
-        .join(codes.select("code", F.explode(pairs_of("code")).alias("g")), "g")
+        rest.select("word", "w", F.explode(pairs_of("w")).alias("g"), F.explode(lengths("w")).alias("n"))
+        .join(codes.select("code", F.length("code").alias("n"), F.explode(pairs_of("code")).alias("g")), ["g", "n"])
         .where(2 * F.least(F.length("w"), F.length("code")) >= cutoff * (F.length("w") + F.length("code")))
         .select("word", "w", "code")
         .distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
-from codeloom.operators import chains
+from codeloom.operators import chains, storage
 
 SENTINELS = ("No Analysis", "Format Error", "Missing Analysis")
 
@@ -29,15 +29,16 @@ def totals(blocks: DataFrame) -> DataFrame:
     return factors.join(relations_all, F.lit(True))  # one row each
 
 
-def ranked_co_factors(blocks: DataFrame) -> DataFrame:
+def ranked_co_factors(blocks: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(factor, co_factor, n, rank, level): level is high, medium or null.
 
     Ranks go by count, then by first appearance. High: rank up to 10 and 30 % of the factor's frequency; medium: rank up to
-    20, 15 %, not high, the first ten of these. Ranks over 20 can't count, so the window keeps 20 rows for each factor.
+    20, 15 %, not high, the first ten of these. Ranks over 20 can't count, so the window keeps 20 rows for each factor. ``only`` has
+    a few factors with their frequency, if not all are wanted.
     """
     w = Window.partitionBy("factor").orderBy(F.desc("n"), "first_seen")
-    top = chains.co_occurrences(blocks).withColumn("rank", F.row_number().over(w)).where("rank <= 20")
-    both = top.join(frequency(blocks).select("factor", "frequency"), "factor")
+    top = chains.co_occurrences(blocks, None if only is None else only.select("factor")).withColumn("rank", F.row_number().over(w)).where("rank <= 20")
+    both = top.join(frequency(blocks).select("factor", "frequency") if only is None else F.broadcast(only), "factor")
     high = (F.col("rank") <= 10) & (F.col("n") >= F.col("frequency") * 0.3)
     level = F.when(high, "high").when(F.col("n") >= F.col("frequency") * 0.15, "medium")
     leveled = both.withColumn("level", level)
@@ -45,12 +46,12 @@ def ranked_co_factors(blocks: DataFrame) -> DataFrame:
     return leveled.withColumn("place", in_level).withColumn("level", F.when(F.col("place") <= 10, F.col("level")))
 
 
-def co_factors(blocks: DataFrame) -> DataFrame:
+def co_factors(blocks: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(factor, high, medium): names in the order of their ranks."""
     named = lambda level: F.transform(
         F.array_sort(F.collect_list(F.when(F.col("level") == level, F.struct("rank", "co_factor")))), lambda x: x["co_factor"]
     ).alias(level)
-    return ranked_co_factors(blocks).groupBy("factor").agg(named("high"), named("medium"))
+    return ranked_co_factors(blocks, only).groupBy("factor").agg(named("high"), named("medium"))
 
 
 def scored_contexts(blocks: DataFrame) -> DataFrame:
@@ -71,7 +72,11 @@ def best_contexts(blocks: DataFrame, n: int = 3) -> DataFrame:
 
 
 def build(blocks: DataFrame, drop_sentinels: bool = False) -> DataFrame:
-    """One row per factor: frequency, sources, relations, co_factors, contexts. All parts are keyed by factor, and join on it."""
+    """One row per factor: frequency, sources, relations, co_factors, contexts. All parts are keyed by factor, and join on it.
+
+    The blocks are written once, so that what codes the texts runs once and not for each part.
+    """
+    blocks = storage.written(blocks, "blocks")
     if drop_sentinels:
         blocks = blocks.where(~F.exists("factors", lambda f: f.isin(*SENTINELS)))
     rel = relations(blocks).groupBy("factor").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rel", "targets")))).alias("relations"))
@@ -104,11 +109,12 @@ def summary(memory: DataFrame) -> DataFrame:
 
 
 def top_factors(blocks: DataFrame, n: int = 10) -> DataFrame:
-    """The n most frequent factors, ties by first appearance, with their strong co-factors."""
+    """The n most frequent factors, ties by first appearance, with their strong co-factors; pairs are made for these alone."""
+    blocks = storage.written(blocks, "blocks")
     first = F.min(F.struct("doc_id", "block_seq", "pos"))
     ranked = chains.occurrences(blocks).groupBy("factor").agg(F.count("*").alias("frequency"), F.count_distinct("doc_id").alias("sources"), first.alias("first_seen"))
-    top = ranked.orderBy(F.desc("frequency"), "first_seen").limit(n).drop("first_seen")
-    high = co_factors(blocks).select("factor", F.array_join("high", "|").alias("high"))
+    top = storage.written(ranked.orderBy(F.desc("frequency"), "first_seen").limit(n).drop("first_seen"), "top")
+    high = co_factors(blocks, top.select("factor", "frequency")).select("factor", F.array_join("high", "|").alias("high"))
     return top.join(high, "factor", "left")
 
 

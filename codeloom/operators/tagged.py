@@ -10,6 +10,7 @@ from codeloom.functions import text as T
 
 # The marks of the tagged format.
 HEADER = r"(?s)\[-begin_header-\](.*?)\[-end_header-\]"
+MARKS = r"\[-begin-\]|\[-end-\]"
 BLOCK = r"(?s)\[-begin-\]\s*(.*?)\s*\[-end-\]"
 
 
@@ -70,13 +71,73 @@ def repair_block(block: Column) -> Column:
     return F.when(block.rlike(r"\[@(.*?)@\]") & (stop > 0), F.when(fine, once).otherwise(wrapped))
 
 
+def _in_marks(block: Column) -> Column:
+    """A block without an excerpt in marks gets them around what stands between its reference and its description."""
+    stop, begin = F.position(F.lit("[%"), block), F.position(F.lit("@]"), block) + 2
+    inner = F.trim(F.substring(block, begin, F.greatest(stop - begin, F.lit(0))))
+    return F.when(block.rlike(r"\[!.*?!\]") | (stop <= 1), block).otherwise(F.concat(F.substring(block, F.lit(1), begin - 1), F.lit("[!"), inner, F.lit("!]"), F.substring(block, stop, F.length(block))))
+
+
+def _fixed(block: Column, ref: Column) -> Column:
+    """A block with its reference mark once and in front, single closing marks, and its excerpt in marks."""
+    mark = _cat("[@", ref, "@]")
+    once = F.regexp_replace(block, _cat(r"\[@", quoted(ref), r"@\](\[@", quoted(ref), r"(@)?\])+"), F.regexp_replace(mark, r"([\\$])", r"\\$1"))
+    return _in_marks(F.replace(F.when(F.contains(once, mark), once).otherwise(F.concat(mark, once)), F.lit("!]!]"), F.lit("!]")))
+
+
+def _sentinel(ref: Column, description: Column, excerpt: str, why: Column, chain: str) -> Column:
+    return F.concat(header(ref, description, F.lit("Not applicable")), _cat("\n\n[-begin-][@", ref, "@][!", excerpt, "!][%", why, "%]", chain, "[-end-]"))
+
+
+def _chained(text: Column) -> Column:
+    return F.contains(text, F.lit("[#")) & F.contains(text, F.lit("[&"))
+
+
+def staged(answers: DataFrame) -> DataFrame:
+    """answers(ref, answer, …) with the steps of their reading: head, whole blocks (repaired), recoverable parts, and status.
+
+    Status: no_chains (the model says so), ok (header and blocks), recovered (header or blocks missing, but chains in the parts between the
+    marks), blocks_only (blocks, but neither header nor chains), failed.
+    """
+    head = F.regexp_extract("answer", HEADER, 1)
+    whole = F.filter(F.transform(F.regexp_extract_all("answer", F.lit(BLOCK), F.lit(1)), repair_block), lambda b: b.isNotNull())
+    rows = answers.withColumns({"has_head": F.col("answer").rlike(HEADER), "head": _cat("[-begin_header-]", F.btrim(head, F.lit(" \t\n\r")), "[-end_header-]"), "whole": whole})
+    lacking = ~F.col("has_head") | (F.size("whole") == 0)
+    parts = F.when(lacking, F.filter(F.split("answer", MARKS, -1), _chained)).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("parts", parts)
+    status = (
+        F.when(F.contains("answer", F.lit("NO EXTRACTABLE CHAINS")), "no_chains").when(~lacking, "ok").when(F.size("parts") > 0, "recovered").when(F.size("whole") > 0, "blocks_only").otherwise("failed")
+    )
+    return rows.withColumn("status", status)
+
+
+def validated(answers: DataFrame, recovered: str = "Abstract on energy technology acceptance") -> DataFrame:
+    """(…, status, output): a model's answers as tagged documents that parse() reads.
+
+    Whole answers keep header and blocks, each block fixed. Recovered ones get a header if they have none (with the description
+    ``recovered``) and the parts with chains as blocks. No chains, and failures, give sentinel documents, whose factors count as such
+    in a memory unless it drops them.
+    """
+    given = [c for c in answers.columns if c not in ("status", "output", "answer")]
+    rows, ref = staged(answers), F.col("ref")
+    made = header(ref, F.lit(recovered), F.lit("Not specified"))
+    head = F.when(F.col("has_head"), F.col("head")).when(F.col("status") == "recovered", made)
+    rows = rows.withColumns({"head": head, "body": F.transform(F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.col("whole")), lambda b: _cat("[-begin-]", _fixed(b, ref), "[-end-]"))})
+    reason = no_chains_reason(F.col("answer"))
+    output = (
+        F.when(F.col("status") == "no_chains", _sentinel(ref, _cat("No extractable chains: ", reason), "NO EXTRACTABLE CHAINS", reason, "[#No Analysis#]"))
+        .when(F.col("status") == "failed", _sentinel(ref, F.lit("Analysis could not be completed"), "No valid analysis generated", F.lit("Format issues in response"), "[#Format Error#][&causes&][#Missing Analysis#]"))
+        .otherwise(F.array_join(F.concat(F.array_compact(F.array("head")), F.col("body")), "\n\n"))
+    )
+    return rows.select(*given, "status", output.alias("output"))
+
+
 def classify_response(response: Column) -> Column:
-    """What a model's answer needs: no_chains, ok, blocks_only, recovered (chains, but no whole block), failed."""
+    """What a model's answer needs, as in staged()."""
     whole = F.exists(F.regexp_extract_all(response, F.lit(BLOCK), F.lit(1)), lambda b: repair_block(b).isNotNull())
-    head = response.rlike(HEADER)
-    some = F.contains(response, F.lit("[#")) & F.contains(response, F.lit("[&"))
+    some = F.exists(F.split(response, MARKS, -1), _chained)
     return (
-        F.when(F.contains(response, F.lit("NO EXTRACTABLE CHAINS")), "no_chains").when(whole & head, "ok").when(some, "recovered").when(whole, "blocks_only").otherwise("failed")
+        F.when(F.contains(response, F.lit("NO EXTRACTABLE CHAINS")), "no_chains").when(whole & response.rlike(HEADER), "ok").when(some, "recovered").when(whole, "blocks_only").otherwise("failed")
     )
 
 

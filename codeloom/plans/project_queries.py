@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
-from codeloom.operators import budget, chains, classify, codebook, memory, rules
+from codeloom.functions.tables import NEGATIVE, STOP_WORDS
+from codeloom.operators import budget, chains, classify, codebook, items, memory, rules, storage
 from codeloom.plans.base import BLOCKS, CO, blocks, query, table
-from codeloom.plans.text_queries import SENT, WORDS
+from codeloom.plans.text_queries import ITEMS, SENT, WORDS
+from codeloom.sources import writers
 
 
 def _codebook(spark, d):
-    """A codebook made of the documents: a code for each, its first sentences' quoted and listed words as definition."""
-    docs = table(spark, d, "documents")
-    definition = F.concat(F.lit('About "'), F.col("source"), F.lit(", "), F.col("lang"), F.lit('" things. Ex: alpha '), F.col("source"), F.lit("; beta, gamma"), F.lit(". Relates to themes"))
-    scope = F.when(F.col("doc_id") % 2 == 0, "exploratorios").otherwise("classificatorios")
-    return docs.select(F.col("doc_id").alias("ord"), F.concat(F.lit("code_"), F.col("doc_id").cast("string")).alias("code"), definition.alias("definition"), scope.alias("scope"))
+    """A codebook made of the documents: a code for each, with words of its text, quoted and listed, as definition."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,12})"), F.lit(1))
+    docs = table(spark, d, "documents").select("doc_id", words.alias("w")).where(F.size("w") > 0)
+    word = lambda half: F.get("w", F.floor((F.size("w") - 1) * half / 2).cast("int"))  # noqa: E731  the first, the middle and the last
+    definition = F.concat(F.lit('Uses "'), word(0), F.lit('" here. Ex: '), word(1), F.lit(", "), word(2), F.lit("; more"))
+    return docs.select(F.col("doc_id").alias("ord"), F.concat(F.lit("code_"), F.col("doc_id").cast("string")).alias("code"), definition.alias("definition"))
 
 
-_KEYS = """with k as (select doc_id as ord, 'code_' || doc_id as code, unnest(list_filter([lower(source), 'alpha ' || lower(source), 'about', 'things', 'alpha'], lambda t: length(t) between 4 and 49)) as keyword from documents)"""
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_KEYS = rf"""with w as (select doc_id, regexp_extract_all(lower(text), '[a-z]{{4,12}}') as w from documents), t as (select doc_id, w[1] as a, w[(len(w) - 1) // 2 + 1] as b, w[len(w)] as c from w where len(w) > 0),
+k as (select distinct doc_id as ord, 'code_' || doc_id as code, unnest([a, b, c, 'uses', case when len(list_filter([{_STOPS}], lambda s: contains(a, s))) > 0 then 'here' else a end]) as keyword from t)"""
 
 
-@query(_KEYS + " select keyword, string_agg(code, '|' order by ord) as codes from k group by 1")
+@query(_KEYS + " select keyword, code, ord from k")
 def x30_keyword_index(spark, d):
-    return codebook.keyword_index(_codebook(spark, d)).select("keyword", F.array_join("codes", "|").alias("codes"))
+    return codebook.keyword_index(_codebook(spark, d))
 
 
 @query(_KEYS + ", g as (select keyword, string_agg(code, '|' order by ord) filter (rn <= 4) as codes from (select *, row_number() over (partition by keyword order by ord) as rn from k) group by 1) select * from g order by keyword limit 50")
@@ -92,11 +97,18 @@ def r14_template_violations(spark, d):
     return codebook.violations(values, specs)
 
 
-@query("select doc_id, case when doc_id % 2 = 0 then 'a|b' else 'a_1|c' end as nodes, case when doc_id % 2 = 0 then 'enables' else 'is-like' end as relations, true as valid from documents")
+@query(BLOCKS + r"""select doc_id, block_seq, array_to_string(list_transform(case when block_seq % 4 = 1 then factors[1 : len(factors) - 1] else factors end, lambda f: case when block_seq % 4 = 2 then f else lower(f) end), '|') as nodes,
+ array_to_string(relations, '|') as relations, block_seq % 4 in (0, 3) as valid from blocks""")
 def x33_chain_syntax(spark, d):
-    text = F.when(F.col("doc_id") % 2 == 0, "a -> enables  ->  b").otherwise(" a_1 -> is-like -> c")
-    nodes, relations, valid = chains.parse_chain(text)
-    return table(spark, d, "documents").select("doc_id", F.array_join(nodes, "|").alias("nodes"), F.array_join(relations, "|").alias("relations"), valid.alias("valid"))
+    """Chains of the blocks in their text form; of every four one lacks its last node, and one has capitals."""
+    k = F.col("block_seq") % 4
+    nodes = F.transform(F.when(k == 1, F.slice("factors", F.lit(1), F.size("factors") - 1)).otherwise(F.col("factors")), lambda f: F.when(k == 2, f).otherwise(F.lower(f)))
+    steps = F.flatten(F.transform("relations", lambda r, i: F.array_compact(F.array(F.get(nodes, i), r))))
+    last = F.when(k == 1, F.array().cast("array<string>")).otherwise(F.array(F.element_at(nodes, -1)))
+    text = F.concat(F.when(k == 3, F.lit("  ")).otherwise(F.lit("")), F.array_join(F.concat(steps, last), " -> "))
+    nodes, relations, valid = chains.parse_chain(F.col("text"))
+    rows = blocks(spark, d).select("doc_id", "block_seq", text.alias("text"))
+    return rows.select("doc_id", "block_seq", F.array_join(nodes, "|").alias("nodes"), F.array_join(relations, "|").alias("relations"), valid.alias("valid"))
 
 
 @query("select o_orderkey, true as iso, strftime(o_orderdate, '%d/%m/%Y') = '' as slashed from orders")
@@ -105,17 +117,22 @@ def x36_iso_dates(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.is_iso_date(F.date_format(day, "yyyy-MM-dd")).alias("iso"), T.is_iso_date(F.date_format(day, "dd/MM/yyyy")).alias("slashed"))
 
 
-@query("select doc_id, md5(trim(text)) as bare from documents where not contains(text, '```')")
+@query(r"""with f as (select doc_id, trim(case when doc_id % 2 = 0 then '```text' || chr(10) || text || chr(10) || '```' else text end) as t from documents)
+select doc_id, md5(trim(regexp_replace(regexp_replace(t, '^```[A-Za-z]*\s*\n?', ''), '\n?```\s*$', ''))) as bare from f""")
 def x20_without_fences(spark, d):
-    docs = table(spark, d, "documents").where("not contains(text, '```')")
-    return docs.select("doc_id", F.md5(T.without_fences(F.concat(F.lit("```text\n"), F.trim("text"), F.lit("\n```")))).alias("bare"))
+    fenced = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```text\n"), F.col("text"), F.lit("\n```"))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.without_fences(fenced)).alias("bare"))
 
 
-@query("select doc_id, 'ITEM @d' || doc_id || chr(10) || 'x' || chr(10) || 'END ITEM' || chr(10) || chr(10) || 'ITEM @e' || doc_id || chr(10) || 'END ITEM' as items from documents")
+@query(ITEMS + r""", r as (select interview_id, turn, sent, 'ITEM @' || interview_id || chr(10) || '    ordem_1a: "' || excerpt || '"' || chr(10) ||
+ array_to_string(list_transform(codes, lambda c: '    ordem_2a: ' || c || chr(10) || '    justificativa_interna: "' || role || '"'), chr(10) || chr(10)) || chr(10) || 'END ITEM' as item from items)
+select interview_id, count(*)::INT as n, md5(string_agg(item, chr(10) || chr(10) order by turn, sent)) as items from r group by 1""")
 def x21_line_anchored_items(spark, d):
-    i = F.col("doc_id").cast("string")
-    text = F.concat(F.lit("intro\nITEM @d"), i, F.lit("\nx\nEND ITEM\nnoise ITEM @no END ITEM\nITEM @e"), i, F.lit("\nEND ITEM\n"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.regexp_extract_all(text, F.lit(r"(?ms)^ITEM\s+@\S+.*?^END ITEM"), F.lit(0)), "\n\n").alias("items"))
+    """Items out of the interviews' rendered text, between remarks that name items within their lines."""
+    text = F.replace(F.col("syn"), F.lit("END ITEM\n\n"), F.lit("END ITEM\nthen ITEM @no more END ITEM\n\n"))
+    found = items.line_anchored(F.concat(F.lit("intro: ITEM @x END ITEM\n"), text))
+    rows = items.documents(items.annotate(table(spark, d, "conversations"))).select("interview_id", found.alias("f"))
+    return rows.select("interview_id", F.size("f").alias("n"), F.md5(F.array_join("f", "\n\n")).alias("items"))
 
 
 @query(rf"""with s as (select doc_id, unnest(range(len(st)))::INT as pos, unnest(st) as s from (select doc_id, {SENT.format('text')} as st from documents))
@@ -135,24 +152,43 @@ def r10_excerpt_sentences(spark, d):
 
 
 def _answers(spark, d):
-    """A model's answer for each factor, in the three forms that answers come in, by the factor's rank."""
-    f = memory.frequency(blocks(spark, d)).withColumn("k", F.crc32("factor") % 3)
-    n, s = (F.col("frequency") % 16).cast("string"), (F.col("sources") % 5).cast("string")
+    """A model's answer for each factor, in the three forms that answers come in; form, ranges and lengths go by the factor's counts."""
+    f = memory.frequency(blocks(spark, d)).withColumn("k", (F.col("frequency") + F.col("sources")) % 3)
+    n, s = (F.col("frequency") % 17).cast("string"), (F.col("sources") % 6).cast("string")
     topic = F.lower(F.substring("factor", 1, 1))
-    head = F.concat(F.col("factor"), F.lit(","), topic, F.lit(","), n, F.lit(","), s, F.lit(',HIGH,"because","a thing"'))
-    fields = F.concat(F.lit("Topic: "), topic, F.lit("\nAspect: "), n, F.lit("\nconfidence: LOW\nreasoning: 'so'\n"))
+    words = lambda w, n: F.array_join(F.array_repeat(F.lit(w), n.cast("int")), " ")
+    why, what = words("because", F.col("frequency") % 70 + 1), words("thing", F.col("sources") % 90 + 1)
+    head = F.concat(F.col("factor"), F.lit(","), topic, F.lit(","), n, F.lit(","), s, F.lit(',HIGH,"'), why, F.lit('","'), what, F.lit('"'))
+    fields = F.concat(F.lit("Topic: "), topic, F.lit("\nAspect: "), n, F.lit("\nconfidence: LOW\nreasoning: '"), why, F.lit("'\n"))
     answer = F.when(F.col("k") == 0, F.concat(head, F.lit(',"up","down"'))).when(F.col("k") == 1, head).otherwise(fields)
     return f.select("factor", answer.alias("answer"))
 
 
-CLASSIFIED = CO + """, k as (select *, case when factor is null then 0 end as z from freq), cls as (select factor, lower(factor[1:1]) as topic, (frequency % 16)::INT as aspect, (sources % 5)::INT as dim0 from k)"""
+POLES_SQL = ", ".join(f"({i}, '{w}', '{a}', '{b}')" for i, (w, a, b) in enumerate(classify.POLES))
+CLASSIFIED = CO + rf""", poles(ord, word, a, b) as (values {POLES_SQL})
+, k as (select *, (frequency + sources) % 3 as k, array_to_string(list_transform(range(frequency % 70 + 1), lambda i: 'because'), ' ') as why, array_to_string(list_transform(range(sources % 90 + 1), lambda i: 'thing'), ' ') as what from freq)
+, pole as (select factor, min_by(a, ord) as a, min_by(b, ord) as b from k join poles on contains(lower(factor), word) group by 1)
+, made as (select factor, coalesce(a, case when regexp_matches(lower(factor), '{"|".join(NEGATIVE)}') then 'Low ' || factor else 'High ' || factor end) as ma, coalesce(b, case when regexp_matches(lower(factor), '{"|".join(NEGATIVE)}') then 'High ' || factor else 'Low ' || factor end) as mb from k left join pole using (factor))
+, cls as (select factor, lower(factor[1:1]) as topic, (frequency % 17)::INT as aspect, case when k < 2 then sources % 6 else 0 end::INT as dimension, case when k < 2 then 'HIGH' else 'LOW' end as confidence, why as reasoning,
+   case when k < 2 then what else 'No description provided' end as factor_description, case when k = 0 then 'up' else ma end as rgt_element_a, case when k = 0 then 'down' else mb end as rgt_element_b, 0 as theorethical_significance,
+   case k when 0 then 'csv9' when 1 then 'csv7' else 'fields' end as parse_path from k join made using (factor))"""
 
 
-@query()
+@query(CLASSIFIED + "select * from cls")
 def x23_parsed_classification(spark, d):
     return classify.parse(_answers(spark, d))
 
 
+@query(CLASSIFIED + "select * exclude (parse_path) from cls")
+def k4_classification_csv(spark, d):
+    """Classifications written as CSV, and read back."""
+    path, rows = storage.folder(spark, "csv"), classify.parse(_answers(spark, d))
+    writers.classification_csv(rows, path)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    return back.select(*(F.col(c).cast(kinds[c]).alias(c) for c in classify.COLUMNS))
+
+
 @query(CLASSIFIED + "select factor, topic, aspect from cls")
 def x24_labelled_fields(spark, d):
     return classify.parse(_answers(spark, d)).select("factor", "topic", "aspect")
@@ -173,12 +209,12 @@ def r13_topic_summary(spark, d):
     return classify.topic_summary(classify.parse(_answers(spark, d)))
 
 
-@query(CLASSIFIED + "select kind, count(*) as n from (select unnest(['description', 'reasoning']) as kind from cls) group by 1")
+@query(CLASSIFIED + r"""select factor, unnest(list_filter([case when aspect not between 0 and 15 then 'aspect' end, case when dimension not between 0 and 4 then 'dimension' end,
+ case when len(string_split(factor_description, ' ')) not between 40 and 80 then 'description' end, case when len(string_split(reasoning, ' ')) not between 40 and 60 then 'reasoning' end], lambda x: x is not null)) as kind from cls""")
 def r12_range_errors(spark, d):
-    return classify.range_errors(classify.parse(_answers(spark, d))).groupBy("kind").agg(F.count("*").alias("n"))
+    return classify.range_errors(classify.parse(_answers(spark, d)))
 
 
-POLES_SQL = ", ".join(f"({i}, '{w}', '{a}', '{b}')" for i, (w, a, b) in enumerate(classify.POLES))
 _NAMES = """with f as (select doc_id, case doc_id % 6 when 0 then 'Public ' || source || ' Trust' when 1 then 'Market price ' || source when 2 then 'Barrier ' || source when 3 then 'Risk of policy' when 4 then 'Social methods' else upper(source[1:1]) || source[2:] end as factor from documents)"""
 
 
@@ -215,9 +251,9 @@ _LOG = "with log as (select event_id, user_id as key, ts, floor(coalesce(value,
 
 
 @query(_LOG + """select event_id, key, count(*) over w as requests, (sum(in_tokens) over w)::BIGINT as in_used, (sum(out_tokens) over w)::BIGINT as out_used,
- count(*) over w > 50 or sum(in_tokens) over w > 30000 or sum(out_tokens) over w > 8000 as over from log window w as (partition by key order by epoch_us(ts) range between 3599999999 preceding and current row)""")
+ count(*) over w > 50 or sum(in_tokens) over w > 30000 or sum(out_tokens) over w > 8000 as over from log window w as (partition by key order by epoch_us(ts) range between 59999999 preceding and current row)""")
 def w5_rolling_budget(spark, d):
-    return budget.over_limit(budget.rolling(budget.request_log(table(spark, d, "events")), 3600))
+    return budget.over_limit(budget.rolling(budget.request_log(table(spark, d, "events"))))
 
 
 @query(f"""with p(model, i, o) as (values ('claude-3-haiku-20240307', 0.25::DOUBLE, 1.25::DOUBLE), ('claude-3-opus-20240229', 15.0::DOUBLE, 75.0::DOUBLE)),
@@ -250,3 +286,15 @@ def a12_run_summary(spark, d):
     status = F.when(F.col("quality") == 1, "processed").when(F.col("quality") == 0, "failed").otherwise("skipped")
     log = rows.select(status.alias("status"), (F.col("n_chars") / 1000.0).alias("duration"), (F.col("n_chars") / 1e6).alias("estimated_cost"))
     return budget.run_summary(log)
+
+
+@query("""select doc_id::VARCHAR as file, case when quality = 1 then 'processed' when quality = 0 then 'failed' else 'skipped' end as status, n_chars / 1000.0::DOUBLE as duration from documents left join labels using (doc_id)""")
+def k5_run_log(spark, d):
+    """A log of the documents' states, appended in two parts, and read back."""
+    path = storage.folder(spark, "log")
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    status = F.when(F.col("quality") == 1, "processed").when(F.col("quality") == 0, "failed").otherwise("skipped")
+    log = rows.select(F.col("doc_id").cast("string").alias("file"), status.alias("status"), F.lit(None).cast("string").alias("output"), (F.col("n_chars") / 1000.0).alias("duration"), (F.col("n_chars") / 1e6).alias("estimated_cost"), F.lit(None).cast("string").alias("error"))
+    for part in (F.col("status") == "skipped", F.col("status") != "skipped"):
+        writers.run_log(log.where(part), path)
+    return spark.read.parquet(path).select("file", "status", "duration")

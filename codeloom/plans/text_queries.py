@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
-from codeloom.operators import chunking, items, tagged
+from codeloom.operators import chunking, items, storage, tagged
 from codeloom.plans.base import BLOCKS, blocks, query, table
+from codeloom.sources import readers, writers
 
 SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 SENT = r"string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
@@ -65,9 +66,15 @@ def s2_abstract_table(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("reference"), F.col("text").alias("abstract"))
 
 
-@query()
+@query(f"""with t as (select doc_id, coalesce(text, '') as t from documents), s as (select doc_id, t, {SENT.format('t')} as st from t),
+z as (select doc_id, t, list_reduce(list_prepend({{'out': []::VARCHAR[], 'cur': '', 's': ''}}, list_transform(st, lambda x: {{'out': []::VARCHAR[], 'cur': '', 's': x}})),
+  lambda a, b: case when length(a.cur) + length(b.s) > 30000 and a.cur <> '' then {{'out': list_append(a.out, a.cur), 'cur': b.s, 's': ''}} when length(a.cur) + length(b.s) > 30000 then {{'out': list_append(a.out, b.s), 'cur': '', 's': ''}}
+    when a.cur <> '' then {{'out': a.out, 'cur': a.cur || ' ' || b.s, 's': ''}} else {{'out': a.out, 'cur': b.s, 's': ''}} end) as r from s where length(t) > 30000),
+c as (select doc_id, [t] as c from t where length(t) <= 30000 union all select doc_id, case when r.cur <> '' then list_append(r.out, r.cur) else r.out end from z),
+p as (select doc_id, unnest(range(1, len(c) + 1))::INT as part, len(c)::INT as n_parts, unnest(c) as chunk from c)
+select doc_id, part, n_parts, length(chunk)::INT as chars, md5(chunk) as digest from p""")
 def x8_packed_chunks(spark, d):
-    out = chunking.chunks(table(spark, d, "documents"), 3000)
+    out = chunking.chunks(table(spark, d, "documents"))
     return out.select("doc_id", "part", "n_parts", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
 
 
@@ -80,14 +87,24 @@ def w3_truncated(spark, d):
     return chunking.truncate(table(spark, d, "documents"), 300).select("doc_id", F.md5("text").alias("digest"), "tokens")
 
 
-@query()
+
+#: windows of documents, a step at a time; {0} is what lets a window start where the one before has ended
+_WINDOWS = r"""with recursive t as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n from documents),
+w as (select doc_id, t, n, 0::BIGINT as part, 0::BIGINT as start, 0::BIGINT as stop, 0::BIGINT as nxt from t
+  union all select doc_id, t, n, part + 1, nxt, stop, case when stop >= n then n + 1 when stop - 5000 <= nxt {0} then stop else stop - 5000 end from (
+    select doc_id, t, n, part, nxt, case when n <= 18000 or nxt + 18000 >= n then n when cut > 1 then nxt + cut when blank > 1 then nxt + blank - 1 else nxt + 18000 end as stop from (
+      select *, length(regexp_extract(substring(t, nxt + 1, 18000), '(?s)^.+[.!?][ \n]')) as cut, length(regexp_extract(substring(t, nxt + 1, 18000), '(?s)^.* ')) as blank from w where part = 0 or nxt < n) x) y)
+select doc_id, part::INT as part, start, stop as "end", md5(substring(t, start + 1, stop - start)) as digest from w where part > 0"""
+
+
+@query(_WINDOWS.format("or part > 0 and stop - 5000 <= n - (stop - nxt)"))
 def x9_overlapping_windows(spark, d):
-    return chunking.overlapping(table(spark, d, "documents"), 6000, 1500).select("doc_id", "part", "start", "end", F.md5("chunk").alias("digest"))
+    return chunking.overlapping(table(spark, d, "documents")).select("doc_id", "part", "start", "end", F.md5("chunk").alias("digest"))
 
 
-@query()
+@query(_WINDOWS.format(""))
 def p4_uniform_windows(spark, d):
-    return chunking.overlapping(table(spark, d, "documents"), 6000, 1500, "uniform").select("doc_id", "part", "start", "end", F.md5("chunk").alias("digest"))
+    return chunking.overlapping(table(spark, d, "documents"), mode="uniform").select("doc_id", "part", "start", "end", F.md5("chunk").alias("digest"))
 
 
 @query("select doc_id, greatest(200000 - 8000 - 20000 - length(text) * 10, 5000)::INT as budget from documents")
@@ -140,39 +157,70 @@ def _damaged(spark, d):
     return b.select("doc_id", "block_seq", body.alias("body"))
 
 
-@query(BLOCKS + r"""select doc_id, block_seq, case when block_seq % 5 in (0, 1, 2) then '[@doc' || doc_id || '@][!' || trim(excerpt) || '!][%d%]' || array_to_string(list_transform(factors, lambda f: '[#' || f || '#]'), '') end as block from blocks
-where not contains(excerpt, '[') and not contains(excerpt, '!]')""")
+_REPAIRED = BLOCKS + r"""
+, d as (select doc_id, block_seq, '[@doc' || doc_id || '@]' as m, trim(excerpt) as e, '[%d%]' || array_to_string(list_transform(factors, lambda f: '[#' || f || '#]'), '') as tail from blocks)
+, b as (select doc_id, block_seq, case block_seq % 5 when 0 then m || m || '[!' || e || '!]' || tail when 1 then m || '[!' || e || '!]!]' || tail when 2 then m || ' ' || e || ' ' || tail when 3 then '[!' || e || '!]' || tail else m || '[!' || e || '!]' end as body from d)
+, r as (select *, regexp_matches(body, '\[@(.*?)@\]') as has, '[@' || regexp_extract(body, '\[@(.*?)@\]', 1) || '@]' as mark from b)
+, o as (select *, replace(replace(replace(body, mark || mark, mark), mark || mark, mark), '!]!]', '!]') as once from r)
+, p as (select *, strpos(once, mark) + length(mark) as begin_, strpos(once, '[%') as stop from o)
+, i as (select *, trim(substring(once, begin_, greatest(stop - begin_, 0))) as inner_ from p)
+, repaired as (select doc_id, block_seq, case when has and stop > 0 then case when starts_with(inner_, '[!') and ends_with(inner_, '!]') then once
+   else substring(once, 1, begin_ - 1) || '[!' || replace(replace(inner_, '[!', ''), '!]', '') || '!]' || substring(once, stop) end end as block from i)
+"""
+
+
+@query(_REPAIRED + "select doc_id, block_seq, block from repaired")
 def x12_repaired_blocks(spark, d):
-    rows = _damaged(spark, d).select("doc_id", "block_seq", tagged.repair_block(F.col("body")).alias("block"))
-    plain = blocks(spark, d).where("not contains(excerpt, '[') and not contains(excerpt, '!]')").select("doc_id", "block_seq")
-    return rows.join(plain, ["doc_id", "block_seq"])
+    return _damaged(spark, d).select("doc_id", "block_seq", tagged.repair_block(F.col("body")).alias("block"))
 
 
-@query(BLOCKS + "select doc_id, count(*) filter (block_seq % 5 in (0, 1, 2)) as kept, count(*) filter (block_seq % 5 in (3, 4)) as dropped from blocks group by 1")
+@query(_REPAIRED + "select doc_id, count(block) as kept, count(*) - count(block) as dropped from repaired group by 1")
 def f9_block_filter(spark, d):
     whole = tagged.repair_block(F.col("body")).isNotNull()
     return _damaged(spark, d).groupBy("doc_id").agg(F.count_if(whole).alias("kept"), F.count_if(~whole).alias("dropped"))
 
 
-@query("""select status, count(*) as n from (select case doc_id % 5 when 0 then 'no_chains' when 1 then 'ok' when 2 then 'recovered' when 3 then 'blocks_only' else 'failed' end as status from documents) group by 1""")
-def x13_response_status(spark, d):
-    body = F.lit("[@r@][!x!][%y%]")
-    head = F.lit("[-begin_header-]\nreferencia_bibtex:r\n[-end_header-]\n")
+def _model_answers(spark, d):
+    """(doc_id, ref, answer): what a model may answer for a document, in five forms, made of the document's own blocks and text."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("ref"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.join(tagged.render(blocks(spark, d)), "ref", "left").withColumn("tagged", F.coalesce("tagged", F.lit("")))
+    body = F.regexp_replace("tagged", r"(?s)^.*\[-end_header-\]", "")
+    kind = F.col("doc_id") % 5
     answer = (
-        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("**NO EXTRACTABLE CHAINS**: none in "), F.col("source")))
-        .when(F.col("doc_id") % 5 == 1, F.concat(head, F.lit("[-begin-]"), body, F.lit("[#A#][&enables&][#B#][-end-]")))
-        .when(F.col("doc_id") % 5 == 2, F.lit("no marks but [#A#][&enables&][#B#]"))
-        .when(F.col("doc_id") % 5 == 3, F.concat(F.lit("[-begin-]"), body, F.lit("[#A#][-end-]")))
-        .otherwise(F.lit("nothing to see"))
-    )
-    rows = table(spark, d, "documents").select(tagged.classify_response(answer).alias("status"))
-    return rows.groupBy("status").agg(F.count("*").alias("n"))
+        F.when(kind == 0, F.concat(F.lit("**NO EXTRACTABLE CHAINS**: "), F.col("text"))).when(kind == 1, F.col("tagged")).when(kind == 2, F.replace(body, F.lit("[-begin-]"), F.lit("")))
+        .when(kind == 3, body).otherwise(F.col("text"))
+    )
+    return rows.select("doc_id", "ref", answer.alias("answer"))
+
+
+_VALIDATED = RENDERED + r"""
+, g as (select doc_id, string_agg(block, chr(10) || chr(10) order by block_seq) as body, string_agg(replace(block, '[-begin-]', '[-begin-]' || chr(10) || chr(10)), chr(10) || chr(10) order by block_seq) as unmarked from (select doc_id, block_seq, replace(block, '!]!]', '!]') as block from b1) group by 1)
+, a as (select d.doc_id, coalesce(d.text, '') as text, case when d.doc_id % 5 = 2 then g.unmarked else g.body end as body, d.doc_id % 5 as k, 'doc' || d.doc_id as ref from documents d left join g using (doc_id))
+, v as (select *, case when k = 0 then 'no_chains' when k = 4 or body is null then 'failed' when k = 1 then 'ok' else 'recovered' end as status,
+   trim(replace(regexp_extract('**: ' || text, '^([^\n]+)', 1), '*', '')) as said from a)
+, w as (select *, case when said = '' then 'Abstract does not contain relevant content' else said end as reason, '[-begin_header-]' || chr(10) || 'referencia_bibtex:' || ref || chr(10) as top, chr(10) || '[-end_header-]' || chr(10) || chr(10) as foot from v)
+, validated as (select doc_id, status, reason, case status
+   when 'no_chains' then top || 'descricao:[No extractable chains: ' || reason || ']' || chr(10) || 'metodo:[Not applicable]' || foot || '[-begin-][@' || ref || '@][!NO EXTRACTABLE CHAINS!][%' || reason || '%][#No Analysis#][-end-]'
+   when 'ok' then '[-begin_header-]referencia_bibtex:' || ref || chr(10) || 'descricao:[Coded text]' || chr(10) || 'metodo:[Not specified][-end_header-]' || chr(10) || chr(10) || body
+   when 'recovered' then top || 'descricao:[Recovered analysis]' || chr(10) || 'metodo:[Not specified]' || foot || body
+   else top || 'descricao:[Analysis could not be completed]' || chr(10) || 'metodo:[Not applicable]' || foot || '[-begin-][@' || ref || '@][!No valid analysis generated!][%Format issues in response%][#Format Error#][&causes&][#Missing Analysis#][-end-]' end as output from w)
+"""
 
 
-@query("select doc_id, '- too little about ' || source as reason from documents")
+@query(_VALIDATED + "select doc_id, status, md5(output) as output from validated")
+def x13_validated_answers(spark, d):
+    out = tagged.validated(_model_answers(spark, d), recovered="Recovered analysis")
+    return out.select("doc_id", "status", F.md5("output").alias("output"))
+
+
+@query(_VALIDATED + "select status, count(*) as n from validated group by 1")
+def x13_response_status(spark, d):
+    return _model_answers(spark, d).select(tagged.classify_response(F.col("answer")).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(_VALIDATED + "select doc_id, reason from validated where status = 'no_chains'")
 def x14_no_chains_reason(spark, d):
-    answer = F.concat(F.lit("**NO EXTRACTABLE CHAINS** - **too little about "), F.col("source"), F.lit("**\nmore"))
-    return table(spark, d, "documents").select("doc_id", tagged.no_chains_reason(answer).alias("reason"))
+    return _model_answers(spark, d).select("doc_id", tagged.no_chains_reason(F.col("answer")).alias("reason")).where("reason is not null")
 
 
 @query(BLOCKS + "select doc_id, block_seq from blocks where len(factors) > 0")
@@ -188,10 +236,10 @@ def x15_part_suffix(spark, d):
 
 
 @query(f"""with c as (select doc_id, unnest(range(len(st))) as part, unnest(st) as s from (select doc_id, {SENT.format('text')} as st from documents))
-select doc_id, count(*) as n_parts, count(*)::INT as n_blocks, 'referencia_bibtex:' || doc_id as header, md5(string_agg('[@' || doc_id || '@]' || s, '|' order by part)) as digest
-from c where not contains(s, '[@') group by 1""")
+select doc_id, count(*) as n_parts, count(*)::INT as n_blocks, 'referencia_bibtex:' || doc_id as header,
+ md5(string_agg(regexp_replace('[@' || doc_id || '_part' || part || '@]' || s, '\\[@.*?_part\\d+@\\]', '[@' || doc_id || '@]', 'g'), '|' order by part)) as digest from c group by 1""")
 def a13_recombined(spark, d):
-    cut = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("part", "s")).where("not contains(s, '[@')")
+    cut = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("part", "s"))
     ref = F.concat(F.col("doc_id").cast("string"), F.lit("_part"), F.col("part").cast("string"))
     parts = cut.select("doc_id", "part", F.concat(F.lit("referencia_bibtex:"), ref).alias("header"), F.array(F.concat(F.lit("[@"), ref, F.lit("@]"), F.col("s"))).alias("blocks"))
     return tagged.combine(parts).select("doc_id", "n_parts", "n_blocks", "header", F.md5(F.array_join("blocks", "|")).alias("digest"))
@@ -235,6 +283,28 @@ def x19_rendered_items(spark, d):
     return _items(spark, d).select("interview_id", "turn", "sent", F.md5(text).alias("item"))
 
 
+@query(ITEMS + "select interview_id, count(*) as items, sum(len(codes))::BIGINT as pairs from items group by 1")
+def k2_item_folders(spark, d):
+    """Items written as a folder of text for each interview, and read back."""
+    path = storage.folder(spark, "items")
+    writers.item_files(_items(spark, d), path)
+    return items.parse(readers.item_folders(spark, path)).groupBy("interview_id").agg(F.count("*").alias("items"), F.sum(F.size("pairs")).alias("pairs"))
+
+
+_PLAIN = "trim(translate(replace(text, chr(10), ' '), '{}\"', '()' || chr(39)))"
+
+
+@query(f"select 'doc' || doc_id as reference, md5({_PLAIN}) as abstract from documents where {_PLAIN} <> ''")
+def s1_bibtex(spark, d):
+    """Documents written as BibTeX entries, and read back; braces and quotes, which the format keeps for itself, are replaced first."""
+    path = storage.folder(spark, "bibtex")
+    plain = F.translate(F.replace("text", F.lit("\n"), F.lit(" ")), '{}"', "()'")
+    field = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("abstract = {"), plain, F.lit("}"))).otherwise(F.concat(F.lit('Abstract="'), plain, F.lit('"')))
+    entry = F.concat(F.lit("@article{doc"), F.col("doc_id").cast("string"), F.lit(",\n  title = {T},\n  "), field, F.lit("\n}"))
+    table(spark, d, "documents").where("text is not null").select(entry.alias("value")).write.text(path)
+    return readers.bibtex(spark, path)[0].select("reference", F.md5("abstract").alias("abstract"))
+
+
 @query(ITEMS + r"""select interview_id, 'SOURCE @' || interview_id || chr(10) || '    código: N/A' || chr(10) || 'END SOURCE' as header from items group by 1""")
 def x11_source_header(spark, d):
     return items.documents(_items(spark, d)).select("interview_id", items.header(F.col("syn")).alias("header"))

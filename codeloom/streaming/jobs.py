@@ -1,7 +1,9 @@
 """The same data work on arriving input, as Structured Streaming jobs.
 
-State is bounded by a watermark where rows have a time, and by the number of keys where the result itself has one row for
-each. Every job takes a streaming DataFrame and gives one; run() drives it to the end of what is there.
+Budgets are windows under a watermark: in append mode a window is written when it closes and its state is dropped. Where rows have
+no time, state grows with the result: factor_counts() keeps a row per factor, first_pairs() one per distinct pair. With a
+time column, first_pairs() keeps pairs only as long as its watermark says. Every job takes a streaming DataFrame and
+gives one; run() drives it to the end of what is there.
 """
 
 from __future__ import annotations
@@ -36,12 +38,14 @@ def factor_counts(docs: DataFrame) -> DataFrame:
     return chains.occurrences(chains.annotate(docs)).groupBy("factor").agg(F.count("*").alias("frequency"))
 
 
-def first_pairs(conversations: DataFrame) -> DataFrame:
-    """(interview_id, excerpt_key, code, rationale): coded pairs, each the first time that it arrives."""
+def first_pairs(conversations: DataFrame, time: str | None = None, late: str = "1 day") -> DataFrame:
+    """(interview_id, excerpt_key, code, rationale): coded pairs, each the first time that it arrives; with a time column, the first time within ``late``."""
     from codeloom.functions import text as T
 
-    rows = items.annotate(conversations).select("interview_id", T.fingerprint(F.col("excerpt")).alias("excerpt_key"), F.explode("pairs").alias("p"))
-    return rows.select("interview_id", "excerpt_key", "p.code", "p.rationale").dropDuplicates(["interview_id", "excerpt_key", "code", "rationale"])
+    keep = [time] if time else []
+    rows = items.annotate(conversations, *keep).select("interview_id", *keep, T.fingerprint(F.col("excerpt")).alias("excerpt_key"), F.explode("pairs").alias("p"))
+    pairs, key = rows.select("interview_id", "excerpt_key", "p.code", "p.rationale", *keep), ["interview_id", "excerpt_key", "code", "rationale"]
+    return pairs.withWatermark(time, late).dropDuplicatesWithinWatermark(key).drop(time) if time else pairs.dropDuplicates(key)
 
 
 def run(stream: DataFrame, to: str, mode: str = "append") -> None:

@@ -167,3 +167,72 @@ def test_empty_tables(spark):
     b = chains.annotate(docs)
     assert memory.build(b).count() == 0 and memory.summary(memory.build(b)).first()["pct_relations"] is None
     assert chunking.chunks(docs).count() == 0 and tagged.render(b).count() == 0
+
+
+def test_readers_of_folders(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.txt").write_text("first\nline")
+    (tmp_path / "in" / "two.txt").write_text("second")
+    (tmp_path / "in" / "one.syn").write_text('SOURCE @one\n    código: N/A\nEND SOURCE\n\nITEM @one\n    ordem_1a: "An excerpt"\n    ordem_2a: a_code\n    justificativa_interna: "why"\nEND ITEM\n')
+    assert sorted(map(tuple, readers.transcripts(spark, str(tmp_path / "in")).collect())) == [("one", "first\nline"), ("two", "second")]
+    coded, headers = readers.item_files(spark, str(tmp_path / "in"))
+    assert [(r["interview_id"], r["excerpt"], r["pairs"][0]["code"]) for r in coded.collect()] == [("one", "An excerpt", "a_code")]
+    assert headers.first()["header"].startswith("SOURCE @one")
+    (tmp_path / "a.csv").write_text('Reference,Abstract\nk1,"two\nlines, ""quoted"""\nk2,\nk3,plain\n')
+    assert sorted(map(tuple, readers.abstracts(spark, str(tmp_path / "a.csv")).collect())) == [("k1", 'two\nlines, "quoted"'), ("k3", "plain")]
+    found = readers.manifest(spark.createDataFrame([("p", 'TEMPLATE "one.txt"\nINCLUDE ANNOTATIONS "two.txt"\nINCLUDE ONTOLOGY "absent.txt"')], "project string, text string"))
+    assert sorted((r["kind"], r["text"]) for r in readers.project_files(spark, str(tmp_path / "in"), found).collect()) == [("ANNOTATIONS", "second"), ("TEMPLATE", "first\nline")]
+    with pytest.raises(Exception, match="no TEMPLATE"):
+        readers.manifest(spark.createDataFrame([("p", "nothing")], "project string, text string")).collect()
+
+
+def test_text_files_as_a_stream(spark, tmp_path):
+    from codeloom.streaming import jobs
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one\ntwo")
+    for name, want in (("b", {"a", "b"}), ("c", {"a", "b", "c"})):
+        (tmp_path / "in" / f"{name}.txt").write_text(name)
+        jobs.run(jobs.transcripts(spark, str(tmp_path / "in")), str(tmp_path / "out"))
+        got = [r["interview_id"] for r in spark.read.parquet(str(tmp_path / "out" / "rows")).collect()]
+        assert sorted(got) == sorted(want)  # files of an earlier run aren't read again
+
+
+def test_codebooks_of_several_files(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.yaml").write_text(f'scope_{name}:\n' + "".join(f'  code_{name}{k}: "d"\n' for k in range(5)))
+    got = codebook.parse(readers.codebook_lines(spark, f"{tmp_path}/*.yaml")).collect()
+    assert len(got) == 10 and all(r["scope"][-1] == r["code"][5] for r in got)
+
+
+def test_template_scopes_and_relations(spark):
+    specs = spark.createDataFrame(
+        [(0, "t", "TEXT", "SOURCE", True, None), (1, "c", "CHAIN", "ITEM", False, {"enables": "makes possible"}), (2, "d", "CHAIN", "ITEM", False, {"other": "x"}), (3, "o", "TEXT", "ONTOLOGY", False, None)],
+        "ord int, name string, type string, scope string, required boolean, relations map<string,string>",
+    )
+    assert {r["scope"]: (r["fields"], r["required"]) for r in codebook.by_scope(specs).collect()} == {"SOURCE": (1, 1), "ITEM": (2, 0), "ONTOLOGY": (1, 0)}
+    assert list(map(tuple, codebook.chain_relations(specs).collect())) == [("enables", "makes possible")]
+    assert codebook.chain_relations(specs.where("type = 'TEXT'")).count() == 0
+
+
+def test_answers_in_every_state(spark):
+    good = "[-begin_header-] referencia_bibtex:r [-end_header-] [-begin-][@r@][@r@][!x!]!][%d%][#A#][&enables&][#B#][-end-]"
+    given = [
+        ("r", good), ("r", "**NO EXTRACTABLE CHAINS**: **none**\nmore"), ("r", "text some excerpt [%d%][#A#][&enables&][#B#] [-end-] rest"), ("r", "[-begin-][@r@][!x!][%d%][#A#][-end-]"), ("r", "nothing"), ("r", ""),
+    ]
+    got = [tuple(r) for r in tagged.validated(spark.createDataFrame(given, "ref string, answer string")).select("status", "output").collect()]
+    assert [s for s, _ in got] == ["ok", "no_chains", "recovered", "blocks_only", "failed", "failed"]
+    assert got[0][1].endswith("[-begin-][@r@][!x!][%d%][#A#][&enables&][#B#][-end-]") and got[0][1].startswith("[-begin_header-]referencia_bibtex:r[-end_header-]")
+    assert "[%none%][#No Analysis#]" in got[1][1] and got[3][1] == "[-begin-][@r@][!x!][%d%][#A#][-end-]" and "[#Format Error#][&causes&][#Missing Analysis#]" in got[4][1]
+    assert "[-begin-][@r@][!text some excerpt!][%d%][#A#][&enables&][#B#] [-end-]" in got[2][1]
+    back = tagged.parse(spark.createDataFrame([(o,) for _, o in got], "tagged string")).collect()
+    assert [r["factors"] for r in back] == [["A", "B"], ["No Analysis"], ["A", "B"], ["Format Error", "Missing Analysis"], ["Format Error", "Missing Analysis"]]
+
+
+def test_first_pairs_within_a_watermark(spark, sf, tmp_path):
+    from codeloom.streaming import jobs
+
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("at", F.timestamp_seconds(F.col("turn")))
+    rows.write.parquet(f"{tmp_path}/in")
+    jobs.run(jobs.first_pairs(jobs.parquet(spark, f"{tmp_path}/in", rows.schema), "at"), f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out/rows").count() == items.annotate(rows).select("interview_id", T.fingerprint(F.col("excerpt")), F.explode("pairs")).distinct().count()
