@@ -56,19 +56,34 @@ def quoted(x: Column) -> Column:
     return F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _once_marked(block: Column, ref: Column, mark: Column) -> Column:
+    """A block in which repeated reference marks are one."""
+    return F.regexp_replace(block, _cat(r"\[@", quoted(ref), r"@\](\[@", quoted(ref), r"(@)?\])+"), F.regexp_replace(mark, r"([\\$])", r"\\$1"))
+
+
 def repair_block(block: Column) -> Column:
     """A block with one reference mark, one closing mark, and its excerpt in marks; null if it has no reference or no description."""
-    ref = F.regexp_extract(block, r"\[@(.*?)@\]", 1)
-    mark = _cat("[@", ref, "@]")
-    once = F.regexp_replace(block, _cat(r"\[@", quoted(ref), r"@\](\[@", quoted(ref), r"(@)?\])+"), F.regexp_replace(mark, r"([\\$])", r"\\$1"))
-    once = F.replace(once, F.lit("!]!]"), F.lit("!]"))
-    start, stop = F.position(mark, once), F.position(F.lit("[%"), once)
-    begin = start + F.length(mark)
-    inner = F.trim(F.substring(once, begin, F.greatest(stop - begin, F.lit(0))))
-    fine = F.startswith(inner, F.lit("[!")) & F.endswith(inner, F.lit("!]"))
-    bare = F.replace(F.replace(inner, F.lit("[!"), F.lit("")), F.lit("!]"), F.lit(""))
-    wrapped = F.concat(F.substring(once, F.lit(1), begin - 1), F.lit("[!"), bare, F.lit("!]"), F.substring(once, stop, F.length(once)))
-    return F.when(block.rlike(r"\[@(.*?)@\]") & (stop > 0), F.when(fine, once).otherwise(wrapped))
+
+    def in_marks(once: Column, mark: Column) -> Column:
+        stop, begin = F.position(F.lit("[%"), once), F.position(mark, once) + F.length(mark)
+
+        def wrapped(inner: Column) -> Column:
+            fine = F.startswith(inner, F.lit("[!")) & F.endswith(inner, F.lit("!]"))
+            bare = F.replace(F.replace(inner, F.lit("[!"), F.lit("")), F.lit("!]"), F.lit(""))
+            return F.when(fine, once).otherwise(F.concat(F.substring(once, F.lit(1), begin - 1), F.lit("[!"), bare, F.lit("!]"), F.substring(once, stop, F.length(once))))
+
+        return F.when(stop > 0, _let(F.trim(F.substring(once, begin, F.greatest(stop - begin, F.lit(0)))), wrapped))
+
+    def by_ref(ref: Column) -> Column:
+        mark = _cat("[@", ref, "@]")
+        return _let(F.replace(_once_marked(block, ref, mark), F.lit("!]!]"), F.lit("!]")), lambda once: in_marks(once, mark))
+
+    return F.when(block.rlike(r"\[@(.*?)@\]"), _let(F.regexp_extract(block, r"\[@(.*?)@\]", 1), by_ref))
 
 
 def _in_marks(block: Column) -> Column:
@@ -81,8 +96,8 @@ def _in_marks(block: Column) -> Column:
 def _fixed(block: Column, ref: Column) -> Column:
     """A block with its reference mark once and in front, single closing marks, and its excerpt in marks."""
     mark = _cat("[@", ref, "@]")
-    once = F.regexp_replace(block, _cat(r"\[@", quoted(ref), r"@\](\[@", quoted(ref), r"(@)?\])+"), F.regexp_replace(mark, r"([\\$])", r"\\$1"))
-    return _in_marks(F.replace(F.when(F.contains(once, mark), once).otherwise(F.concat(mark, once)), F.lit("!]!]"), F.lit("!]")))
+    marked = _let(_once_marked(block, ref, mark), lambda b: F.replace(F.when(F.contains(b, mark), b).otherwise(F.concat(mark, b)), F.lit("!]!]"), F.lit("!]")))
+    return _let(marked, _in_marks)
 
 
 def _sentinel(ref: Column, description: Column, excerpt: str, why: Column, chain: str) -> Column:

@@ -123,7 +123,7 @@ def j2_chunks_by_scope(spark, d):
 # --- tagged text ---------------------------------------------------------------------------------------------------
 
 RENDERED = BLOCKS + r"""
-, b1 as (select doc_id, block_seq, '[-begin-][@doc' || doc_id || '@][!' || excerpt || '!][%d' || block_seq || '%]' ||
+, b1 as (select doc_id, block_seq, excerpt, '[-begin-][@doc' || doc_id || '@][!' || excerpt || '!][%d' || block_seq || '%]' ||
    array_to_string(list_transform(range(len(factors)), lambda i: '[#' || factors[i + 1] || '#]' || coalesce('[&' || relations[i + 1] || '&]', '')), '') || '[-end-]' as block from blocks)
 """
 
@@ -190,11 +190,12 @@ def _model_answers(spark, d):
         F.when(kind == 0, F.concat(F.lit("**NO EXTRACTABLE CHAINS**: "), F.col("text"))).when(kind == 1, F.col("tagged")).when(kind == 2, F.replace(body, F.lit("[-begin-]"), F.lit("")))
         .when(kind == 3, body).otherwise(F.col("text"))
     )
-    return rows.select("doc_id", "ref", answer.alias("answer"))
+    return storage.written(rows.select("doc_id", "ref", answer.alias("answer")), "answers")
 
 
 _VALIDATED = RENDERED + r"""
-, g as (select doc_id, string_agg(block, chr(10) || chr(10) order by block_seq) as body, string_agg(replace(block, '[-begin-]', '[-begin-]' || chr(10) || chr(10)), chr(10) || chr(10) order by block_seq) as unmarked from (select doc_id, block_seq, replace(block, '!]!]', '!]') as block from b1) group by 1)
+, g as (select doc_id, string_agg(block, chr(10) || chr(10) order by block_seq) as body, string_agg(replace(block, '[-begin-]', '[-begin-]' || chr(10) || chr(10)), chr(10) || chr(10) order by block_seq) as unmarked from (select doc_id, block_seq,
+   case when contains(excerpt, chr(10)) then replace(block, '[!' || excerpt || '!]', '[![!' || excerpt || '!]!]') else block end as block from (select doc_id, block_seq, excerpt, replace(block, '!]!]', '!]') as block from b1)) group by 1)
 , a as (select d.doc_id, coalesce(d.text, '') as text, case when d.doc_id % 5 = 2 then g.unmarked else g.body end as body, d.doc_id % 5 as k, 'doc' || d.doc_id as ref from documents d left join g using (doc_id))
 , v as (select *, case when k = 0 then 'no_chains' when k = 4 or body is null then 'failed' when k = 1 then 'ok' else 'recovered' end as status,
    trim(replace(regexp_extract('**: ' || text, '^([^\n]+)', 1), '*', '')) as said from a)
