@@ -108,6 +108,11 @@ def _chained(text: Column) -> Column:
     return F.contains(text, F.lit("[#")) & F.contains(text, F.lit("[&"))
 
 
+def _with(df: DataFrame, **cols: Column) -> DataFrame:
+    """df with further columns that are computed once for each row, as the optimizer doesn't move them into what uses them."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in cols.items())))))
+
+
 def staged(answers: DataFrame) -> DataFrame:
     """answers(ref, answer, …) with the steps of their reading: head, whole blocks (repaired), recoverable parts, and status.
 
@@ -116,14 +121,14 @@ def staged(answers: DataFrame) -> DataFrame:
     """
     head = F.regexp_extract("answer", HEADER, 1)
     whole = F.filter(F.transform(F.regexp_extract_all("answer", F.lit(BLOCK), F.lit(1)), repair_block), lambda b: b.isNotNull())
-    rows = answers.withColumns({"has_head": F.col("answer").rlike(HEADER), "head": _cat("[-begin_header-]", F.btrim(head, F.lit(" \t\n\r")), "[-end_header-]"), "whole": whole})
+    rows = _with(answers, has_head=F.col("answer").rlike(HEADER), head=_cat("[-begin_header-]", F.btrim(head, F.lit(" \t\n\r")), "[-end_header-]"), whole=whole)
     lacking = ~F.col("has_head") | (F.size("whole") == 0)
     parts = F.when(lacking, F.filter(F.split("answer", MARKS, -1), _chained)).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("parts", parts)
+    rows = _with(rows, parts=parts)
     status = (
         F.when(F.contains("answer", F.lit("NO EXTRACTABLE CHAINS")), "no_chains").when(~lacking, "ok").when(F.size("parts") > 0, "recovered").when(F.size("whole") > 0, "blocks_only").otherwise("failed")
     )
-    return rows.withColumn("status", status)
+    return _with(rows, status=status)
 
 
 def validated(answers: DataFrame, recovered: str = "Abstract on energy technology acceptance") -> DataFrame:
@@ -137,7 +142,8 @@ def validated(answers: DataFrame, recovered: str = "Abstract on energy technolog
     rows, ref = staged(answers), F.col("ref")
     made = header(ref, F.lit(recovered), F.lit("Not specified"))
     head = F.when(F.col("has_head"), F.col("head")).when(F.col("status") == "recovered", made)
-    rows = rows.withColumns({"head": head, "body": F.transform(F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.col("whole")), lambda b: _cat("[-begin-]", _fixed(b, ref), "[-end-]"))})
+    blocks = F.transform(F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.col("whole")), lambda b: _cat("[-begin-]", _fixed(b, ref), "[-end-]"))
+    rows = _with(rows.select(*given, "answer", "status", head.alias("head"), "parts", "whole"), body=blocks)
     reason = no_chains_reason(F.col("answer"))
     output = (
         F.when(F.col("status") == "no_chains", _sentinel(ref, _cat("No extractable chains: ", reason), "NO EXTRACTABLE CHAINS", reason, "[#No Analysis#]"))
