@@ -156,6 +156,8 @@ def components(edges: DataFrame) -> DataFrame:
         a = edges.join(jump.withColumnsRenamed({"x": "a", "q": "a2"}), "a").select("a2", "b")
         b = a.join(jump.withColumnsRenamed({"x": "b", "q": "b2"}), "b").select("a2", "b2")
         edges = durable(b.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a < b").distinct())
+        del both, up, jump, far, step, a, b
+        free(edges.sparkSession)
     return labels
 
 
