@@ -20,7 +20,7 @@ def parquet(spark: SparkSession, path: str, schema, files: int = 4) -> DataFrame
 
 def transcripts(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
     """(interview_id, transcript) of .txt files as they arrive; the checkpoint remembers those done."""
-    rows = spark.readStream.option("pathGlobFilter", "*.txt").option("wholetext", True).option("maxFilesPerTrigger", files).text(path)
+    rows = spark.readStream.option("pathGlobFilter", "*.txt").option("maxFilesPerTrigger", files).text(path, wholetext=True)
     return rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("interview_id"), F.col("value").alias("transcript"))
 
 
