@@ -9,15 +9,19 @@ Each shard is a row of a Parquet table (so Spark writes it to any store, and com
 * ``spans``: uint32, the number of ids that each rule expands to, which finds a position in the shard without expanding
   what comes before it: expand() skips whole symbols by their spans.
 
-Re-Pair replaces frequent pairs of symbols by new ones. As in its batch form, each round counts all pairs of the shard,
-takes the most frequent pairs, and replaces their occurrences from the left; rounds end when no pair is frequent.
+Re-Pair replaces frequent pairs of symbols by new ones. As in its batch form, each round counts the pairs of the shard,
+and replaces all frequent ones (LEAST occurrences or more) from the left, the most frequent first where two overlap in their slot; rounds end when no pair
+is frequent, or when the MAX_RULES rules are used up.
 
 Null texts are empty; every document gets the end id, so an empty one has one id. Rows that repeat a doc_id follow each
-other in the order of their texts; null ids come first. Ids must be below 2^16 - MAX_RULES.
+other in the order of their texts; null ids come first. An empty table gives no shards and no rows. Only doc_id and text are read. A
+vocabulary with ids from BASE on is refused.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,19 +36,33 @@ from codeloom.llm.common import durable, set_checkpoint_dir
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 SHARD_IDS = 2_000_000
-#: Shards (rows of about 200 bytes) whose starts may be broadcast.
+#: Shards (rows of about 200 bytes) whose starts may be broadcast; the starts of more are joined by a shuffle.
 FEW_SHARDS = 50_000
 BASE, MAX_RULES = 49_408, 16_000
-ROUNDS, LEAST = 4, 64
+#: A pair is frequent from so many occurrences in a shard on.
+LEAST = 32
+#: Words and pieces that an encoder keeps.
 CACHE_WORDS, CACHE_PIECES = 300_000, 500_000
 
 SCHEMA = "doc_ids array<bigint>, first_id long, n_ids long, lengths binary, symbols binary, rules binary, spans binary"
 
 
-#: How the vocabulary file cuts lower-case text of the Latin-1 range: endings after an apostrophe, letters, single digits, other signs.
+# How the vocabulary file cuts text, and the same for lower-case text of the Latin-1 range: endings after an
+# apostrophe, letters, single digits, other signs.
+_CUTTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _LETTER, _DIGIT = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\x09-\x0d\x20\x85\xa0{_LETTER}{_DIGIT}]+")
 _LATIN = re.compile(r"[\x00-\x1b\x20-\xff]*")  # without the separators that Python takes for white space
+_END_OF_WORD = "</w>"
 
 
 def _visible_bytes() -> dict[int, int]:
@@ -57,18 +75,24 @@ class WordEncoder:
     """encode() of the tokenizers library, by words: this vocabulary never joins what ASCII white space separates.
 
     Words that were met before come from a table. Of new words in Latin-1 only the pieces that are new go to the
-    library's model; other texts, and texts with signs of special tokens, go through the library word by word.
+    library's model; other texts, and texts with signs of special tokens, go through the library word by word. A vocabulary file
+    that cuts text otherwise is used by the library alone, for whole texts. Ids must be below BASE, else ValueError.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > BASE:
+            raise ValueError(f"{path} has ids from {BASE} on, which stand for rules in a shard")
+        given = json.loads(self.tokenizer.to_str())
+        self.by_words = all(given[k] == v for k, v in _CUTTING.items()) and given["model"].get("end_of_word_suffix") == _END_OF_WORD
         self.model, self.known, self.pieces, self.whole = self.tokenizer.model, {}, {}, {}
         self.visible, self.id_bytes = _visible_bytes(), [i.to_bytes(2, "little") for i in range(1 << 16)]
 
     def _learn(self, words: set[str]) -> None:
-        """Ids of new lower-case words."""
+        """Ids of new lower-case words in Latin-1."""
         known, pieces, find, id_bytes = self.known, self.pieces, _PIECE.findall, self.id_bytes
         for w in words:
             parts = find(w)
@@ -78,17 +102,22 @@ class WordEncoder:
                     pieces[p] = b"".join([id_bytes[t.id] for t in tokens])
             known[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
 
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
     def _other(self, text: str) -> bytes:
         """Ids of a text that isn't plain Latin-1."""
         whole, out = self.whole, []
         for w in text.encode("utf-8").split():
             if w not in whole:
-                whole[w] = np.array(self.tokenizer.encode(w.decode("utf-8"), add_special_tokens=False).ids, dtype="<u2").tobytes()
+                whole[w] = self._encode(w.decode("utf-8"))
             out.append(whole[w])
         return b"".join(out)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint16 ids of each text."""
+        if not self.by_words:
+            return [self._encode(t or "") for t in texts]
         for table, most in ((self.known, CACHE_WORDS), (self.whole, CACHE_WORDS), (self.pieces, CACHE_PIECES)):
             if len(table) > most:
                 table.clear()
@@ -104,51 +133,60 @@ class WordEncoder:
         return out
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, spans) of the ids (uint16)."""
-    x, rules, spans = ids.astype(np.uint16), [], np.zeros(0, dtype=np.uint32)
-    for _ in range(rounds):
-        free = MAX_RULES - len(rules)
-        if len(x) < 2 or free <= 0:
-            break
-        pair = (x[:-1].astype(np.uint32) << np.uint32(16)) | x[1:]
-        slot = (pair * np.uint32(2654435761)) >> np.uint32(12)
-        values, counts = _frequent(pair, slot, least)
-        if len(counts) > (most := min(free, max(1, MAX_RULES // rounds))):
-            top = np.argpartition(-counts, most - 1)[:most]
-            values, counts = values[top], counts[top]
+_SLOTS = 20
+
+
+def _slot(pair: np.ndarray) -> np.ndarray:
+    return (pair * np.uint32(2654435761)) >> np.uint32(32 - _SLOTS)
+
+
+def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules, spans) of the ids (uint16), in which no pair of symbols occurs ``least`` times, unless MAX_RULES rules are used up.
+
+    Only pairs that were frequent, or that stand beside a symbol of the last round, can be frequent: replacing never makes
+    two old symbols neighbours. So each round counts these alone.
+    """
+    x, rules, spans = ids.astype(np.uint16), [np.zeros((0, 2), dtype=np.uint32)], np.ones(1 << 16, dtype=np.uint32)
+    live, n = np.arange(max(len(x) - 1, 0)), 0  # where pairs start that may be frequent
+    while len(live) and n < MAX_RULES:
+        pair = (x[live].astype(np.uint32) << np.uint32(16)) | x[live + 1]
+        slot = _slot(pair)
+        often = (np.bincount(slot, minlength=1 << _SLOTS) >= least)[slot]  # leaves out most of the rare ones
+        live, pair, slot = live[often], pair[often], slot[often]
+        values, counts = np.unique(pair, return_counts=True)
+        values, counts = values[counts >= least], counts[counts >= least]
         if not len(values):
             break
-        values = values[np.argsort(counts, kind="stable")]
-        # a slot stands for one pair, the most frequent of those that fall on it; the others wait for another round
-        rule_at = np.full(1 << 20, -1, dtype=np.int32)
-        rule_at[(values * np.uint32(2654435761)) >> np.uint32(12)] = np.arange(len(values))
-        values = values[rule_at[rule_at >= 0]]
-        rule_at[rule_at >= 0] = np.arange(len(values))
+        values = values[np.argsort(-counts, kind="stable")][: MAX_RULES - n][::-1]
+        # a slot stands for one pair, the most frequent of those that fall on it; the others stay for another round
+        rule_at = np.full(1 << _SLOTS, -1, dtype=np.int32)
+        rule_at[_slot(values)] = np.arange(len(values))
         rule = rule_at[slot]
-        at = np.flatnonzero(rule >= 0)
-        at = at[values[rule[at]] == pair[at]]
-        rule = rule[at]
+        hit = np.flatnonzero(rule >= 0)
+        hit = hit[values[rule[hit]] == pair[hit]]
+        at, rule = live[hit], rule[hit]
         # overlapping occurrences: in a run of consecutive starts take every second one
         starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        offset = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
-        at, rule = at[offset % 2 == 0], rule[offset % 2 == 0]
-        x[at] = (BASE + len(rules) + rule).astype(np.uint16)
+        second = (np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))) % 2 == 0
+        at, rule = at[second], rule[second]
+        uses = np.bincount(rule, minlength=len(values))
+        number = np.where(uses > 1, np.cumsum(uses > 1) - 1, 0)
+        at, rule = at[uses[rule] > 1], rule[uses[rule] > 1]
+        values = values[uses > 1]
+        both = np.stack((values >> np.uint32(16), values & np.uint32(0xFFFF)), axis=1)
+        spans[BASE + n : BASE + n + len(both)] = spans[both[:, 0]] + spans[both[:, 1]]
+        x[at] = (BASE + n + number[rule]).astype(np.uint16)
+        rules.append(both)
+        n += len(both)
         keep = np.ones(len(x), dtype=bool)
         keep[at + 1] = False
-        x = x[keep]
-        new = [(int(v) >> 16, int(v) & 0xFFFF) for v in values]
-        size = lambda s: 1 if s < BASE else int(spans[s - BASE])  # noqa: B023, E731
-        spans = np.append(spans, np.array([size(a) + size(b) for a, b in new], dtype=np.uint32))
-        rules += new
-    return x, np.array(rules, dtype=np.uint16).reshape(-1, 2), spans
-
-
-def _frequent(pair: np.ndarray, slot: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that occur so often, and how often: counts by slot leave out the rare ones, the rest are counted exactly."""
-    many = np.bincount(slot, minlength=1 << 20) >= least
-    values, counts = np.unique(pair[many[slot]], return_counts=True)
-    return values[counts >= least], counts[counts >= least]
+        place = np.cumsum(keep) - 1
+        again = np.zeros(int(place[-1]) + 1, dtype=bool)
+        again[place[live[keep[live]]]] = True
+        again[place[at]] = True
+        again[np.maximum(place[at] - 1, 0)] = True
+        x, live = x[keep], np.flatnonzero(again[:-1])
+    return x, np.concatenate(rules).astype(np.uint16), spans[BASE : BASE + n]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, spans: np.ndarray, start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -162,15 +200,21 @@ def expand(symbols: np.ndarray, rules: np.ndarray, spans: np.ndarray, start: int
         lo, hi = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop, side="left")) + 1
         before = int(ends[lo - 1]) if lo else 0
         return expand(x[lo:hi], rules, spans)[start - before : stop - before]
-    while len(x) and (x >= BASE).any():  # a pass for each level of the grammar
-        rule = x >= BASE
-        out = np.empty(len(x) + int(rule.sum()), dtype=np.uint16)
-        at = np.arange(len(x)) + np.cumsum(rule) - rule
-        out[at] = x
-        both = rules[x[rule].astype(np.int64) - BASE]
-        out[at[rule]], out[at[rule] + 1] = both[:, 0], both[:, 1]
-        x = out
-    return x
+    # what each symbol stands for, one after the other: an id for itself, a rule for what its two symbols stand for
+    of_rule: list[bytes] = []
+    part = lambda s: s.to_bytes(2, "little") if s < BASE else of_rule[s - BASE]
+    for one, two in rules.tolist():
+        of_rule.append(part(one) + part(two))
+    flat = np.concatenate((np.arange(BASE, dtype=np.uint16), np.frombuffer(b"".join(of_rule), dtype="<u2")))
+    width = np.concatenate((np.ones(BASE, dtype=np.int32), spans.astype(np.int32)))
+    first = np.cumsum(width, dtype=np.int32) - width
+    own = width[x]
+    ends = np.cumsum(own, dtype=np.int32)
+    at = np.ones(int(ends[-1]) if len(ends) else 0, dtype=np.int32)  # steps of one, and jumps where a symbol starts
+    begin = first[x]
+    at[ends[:-1]] = begin[1:] - begin[:-1] - own[:-1] + 1
+    at[:1] = begin[:1]
+    return flat[np.cumsum(at, dtype=np.int32)]
 
 
 def _shard(ids: list, parts: list[bytes]) -> pa.RecordBatch:
