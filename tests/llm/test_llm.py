@@ -435,3 +435,219 @@ def test_pipeline_agrees_with_brute_force(spark, sf, texts):
             out.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
             start += len(ids)
     assert got == out
+
+
+# --- rows, columns and folders --------------------------------------------------------------------------------------------
+
+
+def test_mixing_keeps_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(k, "t", "en", None if k % 3 else "s", 1) for k in range(300)], DOCS).withColumn("copy", F.concat(F.lit("c"), F.col("doc_id") % 5)).withColumn("mix_key", F.lit("mine"))
+    out = mixing.replicate(docs)
+    assert out.columns == [*docs.columns, "_copy", "_mix_key"] and {r["mix_key"] for r in out.collect()} == {"mine"}
+    assert {r["copy"] for r in out.collect()} == {f"c{k}" for k in range(5)} and {r["source"] for r in out.collect()} == {None, "s"}
+    keys = [r["_mix_key"] for r in out.collect()]
+    assert keys == sorted(keys)  # dealt and sorted over all partitions
+
+
+@pytest.mark.parametrize("rate", [0.3, 5.0, 700.0, 20_000.0])
+def test_poisson_counts(spark, rate):
+    """One document of a rare source: its count is that of the distribution function at its number."""
+    docs = spark.createDataFrame([(k, "t", "en", f"s{k}", 1) for k in range(40)], DOCS)
+    table = mixing.rates(docs, {f"s{k}": 1.0 for k in range(40)}).withColumn("_rate", F.lit(rate))
+    assert table.select(F.max(F.size("_cdf"))).first()[0] < 100
+    big = spark.createDataFrame([(0, "t", "en", "rare", 1)] + [(k, "t", "en", "many", 1) for k in range(1, 40)], DOCS)
+    weights = {"rare": rate / 40, "many": 1 - min(rate / 40, 0.9)} if rate < 40 else {"rare": 1.0}
+    r = mixing.rates(big, weights).where("_source = 'rare'").first()
+    low, cdf, mean = r["_low"], r["_cdf"], r["_rate"]
+    total, term = 0.0, None
+    from math import exp, lgamma, log
+
+    for k in range(low, low + len(cdf)):
+        total += exp(k * log(mean) - mean - lgamma(k + 1))
+        assert abs(cdf[k - low] - total) < 1e-9
+    assert term is None and cdf[-1] > 1 - 1e-12
+
+
+def test_large_rates_have_short_tables(spark):
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "rare").otherwise("many").alias("source"))
+    r = {x["_source"]: x for x in mixing.rates(docs).collect()}
+    assert len(r["rare"]["_cdf"]) < 24 * 317 + 100 and abs(r["rare"]["_rate"] - 100_000) < 1e-6 and r["rare"]["_low"] > 90_000
+    assert abs(r["rare"]["_cdf"][100_000 - r["rare"]["_low"]] - 0.5) < 0.01
+
+
+def test_rows_are_judged_each_for_itself(spark, labels):
+    good, item = " ".join(f"w{k}" for k in range(60)), "alpha beta gamma delta epsilon zeta eta theta"
+    docs = spark.createDataFrame([(1, good, "en", "s", 1), (1, "short", None, "s", 1), (None, good + " x", "", "s", 1), (None, f"{good} {item} {good}", "en", "s", 1), (1, f"{item} {good}", "en", "s", 1)], DOCS)
+    kept = sorted(r["text"] for r in quality_rules.keep_good(docs, labels).collect())
+    assert kept == sorted([good, good + " x", f"{item} {good}"])  # the fourth repeats over 30 % of its words
+    items = spark.createDataFrame([(9, item), (None, item)], "item_id long, text string")
+    left = sorted(r["text"] for r in decontaminate.decontaminate(docs, items).collect())
+    assert left == sorted([good, good + " x", "short"])
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contained(docs, items).collect()} == {(1, 9), (1, None), (None, 9), (None, None)}
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b = " ".join(f"a{k}" for k in range(80)), " ".join(f"b{k}" for k in range(80))
+    docs = spark.createDataFrame([(1, a, "en", "s", 1), (2, a, "en", "s", 1), (2, b, "en", "s", 1), (3, b, "en", "s", 1), (2, b, "xx", "s", 1), (None, a, "en", "s", 1)], DOCS)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.deduplicate(docs).collect())
+    assert got == sorted([(1, a), (2, b), (0, a)])
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.set_checkpoint_dir(Session())
+
+
+# --- methods in substance -------------------------------------------------------------------------------------------------
+
+
+def test_items_of_all_sizes_with_common_phrases(spark):
+    """Items that share a phrase with many documents: the phrase alone makes no match, and whole items are found at every size."""
+    rng = np.random.default_rng(8)
+    head = "please answer the following question with a single word".split()
+    items = [(k, " ".join(head + [f"i{k}x{j}" for j in range(1 + k)])) for k in range(40)]
+    fill = lambda: [f"f{j}" for j in rng.integers(0, 9999, 80)]
+    docs = [(k, " ".join([*fill(), *head, *fill(), *(items[k % 40][1].split() if k % 2 else []), *fill()])) for k in range(160)]
+    sh = lambda t: {tuple(x) for x in zip(*(t.split()[i:] for i in range(5)))}
+    want = {(i, j) for i, t in docs for j, u in items if len(sh(t) & sh(u)) >= 0.8 * len(sh(u))}
+    got = decontaminate.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) > 80
+
+
+def test_near_copies_of_passages_are_found(spark):
+    """Recall against the exact similarity of planted passages with random edits: at least 0.9 of those of similarity 0.8 or more."""
+    rng = np.random.default_rng(21)
+    fill = lambda n: [f"f{k}" for k in rng.integers(0, 10**6, n)]
+    sh = lambda w: {tuple(x) for x in zip(*(w[i:] for i in range(5)))}
+    rows_, wanted = [], set()
+    for p in range(200):
+        one = [f"p{p}x{k}" for k in range(int(rng.integers(60, 160)))]
+        two = list(one)
+        for _ in range(int(rng.integers(1, 5))):
+            at = int(rng.integers(5, len(two) - 5))
+            two[at : at + int(rng.integers(0, 2))] = [f"e{rng.integers(0, 10**6)}"] * int(rng.integers(0, 2))
+        if len(sh(one) & sh(two)) >= 0.8 * len(sh(one) | sh(two)):
+            wanted.add(p)
+        rows_ += [(2 * p, " ".join(fill(70) + one + fill(70))), (2 * p + 1, " ".join(fill(70) + two + fill(70)))]
+    got = {r["doc_id"]: r["class_id"] for r in substring_dedup.repeated_passages(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert len(wanted) > 100 and len([p for p in wanted if got.get(2 * p) == got.get(2 * p + 1) == 2 * p]) >= 0.9 * len(wanted)
+    assert all(c == i // 2 * 2 for i, c in got.items())
+
+
+def test_grammar_ends_without_frequent_pairs():
+    rng = np.random.default_rng(4)
+    phrases = [rng.integers(0, 49_000, 12) for _ in range(40)]
+    ids = np.concatenate([phrases[k] for k in rng.integers(0, 40, 4000)]).astype(np.uint16)
+    x, rules, spans = token_output.compress(ids)
+    pairs = (x[:-1].astype(np.int64) << 16) | x[1:]
+    assert np.unique(pairs, return_counts=True)[1].max() < 2 * token_output.LEAST and len(x) < len(ids) / 8  # of a run of one symbol every second pair counts
+    assert (token_output.expand(x, rules, spans) == ids).all() and spans.max() >= 12
+
+
+def test_another_vocabulary_goes_through_the_library(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    given = json.loads(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).to_str())
+    given["normalizer"]["normalizers"] = given["normalizer"]["normalizers"][:2]  # keeps capitals
+    (tmp_path / "other.json").write_text(json.dumps(given))
+    enc, own = token_output.WordEncoder(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert not enc.by_words
+    assert np.frombuffer(enc(["Don't SHOUT at Me"])[0], dtype="<u2").tolist() == own.encode("Don't SHOUT at Me", add_special_tokens=False).ids
+    given["model"]["vocab"] |= {f"extra{k}": 49_406 + k for k in range(300)}
+    (tmp_path / "large.json").write_text(json.dumps(given))
+    with pytest.raises(ValueError, match="ids from"):
+        token_output.WordEncoder(str(tmp_path / "large.json"))
+
+
+def test_personal_data_in_other_forms(spark):
+    """Spans that the patterns don't read: how many the model finds, and how many it makes up."""
+    rng = np.random.default_rng(2)
+    names, hosts = ["ann", "bob.k", "cy_d", "dora", "eve99"], ["mail.org", "host.net", "firm.co.uk"]
+
+    def luhn_card():
+        d = rng.integers(0, 10, 15).tolist()
+        return next(x for k in range(10) if pii.luhn(x := "".join(map(str, [*d, k]))))
+
+    def spans(k):
+        n = lambda a: "".join(map(str, rng.integers(0, 10, a)))
+        c = luhn_card()
+        base = (f"{names[k % 5]}@{hosts[k % 3]}", ".".join(map(str, rng.integers(0, 256, 4))), " ".join(c[i : i + 4] for i in (0, 4, 8, 12)), f"+1 {n(3)} {n(3)} {n(4)}")
+        other = (f"{names[k % 5]} @ {hosts[k % 3]}", None, ".".join(c[i : i + 4] for i in (0, 4, 8, 12)), f"({n(3)}) {n(3)}-{n(4)}")
+        return base, other
+
+    plain = lambda: " ".join(rng.choice(["the", "order", "of", "12", "from", "2019", "pages", "3.5", "and", "7,200", "units", "in", "1998", "was"], 12))
+    docs = [(k, f"{plain()} {spans(k)[0][k % 4]} {plain()}") for k in range(1200)] + [(5000 + k, plain()) for k in range(400)]
+    w = pii.fit(spark.createDataFrame(docs, "doc_id long, text string"))
+    hit = made = n = 0
+    for k in range(300):
+        want = spans(k)[1][k % 4]
+        if want:
+            text = f"{plain()} {want} {plain()}"
+            at = text.index(want)
+            found = pii.model_spans(text, w, pii.base_spans(text))
+            n += 1
+            hit += any(a < at + len(want) and at < b and pii.KINDS[k % 4] == kind for kind, a, b, _ in found)
+        made += len(pii.model_spans(plain(), w, []))
+    assert hit >= 0.8 * n and made <= 6
+
+
+def test_random_strings_are_found(spark):
+    """Recall over planted keys of several alphabets and lengths, and what is marked of ordinary long words and names."""
+    import public_tokenizers
+
+    rng, encode = np.random.default_rng(6), secrets.encoding(public_tokenizers.path(secrets.VOCABULARY)).encode_ordinary
+    sets = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    keys = ["".join(rng.choice(list(sets[k % 4]), int(rng.integers(24, 64)))) for k in range(400)]
+    found = [k for k in keys if secrets.random_spans(f"set it to {k} now", [], encode)]
+    assert len(found) >= 0.9 * len(keys)
+    plain = ["internationalization-and-localization-2024", "the_quick_brown_fox_jumps_over_13_dogs", "Donaudampfschifffahrtsgesellschaft1830", "https/example/path/to/resource/index2", "version-2024-10-01-release-candidate"]
+    assert not any(secrets.random_spans(x, [], encode) for x in plain)
+
+
+def _held_out(got, labels, fold, column):
+    y = {r["doc_id"]: r[column] for r in labels if r[column] is not None}
+    rows_ = [(r["score"], r["predicted"], y[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in y]
+    good, bad = [s for s, _, t in rows_ if t == 1], [s for s, _, t in rows_ if t == 0]
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+    return auc, np.mean([p for _, p, t in rows_ if t == 1]), np.mean([p for _, p, t in rows_ if t == 0]), len(rows_)
+
+
+@pytest.mark.parametrize(("name", "column", "least"), [("op8_toxicity", "toxic", (0.85, 0.6, 0.2)), ("op10_quality_model", "quality", (0.85, 0.6, 0.3))])
+def test_held_out_figures(spark, name, column, least):
+    sf = "/root/testdata/sf0.1"  # below that the held-out fold has a handful of toxic documents
+    got = queries.queries()[name](spark, sf).collect()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    auc, recall, marked, n = _held_out(got, labels, None, column)
+    print(name, auc, recall, marked, n)
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    assert auc >= least[0] and recall >= least[1] and marked <= least[2]
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_on_odd_tables(spark, odd, none, labels, tmp_path, empty):
+    import corpus_pipeline as P
+
+    (none if empty else odd).write.parquet(f"{tmp_path}/documents.parquet")
+    (labels.limit(0) if empty else labels).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([] if empty else [(1, None), (2, "the same line the same line the same")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = P.read(spark, str(tmp_path), "documents")
+    for _, stage in P.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    out = P.run(spark, str(tmp_path))
+    assert set(out.columns) >= {"doc_id", "start", "n_tokens", "ids_crc32"} and out.count() == (0 if empty else out.count())
