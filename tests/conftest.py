@@ -47,5 +47,12 @@ def rows(df) -> list[tuple]:
     import pandas as pd
 
     cols = sorted(df.columns)
-    show = lambda v: "NULL" if pd.api.types.is_scalar(v) and pd.isna(v) else f"{v:.6f}" if isinstance(v, float) else str(v)
+
+    def show(v):
+        if pd.api.types.is_scalar(v) and pd.isna(v):
+            return "NULL"
+        if isinstance(v, float):  # whole numbers beside nulls are floats in one engine and not in the other
+            return str(int(v)) if v.is_integer() else f"{v:.6f}"
+        return str(v)
+
     return sorted(tuple(show(v) for v in r) for r in df[cols].astype(object).itertuples(index=False))
