@@ -152,8 +152,9 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
     digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
     found = _with_classes(durable(fingerprints(docs, text, doc_id, digest))).where("doc_id is not null")
-    one = found.groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "component_id").agg(F.count("*").alias("n"))
-    first = one.where("id = component_id").groupBy("component_id").agg(F.min("of").alias("first"))
+    # tables of their own, so that Spark can split the join where one class has very many rows
+    one = durable(found.groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "component_id").agg(F.count("*").alias("n")))
+    first = durable(one.where("id = component_id").groupBy("component_id").agg(F.min("of").alias("first")))
     known = one.join(first, "component_id").withColumn("stays", (F.col("id") == F.col("component_id")) & (F.col("of") == F.col("first")))
     verdicts = durable(known.where("not stays or n > 1").select("id", "of", "stays"))
     # whole rows as one column, so that no name of theirs can clash
