@@ -161,7 +161,7 @@ def _answers(spark, d):
     head = F.concat(F.col("factor"), F.lit(","), topic, F.lit(","), n, F.lit(","), s, F.lit(',HIGH,"'), why, F.lit('","'), what, F.lit('"'))
     fields = F.concat(F.lit("Topic: "), topic, F.lit("\nAspect: "), n, F.lit("\nconfidence: LOW\nreasoning: '"), why, F.lit("'\n"))
     answer = F.when(F.col("k") == 0, F.concat(head, F.lit(',"up","down"'))).when(F.col("k") == 1, head).otherwise(fields)
-    return f.select("factor", answer.alias("answer"))
+    return storage.written(f.select("factor", answer.alias("answer")), "answers")  # as a model is asked once
 
 
 POLES_SQL = ", ".join(f"({i}, '{w}', '{a}', '{b}')" for i, (w, a, b) in enumerate(classify.POLES))
