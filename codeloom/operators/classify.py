@@ -15,13 +15,11 @@ _FULL = _HEAD + r',"([^"]+)","([^"]+)"'
 def construct(factor: Column) -> tuple[Column, Column]:
     """The two poles of a factor: of the first keyword in its name, else made from the name."""
     low = F.lower(factor)
-    a = b = None
-    for word, one, two in POLES:
-        hit = F.contains(low, F.lit(word))
-        a, b = (F.when(hit, one), F.when(hit, two)) if a is None else (a.when(hit, one), b.when(hit, two))
+    poles = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(a).alias("a"), F.lit(b).alias("b")) for w, a, b in POLES))
+    first = F.get(F.filter(poles, lambda p: F.contains(low, p["word"])), F.lit(0))
     negative = low.rlike("|".join(NEGATIVE))
     high, below = F.concat(F.lit("High "), factor), F.concat(F.lit("Low "), factor)
-    return a.otherwise(F.when(negative, below).otherwise(high)), b.otherwise(F.when(negative, high).otherwise(below))
+    return F.coalesce(first["a"], F.when(negative, below).otherwise(high)), F.coalesce(first["b"], F.when(negative, high).otherwise(below))
 
 
 def labelled(text: Column, names: list[str], pattern: str = r"([^\n,]+)") -> Column:
