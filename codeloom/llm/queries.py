@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontaminate, mixing, pii, quality_model, quality_rules, secrets, simhash, substring_dedup, token_output, toxicity
+from codeloom.llm import decontaminate, filter_audit, mixing, pii, quality_model, quality_rules, secrets, simhash, substring_dedup, token_output, toxicity
 from codeloom.llm.common import read
 from codeloom.llm.sql import SQL
 
@@ -65,6 +65,10 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

@@ -49,4 +49,21 @@ e as (select doc_id, text, lang, source, n_chars, unnest(range(1, times + 1))::I
 select *, md5('20240601:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy) as mix_key from e
 """
 
-SQL = {"op1_decontamination": OP1, "op3_quality_rules": OP3, "op5_mixing": OP5}
+OP11 = r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from d),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels where doc_id is not null group by 1),
+f as (select part, good, toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+  coalesce(doc_id > min(doc_id) over (partition by t), false)] as fails from w left join l using (doc_id)),
+c as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from f group by 1, 2),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as filter_order from x a, x b, x c, x d, x e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select part, filter_order, unnest(range(1, 6))::INT as step, n, good, toxic, list_transform(string_split(filter_order, ''), lambda z: fails[ascii(z) - 64]) as seen from c, o),
+r as (select part, filter_order, step, sum(case when list_bool_or(seen[:step]) then 0 else n end)::BIGINT as kept, sum(case when seen[step] and not coalesce(list_bool_or(seen[: step - 1]), false) then n else 0 end)::BIGINT as removed,
+  sum(case when seen[step] and coalesce(list_bool_or(seen[: step - 1]), false) then n else 0 end)::BIGINT as redundant, sum(case when seen[step] and len(list_filter(seen, lambda z: z)) = 1 then n else 0 end)::BIGINT as unique_fails,
+  sum(case when seen[step] and not coalesce(list_bool_or(seen[: step - 1]), false) then good else 0 end)::BIGINT as good_lost, sum(case when seen[step] and not coalesce(list_bool_or(seen[: step - 1]), false) then toxic else 0 end)::BIGINT as toxic_lost
+  from s group by 1, 2, 3)
+select *, sum(removed) over (partition by part, filter_order[step])::BIGINT as shapley from r
+"""
+
+SQL = {"op1_decontamination": OP1, "op3_quality_rules": OP3, "op5_mixing": OP5, "op11_filter_audit": OP11}
