@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import byte_bpe, decontaminate, filter_audit, mixing, pii, quality_model, quality_rules, secrets, simhash, substring_dedup, token_output, toxicity
+from codeloom.llm import byte_bpe, decontaminate, filter_audit, importance, mixing, pii, quality_model, quality_rules, secrets, simhash, substring_dedup, token_output, toxicity
 from codeloom.llm.common import read
 from codeloom.llm.sql import SQL
 
@@ -73,6 +73,11 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"))))
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

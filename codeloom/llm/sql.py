@@ -66,4 +66,22 @@ r as (select part, filter_order, step, sum(case when list_bool_or(seen[:step]) t
 select *, sum(removed) over (partition by part, filter_order[step])::BIGINT as shapley from r
 """
 
-SQL = {"op1_decontamination": OP1, "op3_quality_rules": OP3, "op5_mixing": OP5, "op11_filter_audit": OP11}
+# CRC-32 bytewise, with its table of 256 entries made from the polynomial; the buckets are worked out once for each distinct word.
+OP13 = r"""
+with z as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, n: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as z from range(256) r(i)),
+dw as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+bw as (select list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+du as (select doc_id, unnest(w) as w from dw), bu as (select unnest(w) as w from bw),
+v as (select w, hex(encode(w)) as h from (select w from du union select w from bu)),
+k as (select w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, z[1 + (xor(c, b) & 255)])), 4294967295) % 10000 as bucket from v, z),
+s as (select bucket, count(*) as s from du join k using (w) group by 1), t as (select bucket, count(*) as t from bu join k using (w) group by 1),
+n as (select (select coalesce(sum(s), 0) from s)::DOUBLE as s_all, (select coalesce(sum(t), 0) from t)::DOUBLE as t_all),
+g as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT as gain from s left join t using (bucket), n),
+f as (select doc_id, count(*) as n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT as weight from du join k using (w) join g using (bucket) group by 1),
+a as (select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, ('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT as h from documents left join f using (doc_id)),
+b as (select doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT as score from a),
+r as (select *, case when n_features >= 20 then row_number() over (partition by n_features >= 20 order by score desc, doc_id) end as place from b)
+select doc_id, n_features, weight, score, case when place <= 10 * (select count(*) from b where n_features >= 20) // 100 then place end as rank from r
+"""
+
+SQL = {"op1_decontamination": OP1, "op3_quality_rules": OP3, "op5_mixing": OP5, "op11_filter_audit": OP11, "op13_importance": OP13}
