@@ -10,6 +10,8 @@ from codeloom.functions.tables import DEFAULT_PRICE, PRICES
 from codeloom.operators.rules import dimension
 
 REQUESTS, INPUT, OUTPUT, SECONDS, MARGIN = 50, 30_000, 8_000, 60, 0.85
+#: Slices of a window: a window of 60 seconds has slices of one.
+SLICES = 60
 
 
 def request_log(events: DataFrame) -> DataFrame:
@@ -18,16 +20,39 @@ def request_log(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.col("user_id").alias("key"), "ts", F.floor(value).cast("int").alias("in_tokens"), F.floor(value / 4).cast("int").alias("out_tokens"))
 
 
-def rolling(log: DataFrame, seconds: int = SECONDS, closed: bool = False) -> DataFrame:
-    """Calls and tokens in the time before each call, itself included; ``closed`` counts a call that is just so old as well.
+def rolling(log: DataFrame, seconds: int = SECONDS, closed: bool = False, key: str | None = "key") -> DataFrame:
+    """Calls and tokens in the time before each call, itself included: of its key, or of all calls if ``key`` is None.
 
-    A window per key. The sum per event time comes first, so that calls at the same time see each other.
+    ``closed`` counts a call that is just so old as well. Calls at the same time see each other; those without a time see those without one.
+
+    Time is cut into slices of 1 / SLICES of the window. The window of a call then has the begin of its own slice, whole slices, and the end of
+    the slice one window before. The whole ones are added up from a table with a row for each slice; single calls are only looked at together with those of the two slices at the
+    edges, so neither a busy key nor a single limit for everything ends in one task.
     """
+    keys, width = [key] if key else [], seconds * 1_000_000 // SLICES
+    used = ["requests", "in_used", "out_used"]
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("key").orderBy(us).rangeBetween(-seconds * 1_000_000 + (0 if closed else 1), 0)
-    return log.select(
-        "event_id", "key", F.count("*").over(w).alias("requests"), F.sum("in_tokens").over(w).alias("in_used"), F.sum("out_tokens").over(w).alias("out_used")
-    )
+    rows = log.select("event_id", "key", us.alias("us"), F.floor(us / width).alias("slice"), F.lit(1).cast("long").alias("requests"), F.col("in_tokens").cast("long").alias("in_used"), F.col("out_tokens").cast("long").alias("out_used"))
+    # slices: each run of SLICES of them with the run before it, of which the last ones belong to its windows
+    totals = rows.where("us is not null").groupBy(*keys, "slice").agg(*(F.sum(c).alias(c) for c in used))
+    run = F.floor(F.col("slice") / SLICES)
+    placed = totals.select("*", F.explode(F.array(run, run + 1)).alias("run"))
+    whole = Window.partitionBy(*keys, "run").orderBy("slice").rangeBetween(1 - SLICES, -1)
+    between = placed.select(*keys, "slice", "run", *(F.coalesce(F.sum(c).over(whole), F.lit(0)).alias(f"{c}_whole") for c in used)).where(run == F.col("run")).drop("run")
+    # calls: each slice with the one a window before it
+    mine = F.struct(F.col("slice").alias("at"), F.lit(True).alias("own"))
+    earlier = F.when(F.col("us").isNotNull(), F.struct((F.col("slice") + SLICES).alias("at"), F.lit(False).alias("own")))
+    both = rows.select("*", F.explode(F.array_compact(F.array(mine, earlier))).alias("p")).select("event_id", "key", "us", *used, F.col("p.at").alias("slice"), F.col("p.own").alias("own"))
+    edges = Window.partitionBy(*keys, "slice").orderBy("us").rangeBetween(-width * SLICES + (0 if closed else 1), 0)
+    seen = both.select("event_id", "key", "slice", "own", *(F.sum(c).over(edges).alias(c) for c in used)).where("own")
+    out = seen.join(between, [*keys, "slice"], "left")
+    return out.select("event_id", "key", *((F.col(c) + F.coalesce(f"{c}_whole", F.lit(0))).alias(c) for c in used))
+
+
+def reached(used: DataFrame, requests: int = REQUESTS, tokens_in: int = INPUT, tokens_out: int = OUTPUT, margin: float = MARGIN) -> DataFrame:
+    """used with over: whether a limit, the whole part of the quota's margin, is reached, so that a client would wait."""
+    at = lambda c, most: F.col(c) >= int(most * margin)
+    return used.withColumn("over", at("requests", requests) | at("in_used", tokens_in) | at("out_used", tokens_out))
 
 
 def over_limit(used: DataFrame, requests: int = REQUESTS, tokens_in: int = INPUT, tokens_out: int = OUTPUT, margin: float = 1.0) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.functions.tables import STOP_WORDS
+from codeloom.operators import storage
 
 # The two scopes, by short and by full name.
 SCOPES = {"exploratorios": "fatores_exploratorios", "classificatorios": "fatores_classificatorios"}
@@ -73,11 +80,69 @@ def first_keywords(index: DataFrame, n: int = 50, codes: int = 4) -> DataFrame:
     return some.groupBy("keyword").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "code"))), lambda x: x["code"]).alias("codes"))
 
 
+#: Keywords, and characters of them in all, that a matcher may hold: its automaton takes some hundred bytes for a character.
+FEW_KEYWORDS, FEW_CHARS = 100_000, 2_000_000
+#: What may stand between words.
+_GAP = r"[^\p{L}\p{N}]+"
+
+
+def plain(text: Column) -> Column:
+    """A text as its words (runs of letters and digits) in lower case, with one blank between them."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _GAP, " "))
+
+
 def tag(units: DataFrame, index: DataFrame, unit: str = "doc_id") -> DataFrame:
-    """(unit, keyword, n): single-word keywords found in units(unit, text), by an equi-join on distinct words."""
-    w = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("keyword")
-    counted = units.select(unit, w).groupBy(unit, "keyword").agg(F.count("*").alias("n"))
-    return counted.join(index.select("keyword"), "keyword", "left_semi").select(unit, "keyword", "n")
+    """(unit, keyword, n): how often keywords of one word or several occur in units(unit, text), overlapping occurrences counted each.
+
+    A keyword stands where its words follow each other, whatever separates them. Keywords are compared in their plain form and named by it; those
+    without a word never occur. Each text is read once: by a matcher of all keywords if a count and the sum of their lengths
+    show that it is small, else by joins on the keywords' first words. Units that repeat an id count together.
+    """
+    keywords = storage.written(index.select(plain(F.col("keyword")).alias("keyword")).where("keyword <> ''").distinct(), "keywords")
+    n, chars = keywords.agg(F.count("*"), F.coalesce(F.sum(F.length("keyword")), F.lit(0))).first()
+    texts = units.select(unit, plain(F.col("text")).alias("text"))
+    found = _matched(texts, keywords, unit) if n <= FEW_KEYWORDS and chars <= FEW_CHARS else _joined(texts, keywords, unit)
+    return found.groupBy(unit, "keyword").agg(F.sum("n").alias("n"))
+
+
+def _matched(texts: DataFrame, keywords: DataFrame, unit: str) -> DataFrame:
+    """By an automaton of all keywords, each between blanks, which finds them in one pass over a text."""
+    sent = texts.sparkSession.sparkContext.broadcast([r["keyword"] for r in keywords.toLocalIterator()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = matcher(sent.value)
+        for batch in batches:
+            counts = [Counter(find(t)) for t in batch.column(1).to_pylist()]
+            rows = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+            words = pa.array([w for c in counts for w in c], pa.string())
+            yield pa.record_batch([batch.column(0).take(pa.array(rows)), words, pa.array([x for c in counts for x in c.values()], pa.int64())], names=[unit, "keyword", "n"])
+
+    kind = texts.schema[unit].dataType.simpleString()
+    return texts.mapInArrow(run, f"`{unit}` {kind}, keyword string, n long")
+
+
+def matcher(keywords: list[str]) -> Callable[[str], Iterator[str]]:
+    """A function that gives the keywords (in plain form) at each place of a plain text where they stand."""
+    if not keywords:
+        return lambda text: iter(())
+    automaton = ahocorasick.Automaton()
+    for k in keywords:
+        automaton.add_word(f" {k} ", k)
+    automaton.make_automaton()
+    return lambda text: (k for _, k in automaton.iter(f" {text} "))
+
+
+def _joined(texts: DataFrame, keywords: DataFrame, unit: str) -> DataFrame:
+    """By equi-joins: a word that some keyword begins with gives a run of words for each length of such keywords, and the runs meet the keywords."""
+    size = lambda c: F.size(F.split(F.col(c), " ", -1))
+    first = F.substring_index("keyword", " ", 1)
+    begin = keywords.groupBy(first.alias("w")).agg(F.collect_set(size("keyword")).alias("lengths"))
+    longest = keywords.agg(F.coalesce(F.max(size("keyword")), F.lit(1))).first()[0]
+    words = texts.where("text <> ''").select(unit, F.split("text", " ", -1).alias("ws"))
+    at = F.transform(F.col("ws"), lambda w, i: F.struct(w.alias("w"), F.slice(F.col("ws"), i + 1, F.lit(longest)).alias("run")))
+    starts = words.select(unit, F.explode(at).alias("s")).select(unit, "s.*").join(storage.few(begin, FEW_KEYWORDS), "w")
+    runs = starts.select(unit, F.explode(F.filter(F.transform("lengths", lambda k: F.when(F.size("run") >= k, F.array_join(F.slice("run", F.lit(1), k), " "))), lambda r: r.isNotNull())).alias("keyword"))
+    return runs.groupBy(unit, "keyword").agg(F.count("*").alias("n")).join(storage.few(keywords, FEW_KEYWORDS), "keyword", "left_semi").select(unit, "keyword", "n")
 
 
 # --- projects ----------------------------------------------------------------------------------------------------

@@ -61,6 +61,21 @@ def j12_keyword_tags(spark, d):
     return codebook.tag(table(spark, d, "documents"), table(spark, d, "benchmark").select(words).distinct())
 
 
+_PLAIN = r"trim(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+@query(f"""with b as (select string_split({_PLAIN.format('text')}, ' ') as w from benchmark), k as (select distinct unnest(flatten(list_transform([1, 2, 3], lambda n: list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))))) as keyword from b),
+t as (select doc_id, string_split({_PLAIN.format('text')}, ' ') as w from documents), g as (select doc_id, unnest(flatten(list_transform([1, 2, 3], lambda n: list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))))) as keyword from t)
+select doc_id, keyword, count(*) as n from g semi join k using (keyword) where keyword <> '' group by 1, 2""")
+def j12_phrase_tags(spark, d):
+    """The benchmark's words and its phrases of two and three words, as keywords."""
+    w = F.split(codebook.plain(F.col("text")), " ", -1)
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(0)), F.lit(1)), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
+    some = lambda n: F.when(F.size("w") >= n, runs(n)).otherwise(F.array().cast("array<string>"))
+    phrases = table(spark, d, "benchmark").select(w.alias("w")).select(F.explode(F.concat(*map(some, (1, 2, 3)))).alias("keyword"))
+    return codebook.tag(table(spark, d, "documents"), phrases)
+
+
 @query(BLOCKS + ", o as (select distinct lower(code) as code from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as code from benchmark)) select distinct lower(factor) as code from occ where lower(factor) not in (select code from o)")
 def j10_codes_without_entry(spark, d):
     known = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("code")).distinct()
@@ -256,6 +271,20 @@ def w5_rolling_budget(spark, d):
     return budget.over_limit(budget.rolling(budget.request_log(table(spark, d, "events"))))
 
 
+@query(_LOG + """select event_id, key, count(*) over w as requests, (sum(in_tokens) over w)::BIGINT as in_used, (sum(out_tokens) over w)::BIGINT as out_used,
+ count(*) over w >= 42 or sum(in_tokens) over w >= 25500 or sum(out_tokens) over w >= 6800 as over from log window w as (order by epoch_us(ts) range between 60000000 preceding and current row)""")
+def w5_global_budget(spark, d):
+    """One limit for all keys, as a client keeps it: calls of just 60 seconds ago count, and 85 % of the quota is the limit."""
+    return budget.reached(budget.rolling(budget.request_log(table(spark, d, "events")), closed=True, key=None))
+
+
+@query(_LOG + """select event_id, key, count(*) over w as requests, (sum(in_tokens) over w)::BIGINT as in_used, (sum(out_tokens) over w)::BIGINT as out_used,
+ count(*) over w >= 42 or sum(in_tokens) over w >= 25500 or sum(out_tokens) over w >= 6800 as over from log window w as (partition by key order by epoch_us(ts) range between 86400000000 preceding and current row)""")
+def w5_daily_budget(spark, d):
+    """The same for each key, over a day."""
+    return budget.reached(budget.rolling(budget.request_log(table(spark, d, "events")), 86_400, closed=True))
+
+
 @query(f"""with p(model, i, o) as (values ('claude-3-haiku-20240307', 0.25::DOUBLE, 1.25::DOUBLE), ('claude-3-opus-20240229', 15.0::DOUBLE, 75.0::DOUBLE)),
 t as (select doc_id, case doc_id % 3 when 0 then 'claude-3-haiku-20240307' when 1 then 'claude-3-opus-20240229' else 'unlisted' end as model, trunc({WORDS.format('text')} * 1.3::DOUBLE)::INT as n from documents)
 select doc_id, t.model, round((3000 + n) / 1e6::DOUBLE * coalesce(i, 3.0::DOUBLE) + least(8000.0::DOUBLE, n * 0.5::DOUBLE) / 1e6::DOUBLE * coalesce(o, 15.0::DOUBLE), 8) as cost from t left join p using (model)""")
