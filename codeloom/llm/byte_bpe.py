@@ -19,9 +19,8 @@ read, whatever other columns there are. An empty table gives an empty result. Id
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -44,11 +43,12 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes_of = ranks, {t: b for b, t in ranks.items()}
         self.longest = max(map(len, ranks))
+        self.follows: dict[int, dict[int, bool]] = {t: {} for t in self.bytes_of}
         self.automaton = ahocorasick.Automaton()  # of characters that stand for bytes
         for b, t in ranks.items():
-            self.automaton.add_word(b.decode("latin-1"), (t, len(b)))
+            self.automaton.add_word(b.decode("latin-1"), (self.follows[t], t, len(b)))
         self.automaton.make_automaton()
-        self.halves, self.edges, self.pairs = {}, ({}, {}), {}
+        self.halves, self.edges, self.pairs = {}, ({}, {}), 0
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; none for a byte, and for a token that merging can't reach."""
@@ -82,17 +82,53 @@ class Vocabulary:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Does merging the bytes of a (-1 for none) and b give a and b again? Of equal merges the one further left comes first."""
-        pair = a << 32 | b
-        if pair not in self.pairs:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
+        known = self.follows[b]
+        if a not in known:
+            self.pairs += 1
+            if self.pairs > CACHE_PAIRS:
+                self.pairs = 0
+                for x in self.follows.values():
+                    x.clear()
             ranks = self.ranks
-            self.pairs[pair] = self.reachable(b) and not any(
+            known[a] = self.reachable(b) and not any(
                 from_x <= to_y and from_y < to_x and (m := ranks.get(x + y)) is not None and m < to_x and m <= to_y
                 for x, from_x, to_x in (self.edge(a, 1) if a >= 0 else ())
                 for y, from_y, to_y in self.edge(b, 0)
             )
-        return self.pairs[pair]
+        return known[a]
+
+    def last_tokens(self, data: bytes, last: list[int], begin: int = 0, enough: Callable[[int], bool] | None = None) -> None:
+        """Fill in the last token of each prefix longer than ``begin``, where last[k] belongs to the prefix of k bytes; ``enough`` is asked after each length."""
+        offset, done = max(begin - self.longest, 0), begin
+        last += [-1] * (len(data) + 1 - len(last))
+        for at, (follows, token, length) in self.automaton.iter(data[offset:].decode("latin-1")):
+            end = at + offset + 1
+            if end > done:
+                before = last[end - length]
+                fits = follows.get(before)
+                if self.may_follow(before, token) if fits is None else fits:
+                    last[end], done = token, end
+                    if enough is not None and enough(end):
+                        return
+
+    def read_back(self, data: bytes, last: list[int]) -> list[int]:
+        """The encoding of all data, from the last tokens of its prefixes."""
+        out, end = [], len(data)
+        while end:
+            if last[end] < 0:
+                raise ValueError(f"no token of the vocabulary ends with byte {data[end - 1]}")
+            out.append(last[end])
+            end -= len(self.bytes_of[out[-1]])
+        return out[::-1]
+
+    def encode(self, data: bytes) -> list[int]:
+        """The ids of a piece; one that is a token as a whole is that token."""
+        whole = self.ranks.get(data)
+        if whole is not None:
+            return [whole]
+        last: list[int] = []
+        self.last_tokens(data, last)
+        return self.read_back(data, last)
 
 
 class Prefixes:
@@ -102,80 +138,85 @@ class Prefixes:
         self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
-    def _work_out(self, begin: int) -> Iterator[int]:
-        """Fill in the last tokens of the prefixes longer than ``begin``; yields the length of each one that is done."""
-        v, last, known = self.vocabulary, self.last, self.vocabulary.pairs
-        last += [-1] * (len(self.data) + 1 - len(last))
-        offset = max(begin - v.longest, 0)
-        for at, (token, length) in v.automaton.iter(self.data[offset:].decode("latin-1")):
-            end = at + offset + 1
-            if end > begin and last[end] < 0 and end - offset >= length:
-                before = last[end - length]
-                fits = known.get(before << 32 | token)
-                if v.may_follow(before, token) if fits is None else fits:
-                    last[end] = token
-                    yield end
-
     def append(self, data: bytes) -> None:
         """More bytes at the end; what is known stays."""
         begin = len(self.data)
         self.data += data
-        for _ in self._work_out(begin):
-            pass
+        self.vocabulary.last_tokens(self.data, self.last, begin)
 
     def replace(self, at: int, removed: int, inserted: bytes) -> int:
         """Other bytes in place of data[at : at + removed]; how many prefixes had to be worked out again."""
-        old, shift, same = self.last, len(inserted) - removed, 0
+        old, shift, same, reached = self.last, len(inserted) - removed, 0, at
         self.data = self.data[:at] + inserted + self.data[at + removed :]
         self.last = old[: at + 1]
-        for end in self._work_out(at):
+
+        def enough(end: int) -> bool:
+            nonlocal same, reached
+            reached = end
             same = same + 1 if end > at + len(inserted) and self.last[end] == old[end - shift] else 0
-            if same >= self.vocabulary.longest:
-                self.last[end:] = old[end - shift :]
-                return end - at
-        return len(self.data) - at
+            return same >= self.vocabulary.longest
+
+        self.vocabulary.last_tokens(self.data, self.last, at, enough)
+        self.last[reached:] = old[reached - shift :] if reached < len(self.data) else self.last[reached:]
+        return reached - at
 
     def ids(self) -> list[int]:
-        """The encoding: last tokens, read from the end. A piece that is a token as a whole is that token."""
         whole = self.vocabulary.ranks.get(self.data)
-        if whole is not None:
-            return [whole]
-        out, end = [], len(self.data)
-        while end:
-            if self.last[end] < 0:
-                raise ValueError(f"no token of the vocabulary ends with byte {self.data[end - 1]}")
-            out.append(self.last[end])
-            end -= len(self.vocabulary.bytes_of[out[-1]])
-        return out[::-1]
+        return [whole] if whole is not None else self.vocabulary.read_back(self.data, self.last)
 
 
 class Encoder(dict):
-    """Ids of pieces, worked out when a piece is first met; encode() looks the pieces of a text up here."""
+    """Ids of pieces as little-endian int32, worked out when a piece is first met; encode() looks the pieces of a text up here.
+
+    Of a full table the pieces that are met again move to the next one, the others are forgotten with it.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.vocabulary, self.find = Vocabulary(ranks), regex.compile(pattern).findall
-
-    def __missing__(self, piece: str) -> list[int]:
-        ids = Prefixes(self.vocabulary, piece.encode("utf-8")).ids()
+        self.vocabulary, self.find, self.before = Vocabulary(ranks), regex.compile(pattern).findall, {}
+        self.id_bytes = {t: t.to_bytes(4, "little") for t in ranks.values()}
+        # the bytes of all tokens one after the other, where each begins, and how many it has
+        count = max(ranks.values()) + 1
+        in_order = [self.vocabulary.bytes_of.get(t, b"") for t in range(count)]
+        self.flat, self.lengths = np.frombuffer(b"".join(in_order), dtype=np.uint8), np.fromiter(map(len, in_order), dtype=np.int64, count=count)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = b"".join(map(self.id_bytes.__getitem__, self.vocabulary.encode(piece.encode("utf-8"))))
         if len(piece) <= LONGEST_KEPT:
             self[piece] = ids
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode_bytes(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian int32."""
         if len(self) > CACHE_PIECES:
+            self.before = dict(self)
             self.clear()
-        return list(chain.from_iterable(map(self.__getitem__, self.find(text or ""))))
+        return b"".join(map(self.__getitem__, self.find(text or "")))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), dtype="<i4").tolist()
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, and how many each stands for."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.lengths) and (lengths := self.lengths[ids]).all()):
+            raise ValueError("an id that the vocabulary lacks")
+        if not len(ids):
+            return self.flat[:0], self.lengths[:0]
+        ends, begins = np.cumsum(lengths), self.begins[ids]
+        steps = np.ones(int(ends[-1]), dtype=np.int64)  # from byte to byte, and jumps where a token begins
+        steps[0] = begins[0]
+        steps[ends[:-1]] = begins[1:] - begins[:-1] - lengths[:-1] + 1
+        return self.flat[np.cumsum(steps)], lengths
 
     def amend(self, text: str, ids: list[int], at: int, removed: int, inserted: str) -> tuple[str, list[int], int]:
         """(text, ids, characters encoded again) after ``inserted`` takes the place of text[at : at + removed]."""
         cuts = [0, *(m.start() + 1 for m in regex.finditer(r"\S\s", text)), len(text)]
         lo, hi = np.searchsorted(cuts, at, side="left") - 1, np.searchsorted(cuts, at + removed, side="right")
         start, stop = cuts[max(lo, 0)], cuts[hi] if hi < len(cuts) else len(text)
-        ends = np.cumsum([0, *(len(self.vocabulary.bytes_of[i]) for i in ids)])
+        ends = np.concatenate(([0], np.cumsum(self.lengths[ids])))
         first, end = (int(np.searchsorted(ends, len(text[:k].encode("utf-8")))) for k in (start, stop))
         between = text[start:at] + inserted + text[at + removed : stop]
         return text[:start] + between + text[stop:], ids[:first] + self.encode(between) + ids[end:], len(between)
@@ -197,9 +238,9 @@ def vocabulary_path(vocabulary: str | None) -> str:
     return vocabulary
 
 
-def _id_lists(ids: list[list[int]]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))))
+def _id_lists(ids: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
 
 
 def _parts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +254,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary_path(vocabulary)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path).encode_bytes
         for part in _parts(rows):
             yield pa.record_batch({"doc_id": part.column(0), "ids": _id_lists([encode(t) for t in part.column(1).to_pylist()])})
 
@@ -227,8 +268,11 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = encoder(path).decode
         for part in _parts(rows):
-            texts = [decode(ids or []) for ids in part.column(1).to_pylist()]
-            yield pa.record_batch({"doc_id": part.column(0), "ids": part.column(1), "decoded": pa.array(texts, pa.binary())})
+            of_row = part.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            text, lengths = decode(part.column(1).flatten().to_numpy(zero_copy_only=False))
+            ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(of_row)))].astype(np.int32)
+            decoded = pa.Array.from_buffers(pa.binary(), len(of_row), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(text))])
+            yield pa.record_batch({"doc_id": part.column(0), "ids": part.column(1), "decoded": decoded})
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
@@ -249,7 +293,7 @@ def amend(encoded: DataFrame, edits: DataFrame, vocabulary: str | None = None) -
                 for r in part.to_pylist()
             ]
             text, ids, n = zip(*new, strict=True) if new else ((), (), ())
-            yield pa.record_batch({"doc_id": part.column(0), "text": pa.array(text, pa.string()), "ids": _id_lists(list(ids)), "encoded_again": pa.array(n, pa.int64())})
+            yield pa.record_batch({"doc_id": part.column(0), "text": pa.array(text, pa.string()), "ids": pa.array(ids, pa.list_(pa.int32())), "encoded_again": pa.array(n, pa.int64())})
 
     edits = edits.select("doc_id", "at", "removed", "inserted", F.lit(True).alias("edited"))
     rows = encoded.select("doc_id", "text", "ids").join(edits, "doc_id", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "ids", "at", "removed", "inserted", "edited")
