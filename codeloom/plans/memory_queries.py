@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import chains, memory, rules
+from codeloom.operators import chains, graph, memory, rules
 from codeloom.plans.base import BLOCKS, CO, CONTEXTS, blocks, query
 
 
@@ -202,6 +202,13 @@ def r8_circular_chains(spark, d):
     return rules.circular(chains.edges(blocks(spark, d)))
 
 
+@query()
+def r8_circles(spark, d):
+    """Factors on circles of any length; SQL would need the closure of all paths."""
+    found = graph.strong_components(chains.edges(blocks(spark, d)))
+    return found.select(F.col("node").alias("factor"), "component", "size")
+
+
 @query(BLOCKS + """, o as (select src as factor, count(*) filter (rel = 'enables') as enables, count(*) filter (rel = 'influences') as influences, count(*) filter (rel = 'constrains') as constrains,
  count(*) filter (rel = 'contested-by') as contested_by, count(*) filter (rel = 'relates-to') as relates_to, count(*) as n_out from edges group by 1), i as (select dst as factor, count(*) as n_in from edges group by 1)
 select factor, coalesce(enables, 0) as enables, coalesce(influences, 0) as influences, coalesce(constrains, 0) as constrains, coalesce(contested_by, 0) as contested_by, coalesce(relates_to, 0) as relates_to,
