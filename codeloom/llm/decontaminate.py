@@ -72,7 +72,9 @@ def sketches(shingles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sized.withColumn("kept", kept).select("item_id", "size_class", needed.alias("needed"), F.explode("kept").alias("k")).select("item_id", "size_class", "needed", "k.h")
 
 
-def _shared(sketch_filter: np.ndarray, all_filter: np.ndarray, kind: pa.DataType):
+def _shared(sketch_filter: np.ndarray | None, all_filter: np.ndarray, kind: pa.DataType):
+    """The shingles of each row that items may have; without a sketch filter also of rows that don't meet a sketch themselves."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             keys, hs, texts, flags = [], [], [], []
@@ -81,8 +83,8 @@ def _shared(sketch_filter: np.ndarray, all_filter: np.ndarray, kind: pa.DataType
                 if len(w) < WIDTH:
                     continue
                 h = _hashes(w)
-                sketched = hits(sketch_filter, h)
-                if not sketched.any():
+                sketched = np.zeros(len(h), dtype=bool) if sketch_filter is None else hits(sketch_filter, h)
+                if sketch_filter is not None and not sketched.any():
                     continue
                 at = np.flatnonzero(hits(all_filter, h))
                 own = dict(zip((" ".join(w[k : k + WIDTH]) for k in at), zip(signed(h)[at].tolist(), sketched[at].tolist(), strict=True), strict=True))
@@ -95,14 +97,24 @@ def _shared(sketch_filter: np.ndarray, all_filter: np.ndarray, kind: pa.DataType
     return run
 
 
-def _contained(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """(key, item_id, n_shared, n_shingles) of every contained item, exactly, for texts(key, text); keys are numbers or strings."""
+def _contained(texts: DataFrame, items: DataFrame, threshold: float, one_text: bool = False) -> DataFrame:
+    """(key, item_id, n_shared, n_shingles) of every contained item, exactly, for texts(key, text); keys are numbers or strings.
+
+    ``one_text`` says that rows of the same key have the same text. Else the other rows of a key whose row meets a sketch are
+    read as well, as the item may be spread over them; which keys repeat is counted from the keys alone.
+    """
     own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     shingles = durable(own.mapInArrow(_item_shingles, "item_id long, h long, shingle string").distinct())
     chosen = durable(sketches(shingles, threshold))
     kind = texts.schema["key"].dataType.simpleString()
-    search = _shared(key_filter(chosen, "h"), key_filter(shingles, "h"), pa.string() if kind == "string" else pa.int64())
-    shared = durable(texts.mapInArrow(search, f"key {kind}, h long, shingle string, sketched boolean").distinct())
+    arrow, columns, of_items = pa.string() if kind == "string" else pa.int64(), f"key {kind}, h long, shingle string, sketched boolean", key_filter(shingles, "h")
+    shared = durable(texts.mapInArrow(_shared(key_filter(chosen, "h"), of_items, arrow), columns).distinct())
+    if not one_text:
+        repeated = texts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("again"))
+        spread = durable(shared.select("key").distinct().join(repeated, F.col("key").eqNullSafe(F.col("again"))).select("again"))
+        if not spread.isEmpty():
+            rest = texts.join(few(spread), F.col("key").eqNullSafe(F.col("again")), "left_semi").mapInArrow(_shared(None, of_items, arrow), columns)
+            shared = durable(shared.unionAll(rest).groupBy("key", "h", "shingle").agg(F.max("sketched").alias("sketched")))
     met = shared.where("sketched").join(chosen, "h").groupBy("key", "item_id").agg(F.count("*").alias("met"), F.first("needed").alias("needed")).where("met >= needed")
     pairs = met.select(F.col("key").alias("doc"), F.col("item_id").alias("item"))
     both = pairs.join(shared.select("key", "shingle"), F.col("doc").eqNullSafe(F.col("key")))
@@ -132,6 +144,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     """
     digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
     texts = docs.select(digest.alias("key"), F.col("text").cast("string").alias("text"))
-    leaks = durable(_contained(texts, items, threshold).select(F.col("key").alias("leak")).distinct())
+    leaks = durable(_contained(texts, items, threshold, one_text=True).select(F.col("key").alias("leak")).distinct())
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), digest.alias("digest"))  # one column: no name can clash
     return rows.join(few(leaks), F.col("digest") == F.col("leak"), "left_anti").select("row.*")

@@ -129,12 +129,12 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def _with_classes(fps: DataFrame) -> DataFrame:
-    """Durable fps(doc_id, digest, fp) with component_id."""
+    """Durable fps(doc_id, digest, fp) with root, which names the class, and component_id, which two classes share if rows of one id are in both."""
     distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = durable(rooted.join(lowest, "root").select("fp", "component_id"))  # one row for a fingerprint: Spark splits the other side where many rows have it
+    of = durable(rooted.join(lowest, "root").select("fp", "root", "component_id"))  # one row for a fingerprint: Spark splits the other side where many rows have it
     return fps.join(of, "fp")
 
 
@@ -153,12 +153,12 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
     found = _with_classes(durable(fingerprints(docs, text, doc_id, digest))).where("doc_id is not null")
     # tables of their own, so that Spark can split the join where one class has very many rows
-    one = durable(found.groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "component_id").agg(F.count("*").alias("n")))
-    first = durable(one.where("id = component_id").groupBy("component_id").agg(F.min("of").alias("first")))
-    known = one.join(first, "component_id").withColumn("stays", (F.col("id") == F.col("component_id")) & (F.col("of") == F.col("first")))
+    one = durable(found.groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "root", "component_id").agg(F.count("*").alias("n")))
+    first = durable(one.where("id = component_id").groupBy("root").agg(F.min("of").alias("first")))
+    known = one.join(first, "root").withColumn("stays", (F.col("id") == F.col("component_id")) & (F.col("of") == F.col("first")))
     verdicts = durable(known.where("not stays or n > 1").select("id", "of", "stays"))
     # whole rows as one column, so that no name of theirs can clash
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_id).cast("long").alias("_id"), digest.alias("_of"))
     judged = held.join(few(verdicts), (F.col("_id") == F.col("id")) & (F.col("_of") == F.col("of")), "left")
-    again = judged.where("stays").dropDuplicates(["_id"])
+    again = judged.where("stays").dropDuplicates(["_id", "_of"])
     return judged.where("stays is null").select("row.*").unionByName(again.select("row.*"))

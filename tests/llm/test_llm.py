@@ -175,7 +175,7 @@ def test_personal_data_keeps_the_stated_patterns(spark, sf, texts):
         assert pii.base_spans(t) == brute_pii(t), t
     for r in queries.op4_pii(spark, sf).collect():
         own = brute_pii(texts[r["doc_id"]])
-        assert r["base_sha256"] == digest(own) and r["n_email"] == sum(k == "email" for k, *_ in own)
+        assert r["base_sha256"] == digest(own) and [r[f"n_{k}"] for k in pii.KINDS] == [sum(x == k for x, *_ in own) for k in pii.KINDS]
         assert {f"{k}:{a}:{b}" for k, a, b in own} <= set(filter(None, r["spans"].split(",")))
 
 
@@ -222,7 +222,8 @@ def test_secrets_keep_the_stated_patterns(spark, sf, texts):
     assert sorted(secrets.base_spans(key), key=lambda s: (s[1], secrets.KINDS.index(s[0]))) == brute_secrets(key)
     for r in queries.op7_secrets(spark, sf).collect():
         own = brute_secrets(texts[r["doc_id"]])
-        assert r["base_sha256"] == digest(own) and r["n_hex"] == sum(k == "hex" for k, *_ in own)
+        assert r["base_sha256"] == digest(own) and [r[f"n_{k}"] for k in secrets.KINDS] == [sum(x == k for x, *_ in own) for k in secrets.KINDS]
+        assert {f"{k}:{a}:{b}" for k, a, b in own} <= set(filter(None, r["spans"].split(",")))
 
 
 def test_random_strings_are_found_and_known_ones_left(spark):
@@ -250,6 +251,21 @@ def test_containment_agrees_with_all_pairs_on_edited_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) > 100
 
 
+def test_items_spread_over_the_rows_of_a_document(spark):
+    """Rows of one doc_id, ids that are missing among them, have the shingles of all of them, also where one row alone meets no sketch."""
+    rng = np.random.default_rng(5)
+    items, docs = [], []
+    for k in range(60):
+        w = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(12, 40)))]
+        items.append((k, " ".join(w)))
+        cut = int(rng.integers(6, len(w) - 5))
+        for part in (w[: cut + 4], w[cut:]):  # each shingle is in one of the two
+            docs.append((k if k else None, " ".join([*(f"f{x}" for x in rng.integers(0, 5000, 50)), *part])))
+    docs += [(1000 + k, " ".join(f"f{x}" for x in rng.integers(0, 5000, 50))) for k in range(60)]
+    got = decontaminate.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["n_shared"] == r["n_shingles"]) for r in got.collect()} == {(k if k else None, k, True) for k in range(60)}
+
+
 def test_compact_windows_agree_with_their_definition():
     for seed in range(6):
         x = np.random.default_rng(seed).integers(1, 40 if seed % 2 else 1 << 37, 90).astype(np.uint64) << np.uint64(26)
@@ -639,15 +655,31 @@ def test_held_out_figures(spark, name, column, least):
     assert auc >= least[0] and recall >= least[1] and marked <= least[2]
 
 
+def _clean(seed, n=60):
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(map(chr, rng.integers(97, 123, int(rng.integers(3, 9))))) for _ in range(n))
+
+
 @pytest.mark.parametrize("empty", [True, False])
 def test_pipeline_on_odd_tables(spark, odd, none, labels, tmp_path, empty):
+    """Of the odd rows the base rules reject all; the clean ones beside them go through, whatever their ids, and only what a stage is for goes."""
     import corpus_pipeline as P
 
-    (none if empty else odd).write.parquet(f"{tmp_path}/documents.parquet")
+    item = _clean(9, 20)
+    good = [(20, _clean(0)), (21, _clean(0)), (42, _clean(1)), (None, _clean(2)), (None, None), (23, f"{_clean(3)} {item} {_clean(4)}"), (24, _clean(5)), (24, _clean(6))]
+    extra = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in good], DOCS).withColumns({c: F.lit("clash") for c in odd.columns[5:]})
+    (none if empty else odd.unionByName(extra)).write.parquet(f"{tmp_path}/documents.parquet")
     (labels.limit(0) if empty else labels).write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([] if empty else [(1, None), (2, "the same line the same line the same")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([] if empty else [(1, None), (2, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = P.read(spark, str(tmp_path), "documents")
-    for _, stage in P.STAGES[:-1]:
-        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
-    out = P.run(spark, str(tmp_path))
-    assert set(out.columns) >= {"doc_id", "start", "n_tokens", "ids_crc32"} and out.count() == (0 if empty else out.count())
+    left = [[20, 21, 23, 24, 24, 42, None], [20, 23, 24, 24, 42, None], [20, 24, 24, 42, None]]  # after rules, copies, benchmark
+    for k, (_, stage) in enumerate(P.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        if k < 3:
+            docs = out.persist()
+            assert sorted((r["doc_id"] for r in docs.collect()), key=lambda x: (x is None, x or 0)) == ([] if empty else left[k])
+    mixed = sorted(str(r["doc_id"]) for r in out.collect())
+    got = P.run(spark, str(tmp_path))
+    assert set(got.columns) >= {"doc_id", "start", "n_tokens", "ids_crc32"} and sorted(str(r["doc_id"]) for r in got.collect()) == mixed
+    assert empty == (not mixed)
