@@ -159,12 +159,30 @@ def chain_relations(specs: DataFrame) -> DataFrame:
     return own.select(F.explode("r").alias("relation", "meaning"))
 
 
-def violations(items: DataFrame, specs: DataFrame) -> DataFrame:
+def broken_bundles(items: DataFrame, bundles: DataFrame) -> DataFrame:
+    """(item_id, bundle, given, missing) for values(item_id, field, value) that give some fields of bundles(fields), but not all of them.
+
+    An item's fields of a bundle are the bits of a mask, put together by an aggregate, so that values come in any order and number
+    (the same field twice is one bit) and tasks send a number for each item and bundle. Empty and null values give nothing. A bundle has 63 fields at most.
+    """
+    own = bundles.select("fields", F.array_join("fields", "+").alias("bundle"), F.posexplode("fields").alias("bit", "field"))
+    given = items.where(F.coalesce("value", F.lit("")) != "").select("item_id", "field")
+    masks = given.join(storage.few(own.select("bundle", "field", "bit")), "field").groupBy("item_id", "bundle").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    names = storage.few(bundles.select("fields", F.array_join("fields", "+").alias("bundle")).distinct())
+    full = F.expr("shiftleft(1L, size(fields)) - 1")
+    split = lambda on: F.filter("fields", lambda f, k: (F.getbit("mask", k) == 1) == on)
+    return masks.join(names, "bundle").where(F.col("mask") != full).select("item_id", "bundle", split(F.lit(True)).alias("given"), split(F.lit(False)).alias("missing"))
+
+
+def violations(items: DataFrame, specs: DataFrame, bundles: DataFrame | None = None) -> DataFrame:
     """(item_id, field, kind) for values(item_id, field, value) that break the template, and for required fields without one.
 
     Kinds: REQUIRED, VALUES (not in the list), SCALE (outside the range), CHAIN (even number of elements, or a relation
-    that isn't allowed), DATE.
+    that isn't allowed), DATE; and BUNDLE, with the bundle's fields joined by +, where bundles(fields) are given.
     """
+    if bundles is not None:
+        own = broken_bundles(items, bundles).select("item_id", F.col("bundle").alias("field"), F.lit("BUNDLE").alias("kind"))
+        return violations(items, specs).unionByName(own)
     given = items.where(F.coalesce("value", F.lit("")) != "")
     known = given.join(F.broadcast(specs), "field")  # a template is a short list
     parts = F.split(F.trim("value"), r"\s*->\s*")

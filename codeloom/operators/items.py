@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,46 +176,80 @@ def text_similarity(a: Column, b: Column) -> Column:
     return ratio(T.fingerprint(a), T.fingerprint(b))
 
 
-def best_window(needle: str, text: str, threshold: float = LITERAL) -> float:
-    """The best similarity of the needle with a stretch of its length; stretches that can't reach the threshold aren't compared.
+def common_characters(needle: str, text: str) -> np.ndarray:
+    """For each stretch of the text as long as the needle, how many characters both have in common, in any order."""
+    code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    out = np.zeros(len(text) - len(needle) + 1, dtype=np.int64)
+    for c, n in Counter(needle).items():
+        seen = np.concatenate(([0], np.cumsum(code == ord(c))))
+        out += np.minimum(seen[len(needle) :] - seen[: -len(needle)], n)
+    return out
 
-    The common characters of two strings bound their similarity, and are counted from one stretch to the next.
+
+def common_order(places: dict[str, int], n: int, text: str) -> int:
+    """How many characters of the text stand in the same order in the needle (their longest common subsequence), given the places of its n characters as bits."""
+    ends = full = (1 << n) - 1  # a cleared bit ends a subsequence that is longer by one
+    for c in text:
+        here = ends & places.get(c, 0)
+        ends = ((ends + here) | (ends - here)) & full
+    return n - ends.bit_count()
+
+
+#: Characters of a piece of the needle whose exact places in the text are looked at first.
+PIECE = 12
+
+
+def best_window(needle: str, text: str) -> float:
+    """The best similarity of the needle with a stretch of its length: what comparing it with every stretch would give.
+
+    Where a piece of the needle stands in the text is compared first, as a similar stretch has most of its pieces unchanged. Two numbers then bound a
+    stretch's similarity: its characters in common with the needle, and those of them in the same order. Stretches are taken by the first bound, the
+    highest first, until it is no better than what was found, and only compared if the second is better as well.
     """
     n = len(needle)
     if n > len(text) or not n:
         return 0.0
-    need: dict[str, int] = {}
-    for c in needle:
-        need[c] = need.get(c, 0) + 1
-    have: dict[str, int] = {}
-    common, best, low = 0, 0.0, threshold * n
-    for k, c in enumerate(text):
-        have[c] = have.get(c, 0) + 1
-        common += have[c] <= need.get(c, 0)
-        if k >= n:
-            old = text[k - n]
-            common -= have[old] <= need.get(old, 0)
-            have[old] -= 1
-        if k >= n - 1 and common >= low and common > best * n:
-            best = max(best, SequenceMatcher(None, needle, text[k - n + 1 : k + 1]).ratio())
-            if best >= 0.999:
-                break
+    score = lambda at: SequenceMatcher(None, needle, text[at : at + n]).ratio()
+    best, tried = 0.0, set()
+    for k in range(0, n, PIECE):
+        found = text.find(needle[k : k + PIECE])
+        if found >= 0 and (at := min(max(found - k, 0), len(text) - n)) not in tried:
+            tried.add(at)
+            best = max(best, score(at))
+    bound = common_characters(needle, text)
+    order = np.flatnonzero(bound > best * n)
+    places: dict[str, int] = {}
+    for k, c in enumerate(needle):
+        places[c] = places.get(c, 0) | 1 << k
+    for at in order[np.argsort(-bound[order], kind="stable")].tolist():
+        if bound[at] <= best * n:
+            break
+        if at not in tried and common_order(places, n, text[at : at + n]) > best * n:
+            best = max(best, score(at))
     return best
 
 
+#: Items of an interview that one call searches for, on average.
+TOGETHER = 50
+
+
 def literal(items: DataFrame, texts: DataFrame, threshold: float = LITERAL) -> DataFrame:
     """Items with is_valid and score: whether the excerpt stands in the transcript, literally or nearly so.
 
-    The items of an interview meet its transcript once. Exact hits are found by expressions; only the others go to Python,
-    again once for each interview. Items without an excerpt pass.
+    The score is the best similarity of the excerpt with a stretch of the transcript, 1 for an exact hit, and 0 for an excerpt longer than
+    the transcript; white space and case don't count. Items without an excerpt pass. Items meet the transcript in groups of a bounded number, exact hits are found by expressions, and only
+    the others go to Python. Items of an interview without a transcript have no row.
     """
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def search(needles: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([[best_window(x, b, threshold) for x in a] for a, b in zip(needles, text, strict=True)])
+        return pd.Series([[best_window(x, b) for x in a] for a, b in zip(needles, text, strict=True)])
 
     one = F.struct(*(F.col(f"`{c}`") for c in items.columns)).alias("item")
-    own = items.select("interview_id", F.struct(T.fingerprint(F.coalesce("excerpt", F.lit(""))).alias("e"), one).alias("i")).groupBy("interview_id").agg(F.collect_list("i").alias("all"))
+    rows = items.select("interview_id", F.struct(T.fingerprint(F.coalesce("excerpt", F.lit(""))).alias("e"), one).alias("i"))
+    groups = rows.groupBy("interview_id").agg(F.ceil(F.count("*") / F.lit(TOGETHER)).alias("groups"))
+    dealt = rows.join(groups, "interview_id").withColumn("group", F.pmod(F.xxhash64("i.e"), F.col("groups")))
+    own = dealt.groupBy("interview_id", "group").agg(F.collect_list("i").alias("all"))
     met = own.join(texts.select("interview_id", T.fingerprint(F.col("transcript")).alias("t")), "interview_id")
     hit = lambda x: F.contains(F.col("t"), x["e"])
     met = met.select("t", F.filter("all", hit).alias("exact"), F.filter("all", lambda x: ~hit(x)).alias("rest"))
@@ -271,3 +306,45 @@ def closest_codes(words: DataFrame, codebook: DataFrame, cutoff: float = CLOSE)
     best = scored.groupBy("word").agg(F.max(F.struct("score", "code")).alias("b")).select("word", F.col("b.code").alias("code"))
     found = rest.join(best, "word", "left").select("word", F.coalesce("code", "w").alias("code"), F.col("code").isNotNull().alias("is_valid"))
     return exact.unionByName(found)
+
+
+def edit_similarity(a: Column, b: Column) -> Column:
+    """One less the edits between two texts (up to case and white space) per character of the longer one; 1 for two empty ones."""
+    x, y = T.fingerprint(F.coalesce(a, F.lit(""))), T.fingerprint(F.coalesce(b, F.lit("")))
+    longer = F.greatest(F.length(x), F.length(y))
+    return F.when(longer == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(x, y) / longer)
+
+
+def nearest_codes(words: DataFrame, codebook: DataFrame, cutoff: float = CLOSE) -> DataFrame:
+    """(word, code, is_valid) as closest_codes() gives them, but by edits per character of the longer string, and without Python.
+
+    A string of n characters (two marks around it make n + 1 pairs of neighbours) has at most n (1 - cutoff) / cutoff edits, k, to a similar one. An edit spoils two
+    pairs, so of the 2 k + 1 pairs that come first in any order both strings have one at least: the rarest ones, by how many strings have
+    them. The join on these meets few candidates, and the edits of candidates are counted up to the bound only. All pairs are counted in tables of
+    distinct strings, whose number is that of a vocabulary.
+    """
+    norm = lambda c: F.btrim(F.trim(F.lower(c)), F.lit("'\""))
+    own = words.select("word", norm("word").alias("s")).where("s is not null").distinct()
+    codes = codebook.select(norm("code").alias("s")).where("s is not null").distinct()
+    exact = own.join(codes.withColumnRenamed("s", "code"), F.col("s") == F.col("code"))
+    rest = storage.written(own.join(codes, "s", "left_anti"), "words")
+    most = lambda n: F.floor(n * F.lit((1 - cutoff) / cutoff) + F.lit(1e-9)).cast("int")
+    marked = F.concat(F.lit("\u0001"), F.col("s"), F.lit("\u0002"))
+    pair = lambda i: F.substring(marked, i, F.lit(2))
+    # a pair that a string has twice counts as two
+    pairs = F.transform(F.sequence(F.lit(1), F.length("s") + 1), lambda i: F.concat(pair(i), F.size(F.filter(F.sequence(F.lit(1), i), lambda j: pair(j) == pair(i))).cast("string")))
+    grams = lambda df: df.select("s").distinct().select("s", F.explode(pairs).alias("g"))
+    both = storage.written(grams(rest).withColumn("code", F.lit(False)).unionAll(grams(codes).withColumn("code", F.lit(True))), "pairs")
+    common = both.groupBy("g").agg(F.count("*").alias("n"))
+    ranked = both.join(storage.few(common), "g").groupBy("s", "code").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("gs"))
+    prefix = storage.written(ranked.select("s", "code", F.explode(F.slice("gs", F.lit(1), 2 * most(F.length("s")) + 1)).alias("x")).select("s", "code", "x.g"), "pairs")
+    left, right = prefix.where("not code").select(F.col("s").alias("w"), "g"), prefix.where("code").select(F.col("s").alias("code"), "g")
+    longer = F.greatest(F.length("w"), F.length("code"))
+    bound = F.floor(longer * F.lit(1 - cutoff) + F.lit(1e-9)).cast("int")
+    met = left.join(right, "g").where(F.abs(F.length("w") - F.length("code")) <= bound).select("w", "code").distinct()
+    # levenshtein() takes a bound that is the same for all rows; what is over a row's own is left out after it
+    widest = int(met.agg(F.coalesce(F.max(bound), F.lit(0))).first()[0])
+    near = met.withColumn("edits", F.levenshtein("w", "code", widest)).where((F.col("edits") >= 0) & (F.col("edits") <= bound))
+    best = near.groupBy("w").agg(F.max(F.struct((1 - F.col("edits") / longer).alias("score"), "code")).alias("b")).select("w", F.col("b.code").alias("code"))
+    found = rest.join(best, rest["s"] == best["w"], "left").select("word", F.coalesce("code", "s").alias("code"), F.col("code").isNotNull().alias("is_valid"))
+    return exact.select("word", "code", F.lit(True).alias("is_valid")).unionByName(found)

@@ -23,7 +23,7 @@ def code_index(blocks: DataFrame) -> DataFrame:
 
 
 def ontology_context(blocks: DataFrame) -> DataFrame:
-    """(code, frequency, sources, as_subject, as_object, relations) of every code."""
+    """(code, frequency, sources, as_subject, as_object, relations) of every code; co_codes() and examples() have the rest of its context."""
     own = chains.occurrences(blocks).groupBy(F.col("factor").alias("code")).agg(F.count("*").alias("frequency"), F.count_distinct("doc_id").alias("sources"))
     sides = chains.edges(blocks).select(
         "rel", F.explode(F.array(F.struct(F.col("src").alias("code"), F.lit(True).alias("subject")), F.struct(F.col("dst").alias("code"), F.lit(False).alias("subject")))).alias("e")
@@ -34,6 +34,26 @@ def ontology_context(blocks: DataFrame) -> DataFrame:
     return own.join(used, "code", "left")
 
 
+def co_codes(blocks: DataFrame, n: int = 10) -> DataFrame:
+    """(code, co_codes): the n codes that occur most often in blocks with a code, ties by first appearance."""
+    w = Window.partitionBy("factor").orderBy(F.desc("n"), "first_seen")
+    top = chains.co_occurrences(blocks).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    names = F.transform(F.array_sort(F.collect_list(F.struct("rank", "co_factor"))), lambda x: x["co_factor"])
+    return top.groupBy(F.col("factor").alias("code")).agg(names.alias("co_codes"))
+
+
+def examples(blocks: DataFrame, n: int = 3) -> DataFrame:
+    """(code, examples): the first n blocks of each code, as structs of doc_id, block_seq and excerpt.
+
+    Tasks keep n blocks for each code before they pass them on, and again what they receive, so a common code costs no more than another.
+    """
+    own = blocks.select("doc_id", "block_seq", "excerpt", F.explode(F.array_distinct("factors")).alias("code"))
+    place = F.row_number().over(Window.partitionBy("code").orderBy("doc_id", "block_seq"))
+    first = own.withColumn("place", place).where(F.col("place") <= n)
+    lists = F.array_sort(F.collect_list(F.struct("place", "doc_id", "block_seq", "excerpt")))
+    return first.groupBy("code").agg(F.transform(lists, lambda x: F.struct(x["doc_id"].alias("doc_id"), x["block_seq"].alias("block_seq"), x["excerpt"].alias("excerpt"))).alias("examples"))
+
+
 def repeated_factors(blocks: DataFrame) -> DataFrame:
     """Factors that a block has more than once, which hints at parallel pathways; found in the row."""
     times = F.transform(F.array_distinct("factors"), lambda f: F.struct(f.alias("factor"), F.size(F.filter("factors", lambda g: g == f)).cast("long").alias("times")))

@@ -129,6 +129,17 @@ def a14_ontology_context(spark, d):
     return rules.ontology_context(blocks(spark, d))
 
 
+@query(CO + """, k as (select factor as code, string_agg(co_factor, '|' order by rank) as co_codes from (select *, row_number() over (partition by factor order by n desc, first_seen) as rank from pairs) where rank <= 10 group by 1)
+, e as (select code, string_agg(doc_id || ':' || block_seq || ':' || excerpt, '|' order by place) as examples from (select *, row_number() over (partition by code order by doc_id, block_seq) as place
+   from (select distinct factor as code, doc_id, block_seq, excerpt from occ)) where place <= 3 group by 1)
+select code, co_codes, examples from e left join k using (code)""")
+def a14_co_codes_and_examples(spark, d):
+    """What else is known of a code: which codes stand beside it, and its first blocks."""
+    b = blocks(spark, d)
+    shown = F.array_join(F.transform("examples", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["block_seq"].cast("string"), x["excerpt"])), "|")
+    return rules.examples(b).join(rules.co_codes(b), "code", "left").select("code", F.array_join("co_codes", "|").alias("co_codes"), shown.alias("examples"))
+
+
 @query(BLOCKS + """, u as (select factor as code, 1 as n from occ union all select src, 1 from edges union all select dst, 1 from edges) select code, sum(n)::BIGINT as uses from u group by 1""")
 def a6_code_index(spark, d):
     return rules.code_index(blocks(spark, d))

@@ -112,6 +112,47 @@ def r14_template_violations(spark, d):
     return codebook.violations(values, specs)
 
 
+_FIELDS = BLOCKS + r""", v as (select d.doc_id as item_id, nullif(regexp_extract(text, '[a-z0-9._]+@[a-z0-9.]+'), '') as email, nullif(regexp_extract(text, 'https?://[a-z0-9./]+'), '') as link, lang, n_chars::VARCHAR as size,
+ quality::VARCHAR as quality, b.factors[1] || ' -> ' || b.relations[1] || ' -> ' || b.factors[2] as chain, nullif(regexp_extract(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}'), '') as day
+ from documents d left join labels using (doc_id) left join (select * from blocks where block_seq % 7 = 3 and block_seq < 7) b using (doc_id))"""
+
+
+def _fields(spark, d):
+    """(item_id, field, value): what the documents, their labels and their fourth blocks give; values may be missing."""
+    found = lambda pattern: F.regexp_extract("text", pattern, 0)
+    fourth = blocks(spark, d).where("block_seq % 7 = 3 and block_seq < 7").select("doc_id", F.concat_ws(" -> ", F.get("factors", F.lit(0)), F.get("relations", F.lit(0)), F.get("factors", F.lit(1))).alias("chain"))
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").join(fourth, "doc_id", "left")
+    own = {"email": found("[a-z0-9._]+@[a-z0-9.]+"), "link": found("https?://[a-z0-9./]+"), "lang": F.col("lang"), "size": F.col("n_chars").cast("string"), "quality": F.col("quality").cast("string"), "chain": F.col("chain"), "day": found("[0-9]{4}-[0-9]{2}-[0-9]{2}")}
+    given = F.array(*(F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in own.items()))
+    return rows.select(F.col("doc_id").alias("item_id"), F.explode(given).alias("g")).select("item_id", "g.*")
+
+
+_BUNDLES = [(["email", "link"],), (["quality", "chain"],), (["lang", "size"],), (["email", "quality", "chain"],)]
+
+
+@query(_FIELDS + """select item_id, 'email+link' as bundle, case when email is null then 'link' else 'email' end as given, case when email is null then 'email' else 'link' end as missing from v where (email is null) <> (link is null)
+union all select item_id, 'quality+chain', case when quality is null then 'chain' else 'quality' end, case when quality is null then 'quality' else 'chain' end from v where (quality is null) <> (chain is null)
+union all select item_id, 'email+quality+chain', array_to_string(list_filter([case when email is not null then 'email' end, case when quality is not null then 'quality' end, case when chain is not null then 'chain' end], lambda x: x is not null), '|'),
+ array_to_string(list_filter([case when email is null then 'email' end, case when quality is null then 'quality' end, case when chain is null then 'chain' end], lambda x: x is not null), '|') from v
+ where not (email is null and quality is null and chain is null) and not (email is not null and quality is not null and chain is not null)""")
+def r14_broken_bundles(spark, d):
+    out = codebook.broken_bundles(_fields(spark, d), spark.createDataFrame(_BUNDLES, "fields array<string>"))
+    return out.select("item_id", "bundle", F.array_join("given", "|").alias("given"), F.array_join("missing", "|").alias("missing"))
+
+
+@query(_FIELDS + r"""select item_id, 'lang' as field, 'VALUES' as kind from v where lang not in ('en', 'de') union all select item_id, 'size', 'SCALE' from v where size::BIGINT not between 100 and 5000
+union all select item_id, 'chain', 'CHAIN' from v where split_part(chain, ' -> ', 2) not in ('enables', 'influences') union all select item_id, 'quality', 'REQUIRED' from v where quality is null
+union all select item_id, 'day', 'DATE' from v where day is not null and try_strptime(day, '%Y-%m-%d') is null union all select item_id, 'email+link', 'BUNDLE' from v where (email is null) <> (link is null)
+union all select item_id, 'quality+chain', 'BUNDLE' from v where (quality is null) <> (chain is null)""")
+def r14_project_violations(spark, d):
+    """A template with every kind of rule over fields that the tables give."""
+    specs = spark.createDataFrame(
+        [("lang", "ENUMERATED", False, ["en", "de"], None, None), ("size", "SCALE", False, None, 100.0, 5000.0), ("chain", "CHAIN", False, ["enables", "influences"], None, None), ("day", "DATE", False, None, None, None), ("quality", "TEXT", True, None, None, None)],
+        "field string, type string, required boolean, allowed array<string>, low double, high double",
+    )
+    return codebook.violations(_fields(spark, d), specs, spark.createDataFrame(_BUNDLES[:2], "fields array<string>"))
+
+
 @query(BLOCKS + r"""select doc_id, block_seq, array_to_string(list_transform(case when block_seq % 4 = 1 then factors[1 : len(factors) - 1] else factors end, lambda f: case when block_seq % 4 = 2 then f else lower(f) end), '|') as nodes,
  array_to_string(relations, '|') as relations, block_seq % 4 in (0, 3) as valid from blocks""")
 def x33_chain_syntax(spark, d):

@@ -415,6 +415,29 @@ def j4_closest_codes(spark, d):
     return items.closest_codes(words, seen)
 
 
+@query()
+def x31_edit_similarity(spark, d):
+    """Of a turn and the next one, by edits of characters; no SQL, as the driver's engine counts edits of bytes."""
+    turns = table(spark, d, "conversations")
+    a, b = turns.select("conv_id", "turn", "text"), turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(items.edit_similarity(F.col("text"), F.col("next")), 6).alias("similarity"))
+
+
+def _words_and_codes(spark, d):
+    """Words of the documents, and those of the benchmark as codes, of three letters or more."""
+    words = lambda name: table(spark, d, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1))).alias("word")).distinct()
+    return words("documents"), words("benchmark").withColumnRenamed("word", "code")
+
+
+@query("""with w as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) as word from documents), c as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) as code from benchmark),
+r as (select word from w where word not in (select code from c)),
+m as (select word, code, levenshtein(word, code) as e, greatest(length(word), length(code)) as n from r join c on abs(length(word) - length(code)) <= floor(greatest(length(word), length(code)) * 0.2 + 1e-9)),
+b as (select word, max({'s': 1 - e / n::DOUBLE, 'c': code}) as b from m where e <= floor(n * 0.2 + 1e-9) group by 1)
+select word, word as code, true as is_valid from w semi join c on word = code union all select word, coalesce(b.b.c, word), b.b is not null from r left join b using (word)""")
+def j4_nearest_codes(spark, d):
+    return items.nearest_codes(*_words_and_codes(spark, d))
+
+
 @query(ITEMS + """, c as (select distinct code from pairs), w as (select distinct word from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents))
 select word, c.code is not null as is_valid from w left join c on c.code = w.word""")
 def j3_code_lookup(spark, d):
