@@ -58,13 +58,15 @@ def summary(text: Column, limit: int = 220) -> Column:
     )
 
 
-def context_score(text: Column, factor: Column, factors: Column, relations: Column) -> Column:
-    """How well a snippet shows the use of a factor: mentions count for it, a length far from 180 against it."""
-    low, near = F.lower(text), lambda x: F.contains(F.lower(text), F.lower(x))
-    others = F.size(F.filter(factors, lambda f: (f != factor) & near(f)))
-    verbs = F.size(F.filter(relations, near))
-    penalty = F.least(F.abs(F.length(text) - 180) / F.lit(180.0) * 0.5, F.lit(0.8))
-    score = 1.0 + F.when(F.contains(low, F.lower(factor)), 1.0).otherwise(0.0) + F.lit(0.4) * others + F.lit(0.2) * verbs - penalty
+def context_base(text: Column, low: Column, relations: Column) -> Column:
+    """What a snippet's score has from its text alone: the relations that it names, and the penalty for a length far from 180; low is the text in lower case."""
+    verbs = F.size(F.filter(relations, lambda r: F.contains(low, F.lower(r))))
+    return F.struct(verbs.alias("verbs"), F.least(F.abs(F.length(text) - 180) / F.lit(180.0) * 0.5, F.lit(0.8)).alias("penalty"))
+
+
+def context_total(base: Column, named: Column, others: Column) -> Column:
+    """How well a snippet shows the use of a factor: that it names the factor, the other factors and relations that it names, less the penalty."""
+    score = 1.0 + F.when(named, 1.0).otherwise(0.0) + F.lit(0.4) * others + F.lit(0.2) * base["verbs"] - base["penalty"]
     return F.round(F.greatest(score, F.lit(0.1)), 6)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +49,8 @@ def occurrences(blocks: DataFrame) -> DataFrame:
     return blocks.select("*", F.posexplode("factors").alias("pos", "factor"))
 
 
-def edges(blocks: DataFrame) -> DataFrame:
-    """(doc_id, block_seq, pos, src, rel, dst): factor i, relation i, factor i + 1; surplus relations and the last factor have no edge."""
+def edges(blocks: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, block_seq, pos, src, rel, dst), after the columns ``keep`` of the block: factor i, relation i, factor i + 1; surplus relations and the last factor have no edge."""
     n = F.least(F.size("relations"), F.size("factors") - 1)
     steps = F.transform(
         F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: i < n),
@@ -56,16 +58,43 @@ def edges(blocks: DataFrame) -> DataFrame:
             i.alias("pos"), F.get("factors", i).alias("src"), F.get("relations", i).alias("rel"), F.get("factors", i + 1).alias("dst")
         ),
     )
-    return blocks.select("doc_id", "block_seq", F.explode(steps).alias("s")).select("doc_id", "block_seq", "s.*")
+    return blocks.select("doc_id", "block_seq", *keep, F.explode(steps).alias("s")).select("doc_id", "block_seq", *keep, "s.*")
+
+
+#: A document's places are below this; document ids times it are within 38 digits.
+_PLACES = 1 << 63
+
+
+def place_key(block_seq: str = "block_seq", doc_id: str = "doc_id") -> Column:
+    """A block's first place as a number that sorts by doc_id and block_seq: a fixed-width one, so that its minimum is found by hash aggregates without sorting rows.
+
+    The last 32 bits are left to places in the block.
+    """
+    return F.col(doc_id).cast("decimal(38,0)") * F.lit(Decimal(_PLACES)) + (F.col(block_seq).cast("long") * (1 << 32)).cast("decimal(19,0)")
+
+
+def place_of(key: str) -> Column:
+    """What a place key was made of, as a struct of doc_id, block_seq and the bits of the place in the block."""
+    return F.expr(f"""transform(array(pmod(`{key}`, {_PLACES}BD)), r -> struct(
+        cast((`{key}` - r) / {_PLACES}BD as long) as doc_id, cast(shiftright(cast(r as long), 32) as int) as block_seq, cast(r as long) & 4294967295 as at))[0]""")
 
 
 def co_occurrences(blocks: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(factor, co_factor, n, first_seen): pairs of different factors of a block, made in the row and summed before the shuffle.
 
-    ``only`` names the factors (a few, as it is broadcast) whose pairs are wanted.
+    ``only`` names the factors (a few, as it is broadcast) whose pairs are wanted. Numbers as document ids, with 65,536 factors to a
+    block at most, make it a sum and a minimum of fixed width; other ids are compared as structs, for which tasks sort their pairs.
     """
+    numbers = blocks.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
     others = F.filter(F.transform("factors", lambda g, j: F.struct(g.alias("co_factor"), j.alias("pos2"))), lambda x: x["co_factor"] != F.col("factor"))
-    own = occurrences(blocks) if only is None else occurrences(blocks).join(F.broadcast(only), "factor", "left_semi")
+    keyed = blocks.withColumn("_key", place_key()) if numbers else blocks
+    own = occurrences(keyed) if only is None else occurrences(keyed).join(F.broadcast(only), "factor", "left_semi")
+    if numbers:
+        pairs = own.select("factor", F.explode(F.transform(others, lambda o: F.struct(o["co_factor"].alias("co_factor"), (F.col("pos").cast("long") * 65536 + o["pos2"]).alias("at")))).alias("o"), "_key")
+        summed = pairs.groupBy("factor", F.col("o.co_factor").alias("co_factor")).agg(F.count("*").alias("n"), F.min((F.col("_key") + F.col("o.at").cast("decimal(19,0)")).cast("decimal(38,0)")).alias("first"))
+        p = F.col("p")
+        first = F.struct(p["doc_id"].alias("doc_id"), p["block_seq"].alias("block_seq"), (p["at"] / 65536).cast("int").alias("pos"), (p["at"] % 65536).cast("int").alias("pos2"))
+        return summed.select("factor", "co_factor", "n", place_of("first").alias("p")).select("factor", "co_factor", "n", first.alias("first_seen"))
     pairs = own.select("doc_id", "block_seq", "pos", "factor", F.explode(others).alias("o"))
     return pairs.groupBy("factor", F.col("o.co_factor").alias("co_factor")).agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "block_seq", "pos", "o.pos2")).alias("first_seen")

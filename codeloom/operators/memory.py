@@ -54,21 +54,41 @@ def co_factors(blocks: DataFrame, only: DataFrame | None = None) -> DataFrame:
     return ranked_co_factors(blocks, only).groupBy("factor").agg(named("high"), named("medium"))
 
 
+def context_places(blocks: DataFrame) -> DataFrame:
+    """(factor, key, score): for each distinct context of each factor where it stands first (as a place key) and its score there.
+
+    Summary, fingerprint and mentions are worked out once for each block. An occurrence then is a factor, 128 bits of the fingerprint's hash, a place and a
+    score, all of fixed width, so that contexts are reduced by hash aggregates and no text is sorted or sent.
+    """
+    rows = blocks.where(F.trim("excerpt") != "").select(chains.place_key().alias("key"), T.summary(F.col("excerpt")).alias("summary"), "factors", "relations")
+    rows = rows.withColumn("low", F.lower("summary")).withColumn("fp", T.fingerprint(F.col("summary")))
+    near = F.transform("factors", lambda f: F.contains(F.col("low"), F.lower(f)))
+    rows = rows.select("key", "factors", near.alias("near"), T.context_base(F.col("summary"), F.col("low"), F.col("relations")).alias("base"), F.xxhash64("fp").alias("h1"), F.xxhash64("fp", F.lit(1)).alias("h2"))
+    own = rows.select("*", F.posexplode("factors").alias("pos", "factor"))
+    others = F.size(F.filter(F.arrays_zip("factors", "near"), lambda x: x["near"] & (x["factors"] != F.col("factor"))))
+    score = T.context_total(F.col("base"), F.get("near", F.col("pos")), others)
+    own = own.select("factor", "h1", "h2", (F.col("key") + F.col("pos").cast("decimal(19,0)")).cast("decimal(38,0)").alias("key"), score.alias("score"))
+    return own.groupBy("factor", "h1", "h2").agg(F.min("key").alias("key"), F.min_by("score", "key").alias("score")).select("factor", "key", "score")
+
+
+def _with_summaries(places: DataFrame, blocks: DataFrame) -> DataFrame:
+    """places with doc_id, block_seq, pos and summary, from the blocks that they are in."""
+    at = places.withColumn("p", chains.place_of("key")).drop("key").select("*", "p.doc_id", "p.block_seq", F.col("p.at").cast("int").alias("pos")).drop("p")
+    return at.join(blocks.select("doc_id", "block_seq", T.summary(F.col("excerpt")).alias("summary")), ["doc_id", "block_seq"])
+
+
 def scored_contexts(blocks: DataFrame) -> DataFrame:
-    """(factor, doc_id, block_seq, pos, summary, score): the first context of each fingerprint."""
-    own = chains.occurrences(blocks.where(F.trim("excerpt") != "")).withColumn("summary", T.summary(F.col("excerpt")))
-    seq = F.struct("doc_id", "block_seq", "pos")
-    first = own.withColumn("fp", T.fingerprint(F.col("summary"))).groupBy("factor", "fp").agg(
-        F.min_by(F.struct("doc_id", "block_seq", "pos", "summary", "factors", "relations"), seq).alias("c")
-    )
-    rows = first.select("factor", "c.*")
-    return rows.withColumn("score", T.context_score(F.col("summary"), F.col("factor"), F.col("factors"), F.col("relations"))).drop("factors", "relations")
+    """(factor, doc_id, block_seq, pos, summary, score): the first context of each fingerprint. Document ids are numbers."""
+    blocks = storage.written(blocks, "blocks")
+    return _with_summaries(context_places(blocks), blocks).select("factor", "doc_id", "block_seq", "pos", "summary", "score")
 
 
-def best_contexts(blocks: DataFrame, n: int = 3) -> DataFrame:
-    """The n best contexts of each factor, by score and then by arrival."""
-    w = Window.partitionBy("factor").orderBy(F.desc("score"), "doc_id", "block_seq", "pos")
-    return scored_contexts(blocks).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+def best_contexts(blocks: DataFrame, n: int = 3, durable: bool = False) -> DataFrame:
+    """The n best contexts of each factor, by score and then by arrival; texts are looked up for these alone. ``durable`` says that blocks are a written table."""
+    blocks = blocks if durable else storage.written(blocks, "blocks")
+    w = Window.partitionBy("factor").orderBy(F.desc("score"), "key")
+    best = context_places(blocks).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    return _with_summaries(best, blocks)
 
 
 def build(blocks: DataFrame, drop_sentinels: bool = False) -> DataFrame:
@@ -80,7 +100,7 @@ def build(blocks: DataFrame, drop_sentinels: bool = False) -> DataFrame:
     if drop_sentinels:
         blocks = blocks.where(~F.exists("factors", lambda f: f.isin(*SENTINELS)))
     rel = relations(blocks).groupBy("factor").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rel", "targets")))).alias("relations"))
-    ctx = best_contexts(blocks).groupBy("factor").agg(
+    ctx = best_contexts(blocks, durable=True).groupBy("factor").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "summary"))), lambda x: x["summary"]).alias("contexts")
     )
     none = F.array().cast("array<string>")

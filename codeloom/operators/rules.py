@@ -81,9 +81,13 @@ def description_length(blocks: DataFrame) -> DataFrame:
 
 
 def convergence(blocks: DataFrame, least: int = 4) -> DataFrame:
-    """Outcomes on which so many factors of one excerpt converge."""
-    e = chains.edges(blocks).join(blocks.select("doc_id", "block_seq", "excerpt"), ["doc_id", "block_seq"])
-    return e.groupBy("doc_id", "excerpt", "dst").agg(F.count_distinct("src").alias("sources")).where(F.col("sources") >= least)
+    """(doc_id, excerpt, dst, sources): outcomes on which so many factors of one excerpt converge.
+
+    Edges keep their excerpt's hash (128 bits), which is what they are grouped by; the excerpt itself comes from one of the group's rows.
+    """
+    held = blocks.withColumn("_h1", F.xxhash64("excerpt")).withColumn("_h2", F.xxhash64("excerpt", F.lit(1)))
+    e = chains.edges(held, "excerpt", "_h1", "_h2")
+    return e.groupBy("doc_id", "_h1", "_h2", "dst").agg(F.count_distinct("src").alias("sources"), F.first("excerpt").alias("excerpt")).where(F.col("sources") >= least).select("doc_id", "excerpt", "dst", "sources")
 
 
 def chains_per_document(blocks: DataFrame) -> DataFrame:

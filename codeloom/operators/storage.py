@@ -29,3 +29,9 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 def few(rows: DataFrame, most: int = FEW_ROWS) -> DataFrame:
     """rows, marked for a broadcast if a count shows that they are few; the join with more of them is by a shuffle."""
     return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by a key over all cores, if it comes in fewer partitions than there are cores (a table of one row group, say)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

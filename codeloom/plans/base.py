@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.operators import chains
+from codeloom.operators import chains, storage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chains.annotate(table(spark, sf_dir, "documents"))
+    return chains.annotate(storage.spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def query(sql: str | None = None):
