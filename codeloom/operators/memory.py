@@ -16,6 +16,15 @@ def frequency(blocks: DataFrame) -> DataFrame:
     return chains.occurrences(blocks).groupBy("factor").agg(F.count("*").alias("frequency"), F.count_distinct("doc_id").alias("sources"))
 
 
+def approximate_sources(blocks: DataFrame, buckets: int = 12) -> DataFrame:
+    """(factor, sketch, sources): about how many documents have a factor, from a mergeable sketch with 2^buckets buckets; off by 1.04 / sqrt(2^buckets) on average.
+
+    Tasks send a sketch for each factor, where the exact count sends a row for each factor and document.
+    """
+    own = chains.occurrences(blocks).groupBy("factor").agg(F.hll_sketch_agg("doc_id", buckets).alias("sketch"))
+    return own.withColumn("sources", F.hll_sketch_estimate("sketch"))
+
+
 def relations(blocks: DataFrame) -> DataFrame:
     """(factor, rel, targets): the distinct targets, sorted."""
     return chains.edges(blocks).groupBy(F.col("src").alias("factor"), "rel").agg(F.sort_array(F.collect_set("dst")).alias("targets"))

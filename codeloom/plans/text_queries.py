@@ -337,13 +337,16 @@ def f6_rejections(spark, d):
     return out.groupBy("accepted", "reason").agg(F.count("*").alias("n"))
 
 
-@query(ITEMS + rf"""
+MERGED = (ITEMS + rf"""
 , k as (select *, case when lower({SQUEEZE.format('excerpt')}) = '' then chr(0) || ':' || turn || ':' || sent else lower({SQUEEZE.format('excerpt')}) end as key from items)
 , f as (select interview_id, key, min({{'t': turn, 's': sent, 'e': excerpt}}) as f, count(*) as n_items from k group by 1, 2)
 , p as (select k.interview_id, key, turn, sent, role as rationale, unnest(range(len(codes)))::INT as p, unnest(codes) as code from k)
 , q as (select *, row_number() over (partition by interview_id, key, code, rationale order by turn, sent, p) as n from p)
 , m as (select q.interview_id, q.key, string_agg(code || '=' || rationale, '|' order by turn, sent, p) as pairs from q join f using (interview_id, key) where n = 1 or (turn = f.f.t and sent = f.f.s) group by 1, 2)
 select interview_id, f.f.t as turn, f.f.s as sent, f.f.e as excerpt, coalesce(pairs, '') as pairs, n_items from f left join m using (interview_id, key)""")
+
+
+@query(MERGED)
 def a8_merged_items(spark, d):
     return items.merged(_items(spark, d)).withColumn("pairs", F.expr(PAIRS_TEXT))
 
