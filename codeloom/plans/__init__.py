@@ -6,7 +6,7 @@ from importlib import import_module
 
 from codeloom.plans import base
 
-MODULES = ("memory_queries", "text_queries", "project_queries", "stream_queries", "coding_queries")
+MODULES = ("memory_queries", "text_queries", "project_queries", "stream_queries", "coding_queries", "format_queries")
 
 
 def _load() -> None:
