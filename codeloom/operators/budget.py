@@ -23,7 +23,8 @@ def request_log(events: DataFrame) -> DataFrame:
 def rolling(log: DataFrame, seconds: int = SECONDS, closed: bool = False, key: str | None = "key") -> DataFrame:
     """Calls and tokens in the time before each call, itself included: of its key, or of all calls if ``key`` is None.
 
-    ``closed`` counts a call that is just so old as well. Calls at the same time see each other; those without a time see those without one.
+    ``closed`` counts a call that is just so old as well. Calls at the same time see each other; those without a time see those without one;
+    tokens that aren't known count as none.
 
     Time is cut into slices of 1 / SLICES of the window. The window of a call then has the begin of its own slice, whole slices, and the end of
     the slice one window before. The whole ones are added up from a table with a row for each slice; single calls are only looked at together with those of the two slices at the
@@ -32,7 +33,7 @@ def rolling(log: DataFrame, seconds: int = SECONDS, closed: bool = False, key: s
     keys, width = [key] if key else [], seconds * 1_000_000 // SLICES
     used = ["requests", "in_used", "out_used"]
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = log.select("event_id", "key", us.alias("us"), F.floor(us / width).alias("slice"), F.lit(1).cast("long").alias("requests"), F.col("in_tokens").cast("long").alias("in_used"), F.col("out_tokens").cast("long").alias("out_used"))
+    rows = log.select("event_id", "key", us.alias("us"), F.floor(us / width).alias("slice"), F.lit(1).cast("long").alias("requests"), *(F.coalesce(F.col(f"{x}_tokens").cast("long"), F.lit(0)).alias(f"{x}_used") for x in ("in", "out")))
     # slices: each run of SLICES of them with the run before it, of which the last ones belong to its windows
     totals = rows.where("us is not null").groupBy(*keys, "slice").agg(*(F.sum(c).alias(c) for c in used))
     run = F.floor(F.col("slice") / SLICES)
@@ -45,7 +46,9 @@ def rolling(log: DataFrame, seconds: int = SECONDS, closed: bool = False, key: s
     both = rows.select("*", F.explode(F.array_compact(F.array(mine, earlier))).alias("p")).select("event_id", "key", "us", *used, F.col("p.at").alias("slice"), F.col("p.own").alias("own"))
     edges = Window.partitionBy(*keys, "slice").orderBy("us").rangeBetween(-width * SLICES + (0 if closed else 1), 0)
     seen = both.select("event_id", "key", "slice", "own", *(F.sum(c).over(edges).alias(c) for c in used)).where("own")
-    out = seen.join(between, [*keys, "slice"], "left")
+    there = between.select(*(F.col(k).alias("_key") for k in keys), F.col("slice").alias("_slice"), *(f"{c}_whole" for c in used))
+    same = F.col("slice") == F.col("_slice")
+    out = seen.join(there, same & F.col("key").eqNullSafe(F.col("_key")) if keys else same, "left")
     return out.select("event_id", "key", *((F.col(c) + F.coalesce(f"{c}_whole", F.lit(0))).alias(c) for c in used))
 
 
