@@ -632,7 +632,20 @@ def test_random_strings_are_found(spark):
     keys = ["".join(rng.choice(list(sets[k % 4]), int(rng.integers(24, 64)))) for k in range(400)]
     found = [k for k in keys if secrets.random_spans(f"set it to {k} now", [], encode)]
     assert len(found) >= 0.9 * len(keys)
-    plain = ["internationalization-and-localization-2024", "the_quick_brown_fox_jumps_over_13_dogs", "Donaudampfschifffahrtsgesellschaft1830", "https/example/path/to/resource/index2", "version-2024-10-01-release-candidate"]
+    draw = lambda n, letters=sets[0]: "".join(rng.choice(list(letters), n))
+    forms = {
+        "path": lambda: (k := draw(32), f"see https://api.example.com/v1/items/{k} now"),
+        "query": lambda: (k := draw(24), f"https://example.com/path/to/page?auth={k}&x=1"),
+        "letters": lambda: (k := draw(24, sets[0][:52]), f"use {k} now"),
+        "dotted": lambda: (k := ".".join(draw(14) for _ in range(3)), f"use {k} now"),
+        "token": lambda: (k := f"eyJ{draw(33)}.eyJ{draw(60)}.{draw(43, sets[0] + '-_')}", f"Bearer {k} end"),
+    }
+    for name, form in forms.items():
+        made = [form() for _ in range(200)]
+        whole = sum(any(a <= t.index(k) and t.index(k) + len(k) <= b for a, b, _ in secrets.random_spans(t, [], encode)) for k, t in made)
+        assert whole >= 180, name
+    plain = ["getHTTPResponseCodeFromURL", "https://www.example.com/some/long/path/index.html", "com.example.project.module.ClassName", "2024-01-01T00:00:00.000Z", "a.b.c.d.e.f.g.h.i.j.k.l.m", "192.168.100.200.1.2.3.4.5",
+             "someVeryLongCamelCaseVariableNameHere", "internationalization-and-localization-2024", "the_quick_brown_fox_jumps_over_13_dogs", "Donaudampfschifffahrtsgesellschaft1830", "https/example/path/to/resource/index2", "version-2024-10-01-release-candidate"]
     assert not any(secrets.random_spans(x, [], encode) for x in plain)
 
 
