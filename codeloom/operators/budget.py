@@ -75,10 +75,10 @@ def cost(static: Column, tokens: Column, price_in: Column, price_out: Column, ma
     return F.round(once * (2 if dual else 1), 8)
 
 
-def costs(docs: DataFrame, model: Column, static: int = 3000) -> DataFrame:
-    """(doc_id, model, cost) of every document."""
+def costs(docs: DataFrame, model: Column, static: int = 3000, dual: bool = False) -> DataFrame:
+    """(doc_id, model, cost) of every document; ``dual`` asks for both scopes."""
     own = priced(docs.select("doc_id", model.alias("model"), T.tokens_by_words(F.col("text")).alias("tokens")))
-    return own.select("doc_id", "model", cost(F.lit(static), F.col("tokens"), F.col("price_in"), F.col("price_out")).alias("cost"))
+    return own.select("doc_id", "model", cost(F.lit(static), F.col("tokens"), F.col("price_in"), F.col("price_out"), dual=dual).alias("cost"))
 
 
 def run_summary(log: DataFrame) -> DataFrame:

@@ -333,6 +333,13 @@ def x28_costs(spark, d):
     return budget.costs(table(spark, d, "documents"), _model())
 
 
+@query(f"""with t as (select doc_id, trunc({WORDS.format('text')} * 1.3::DOUBLE)::INT as n from documents)
+select doc_id, 'unlisted' as model, round(((3000 + n) / 1e6::DOUBLE * 3.0::DOUBLE + least(8000.0::DOUBLE, n * 0.5::DOUBLE) / 1e6::DOUBLE * 15.0::DOUBLE) * 2, 8) as cost from t""")
+def x28_dual_costs(spark, d):
+    """Both scopes, at the prices of a model that isn't listed."""
+    return budget.costs(table(spark, d, "documents"), F.lit("unlisted"), dual=True)
+
+
 def _model():
     return F.when(F.col("doc_id") % 3 == 0, "claude-3-haiku-20240307").when(F.col("doc_id") % 3 == 1, "claude-3-opus-20240229").otherwise("unlisted")
 
