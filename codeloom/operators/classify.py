@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.tables import NAME_HINTS, NEGATIVE, POLES
 
 COLUMNS = ["factor", "topic", "aspect", "dimension", "confidence", "reasoning", "factor_description", "rgt_element_a", "rgt_element_b", "theorethical_significance"]
+# The forms of an answer's line, with seven fields and with nine.
 _HEAD = r'([^,]+),([^,]+),(\d+),(\d+),(LOW|MEDIUM|HIGH),"([^"]+)","([^"]+)"'
 _FULL = _HEAD + r',"([^"]+)","([^"]+)"'
 
@@ -34,14 +35,18 @@ def parse(answers: DataFrame) -> DataFrame:
     A line with nine fields, else one with seven, else fields by their labels with stated defaults; the factor's name is always the
     given one.
     """
-    full, short = F.col("answer").rlike(_FULL), F.col("answer").rlike(_HEAD)
-    group = lambda k: F.trim(F.regexp_extract("answer", _HEAD, k))
+    # each form is looked for once; its fields are then taken from the line that was found
+    fields = lambda c, form, n: F.split(F.regexp_replace(c, form, "\u0001".join(f"${k}" for k in range(1, n + 1))), "\u0001", -1)
+    answers = answers.select("factor", "answer", F.regexp_extract("answer", _HEAD, 0).alias("_head"), F.regexp_extract("answer", _FULL, 0).alias("_full"))
+    answers = answers.select("*", fields(F.col("_head"), _HEAD, 7).alias("_seven"), fields(F.col("_full"), _FULL, 9).alias("_nine"))
+    full, short = F.col("_full") != "", F.col("_head") != ""
+    group = lambda k: F.trim(F.get("_seven", F.lit(k - 1)))
     a, b = construct(F.col("factor"))
     own_a, own_b = labelled(F.col("answer"), ["rgt_element_a", "rgt_a", "pole_a"]), labelled(F.col("answer"), ["rgt_element_b", "rgt_b", "pole_b"])
     both = (F.coalesce(own_a, F.lit("")) != "") & (F.coalesce(own_b, F.lit("")) != "")
     pick = lambda k, names, default: F.when(short, group(k)).otherwise(F.coalesce(labelled(F.col("answer"), names), F.lit(default)))
     number = lambda k, name: F.when(short, group(k)).otherwise(labelled(F.col("answer"), [name], r"(\d+)"))
-    pole = lambda k, own, made: F.when(full, F.trim(F.regexp_extract("answer", _FULL, k))).when(~short & both, own).otherwise(made)
+    pole = lambda k, own, made: F.when(full, F.trim(F.get("_nine", F.lit(k - 1)))).when(~short & both, own).otherwise(made)
     topic = pick(2, ["topic", "thematic_group", "category"], "Uncategorized")
     return answers.select(
         "factor", F.when(topic == "", "Uncategorized").otherwise(topic).alias("topic"), F.coalesce(number(3, "aspect").try_cast("int"), F.lit(0)).alias("aspect"),

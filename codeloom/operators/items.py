@@ -59,6 +59,7 @@ def bare(x: Column) -> Column:
 
 def parse(texts: DataFrame, text: str = "syn") -> DataFrame:
     """(interview_id, item_seq, item_id, excerpt, pairs) of all ITEM blocks; of delimited blocks if there is no other."""
+    # The marks and field names of the item format, here and in render().
     plain = F.regexp_extract_all(text, F.lit(r"(?is)ITEM @(.*?)END ITEM"), F.lit(1))
     delimited = F.regexp_extract_all(text, F.lit(r"(?s)\[-begin_item-\](.*?)\[-end_item-\]"), F.lit(1))
     rows = texts.select("interview_id", F.posexplode(F.when(F.size(plain) > 0, plain).otherwise(delimited)).alias("item_seq", "b"))
