@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
@@ -64,26 +64,32 @@ def co_factors(blocks: DataFrame, only: DataFrame | None = None) -> DataFrame:
 
 
 def context_places(blocks: DataFrame) -> DataFrame:
-    """(factor, key, score): for each distinct context of each factor where it stands first (as a place key) and its score there.
+    """(factor, h1, h2, key, score): for each distinct context of each factor, by hash, where it stands first (as a place key) and its score there.
 
     Summary, fingerprint and mentions are worked out once for each block. An occurrence then is a factor, 128 bits of the fingerprint's hash, a place and a
-    score, all of fixed width, so that contexts are reduced by hash aggregates and no text is sorted or sent.
+    score, all of fixed width, so that contexts are reduced by hash aggregates and no text is sorted or sent. Blocks of documents without an id have no place, and no contexts.
     """
-    rows = blocks.where(F.trim("excerpt") != "").select(chains.place_key().alias("key"), T.summary(F.col("excerpt")).alias("summary"), "factors", "relations")
+    rows = blocks.where((F.trim("excerpt") != "") & F.col("doc_id").isNotNull()).select(chains.place_key().alias("key"), T.summary(F.col("excerpt")).alias("summary"), "factors", "relations")
     rows = rows.withColumn("low", F.lower("summary")).withColumn("fp", T.fingerprint(F.col("summary")))
     near = F.transform("factors", lambda f: F.contains(F.col("low"), F.lower(f)))
-    rows = rows.select("key", "factors", near.alias("near"), T.context_base(F.col("summary"), F.col("low"), F.col("relations")).alias("base"), F.xxhash64("fp").alias("h1"), F.xxhash64("fp", F.lit(1)).alias("h2"))
+    rows = rows.select("key", "factors", near.alias("near"), T.context_base(F.col("summary"), F.col("low"), F.col("relations")).alias("base"), *_hashes())
     own = rows.select("*", F.posexplode("factors").alias("pos", "factor"))
     others = F.size(F.filter(F.arrays_zip("factors", "near"), lambda x: x["near"] & (x["factors"] != F.col("factor"))))
     score = T.context_total(F.col("base"), F.get("near", F.col("pos")), others)
     own = own.select("factor", "h1", "h2", (F.col("key") + F.col("pos").cast("decimal(19,0)")).cast("decimal(38,0)").alias("key"), score.alias("score"))
-    return own.groupBy("factor", "h1", "h2").agg(F.min("key").alias("key"), F.min_by("score", "key").alias("score")).select("factor", "key", "score")
+    return own.groupBy("factor", "h1", "h2").agg(F.min("key").alias("key"), F.min_by("score", "key").alias("score"))
+
+
+def _hashes() -> list[Column]:
+    return [F.xxhash64("fp").alias("h1"), F.xxhash64("fp", F.lit(1)).alias("h2")]
 
 
 def _with_summaries(places: DataFrame, blocks: DataFrame) -> DataFrame:
-    """places with doc_id, block_seq, pos and summary, from the blocks that they are in."""
+    """places with doc_id, block_seq, pos and summary, from the blocks that they are in; rows that repeat a document's id may have blocks of the same number."""
     at = places.withColumn("p", chains.place_of("key")).drop("key").select("*", "p.doc_id", "p.block_seq", F.col("p.at").cast("int").alias("pos")).drop("p")
-    return at.join(blocks.select("doc_id", "block_seq", T.summary(F.col("excerpt")).alias("summary")), ["doc_id", "block_seq"])
+    texts = blocks.select("doc_id", "block_seq", T.summary(F.col("excerpt")).alias("summary")).withColumn("fp", T.fingerprint(F.col("summary")))
+    found = at.join(texts.select("doc_id", "block_seq", "summary", *_hashes()), ["doc_id", "block_seq", "h1", "h2"])
+    return found.dropDuplicates(["factor", "h1", "h2"]).drop("h1", "h2")
 
 
 def scored_contexts(blocks: DataFrame) -> DataFrame:

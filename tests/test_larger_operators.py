@@ -204,6 +204,21 @@ def test_pairs_of_named_documents_agree_with_numbered_ones(spark, sf):
     assert tell(chains.co_occurrences(b)) == tell(chains.co_occurrences(named))
 
 
+def test_contexts_of_repeated_and_missing_ids(spark):
+    """Documents that share an id have blocks of the same numbers: each context is there once, whichever of them has it."""
+    rows = [(1, "Aaa bbb ccc here. Ddd eee fff there."), (1, "Aaa bbb ccc here. Ggg hhh iii else."), (1, "aaa  BBB ccc here."), (None, "Aaa bbb jjj."), (2, "Ddd eee fff there."), (3, None), (4, "")]
+    b = chains.annotate(spark.createDataFrame(rows, "doc_id long, text string"))
+    seen = {}
+    for r in b.where("doc_id is not null").collect():
+        for f in r["factors"]:
+            seen.setdefault((f, " ".join(r["excerpt"].lower().split())), []).append((r["doc_id"], r["block_seq"]))
+    got = memory.scored_contexts(b).collect()
+    assert {(r["factor"], " ".join(r["summary"].lower().split())): (r["doc_id"], r["block_seq"]) for r in got} == {k: min(v) for k, v in seen.items()} and len(got) == len(seen)
+    best = memory.best_contexts(b).collect()
+    assert sorted((r["factor"], r["place"]) for r in best) == sorted((f, k + 1) for f in {f for f, _ in seen} for k in range(min(3, sum(x == f for x, _ in seen))))
+    assert memory.frequency(b).count() == chains.occurrences(b).select("factor").distinct().count() and chains.co_occurrences(b).where("first_seen.doc_id is null").count() > 0
+
+
 def test_hot_plans_keep_no_rows_in_order(spark, sf):
     """Counting pairs and finding contexts needs hash aggregates alone: tasks sort no rows for it."""
     for df in (chains.co_occurrences(plans.base.blocks(spark, sf)), memory.context_places(plans.base.blocks(spark, sf))):
