@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
-from codeloom.functions.tables import NEGATIVE, STOP_WORDS
+from codeloom.functions.tables import NAME_HINTS, NEGATIVE, STOP_WORDS
 from codeloom.operators import budget, chains, classify, codebook, items, memory, rules, storage
 from codeloom.plans.base import BLOCKS, CO, blocks, query, table
 from codeloom.plans.text_queries import ITEMS, SENT, WORDS
@@ -42,16 +42,26 @@ def f11_plausible_keywords(spark, d):
     return terms.groupBy(F.length("t").cast("long").alias("chars")).agg(F.count_distinct("t").alias("n"))
 
 
-@query("""select doc_id, source as mode, case when doc_id % 4 = 0 then 'exploratorios|classificatorios' when doc_id % 4 = 1 then 'exploratorios' when doc_id % 4 = 2 then 'classificatorios' else '' end as scopes from documents""")
+_MODES = [" Dual ", "fatores_exploratorios", "CLASSIFICATORIOS", "exploratorios ", "Fatores_Classificatorios"]
+
+
+@query(r"""with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') as w from documents)
+select doc_id, case len(w) % 6 when 0 then 'exploratorios|classificatorios' when 1 then 'exploratorios' when 2 then 'classificatorios' when 3 then 'exploratorios' when 4 then 'classificatorios' else '' end as scopes from w""")
 def f3_scopes(spark, d):
-    mode = F.when(F.col("doc_id") % 4 == 0, " Dual ").when(F.col("doc_id") % 4 == 1, "fatores_exploratorios").when(F.col("doc_id") % 4 == 2, "CLASSIFICATORIOS").otherwise("single")
-    return table(spark, d, "documents").select("doc_id", F.col("source").alias("mode"), F.array_join(codebook.scopes_of(mode), "|").alias("scopes"))
+    """A text's number of words chooses how its scan mode is written; of every six one has its first word for a mode."""
+    w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]+)"), F.lit(1))
+    mode = F.coalesce(F.get(F.array(*map(F.lit, _MODES)), F.size(w) % 6), F.get(w, F.lit(0)))
+    return table(spark, d, "documents").select("doc_id", F.array_join(codebook.scopes_of(mode), "|").alias("scopes"))
 
 
-@query("select distinct lower(source) || '_' || doc_id as code from documents union select distinct 'word_' || lower(lang) from documents")
+@query(r"""with w as (select regexp_extract_all(lower(coalesce(text, '')), '[a-z]{2,12}') as w from documents), p as (select unnest(w) as code, unnest(range(len(w))) as i from w)
+select distinct code from p where i % 2 = 0 or length(code) > 3""")
 def x34_valid_codes(spark, d):
-    line = F.concat(F.lit("root:\n    "), F.col("source"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(": \"uses 'word_"), F.col("lang"), F.lit("' and 'abc'\"\n"))
-    return codebook.valid_codes(table(spark, d, "documents").select(line.alias("text")))
+    """Every text as a listing: each word at an even place is a key, and quotes the word that follows it."""
+    w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]{2,12})"), F.lit(1))
+    line = lambda x, i: F.when(i % 2 == 0, F.concat(F.lit("    "), F.initcap(x), F.lit(": \"see '"), F.coalesce(F.get("w", i + 1), F.lit("")), F.lit("'\"")))
+    docs = table(spark, d, "documents").select(w.alias("w"))
+    return codebook.valid_codes(docs.select(F.array_join(F.transform("w", line), "\n").alias("text")))
 
 
 @query("""with k as (select distinct factor as keyword from (select unnest(regexp_extract_all(lower(text), '[a-z]{3,5}')) as factor from benchmark)), w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as keyword from documents)
@@ -271,18 +281,24 @@ def r12_range_errors(spark, d):
     return classify.range_errors(classify.parse(_answers(spark, d)))
 
 
-_NAMES = """with f as (select doc_id, case doc_id % 6 when 0 then 'Public ' || source || ' Trust' when 1 then 'Market price ' || source when 2 then 'Barrier ' || source when 3 then 'Risk of policy' when 4 then 'Social methods' else upper(source[1:1]) || source[2:] end as factor from documents)"""
+_HINTS = [*(w for w, _, _ in classify.POLES), *NEGATIVE, *(w for w, _, _ in NAME_HINTS), "-"]
+_HINTS_SQL = "[" + ", ".join(f"'{w}'" for w in _HINTS) + "]"
+_NAMES = rf"""with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{4,12}}') as w, length(coalesce(text, '')) as n from documents),
+f as (select doc_id, coalesce(upper(w[1][1:1]) || w[1][2:], '') || ' ' || {_HINTS_SQL}[len(w) % {len(_HINTS)} + 1] || ' ' || {_HINTS_SQL}[n % {len(_HINTS)} + 1] || ' ' || coalesce(w[len(w)], '') as factor from w)"""
+_HINTED = lambda part: "case " + " ".join(f"when contains(lower(factor), '{h[0]}') then {'null' if h[part] is None else h[part]}" for h in NAME_HINTS) + " end::INT"
 
 
 def _names(spark, d):
-    k, s = F.col("doc_id") % 6, F.col("source")
-    cat = lambda *x: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in x))
-    name = F.when(k == 0, cat("Public ", s, " Trust")).when(k == 1, cat("Market price ", s)).when(k == 2, cat("Barrier ", s)).when(k == 3, "Risk of policy").when(k == 4, "Social methods").otherwise(F.initcap(s))
-    return table(spark, d, "documents").select("doc_id", name.alias("factor"))
+    """A name from each text: its first and last word, and between them two of all known keywords, by its numbers of words and of characters."""
+    w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]{4,12})"), F.lit(1))
+    docs = table(spark, d, "documents").select("doc_id", w.alias("w"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    hint = lambda k: F.get(F.array(*map(F.lit, _HINTS)), k % len(_HINTS))
+    end = lambda k: F.coalesce(F.get("w", k), F.lit(""))
+    return docs.select("doc_id", F.concat_ws(" ", F.initcap(end(F.lit(0))), hint(F.size("w")), hint(F.col("n")), end(F.size("w") - 1)).alias("factor"))
 
 
 @query(_NAMES + f""", p(ord, word, a, b) as (values {POLES_SQL}), h as (select doc_id, factor, min_by(a, ord) as a, min_by(b, ord) as b from f join p on contains(lower(factor), word) group by 1, 2)
-select doc_id, f.factor, coalesce(a, case when regexp_matches(lower(f.factor), 'barrier|constraint') then 'Low ' || f.factor else 'High ' || f.factor end) as pole_a, coalesce(b, case when regexp_matches(lower(f.factor), 'barrier|constraint') then 'High ' || f.factor else 'Low ' || f.factor end) as pole_b from f left join h using (doc_id)""")
+select doc_id, f.factor, coalesce(a, case when regexp_matches(lower(f.factor), '{"|".join(NEGATIVE)}') then 'Low ' || f.factor else 'High ' || f.factor end) as pole_a, coalesce(b, case when regexp_matches(lower(f.factor), '{"|".join(NEGATIVE)}') then 'High ' || f.factor else 'Low ' || f.factor end) as pole_b from f left join h using (doc_id, factor)""")
 def x25_bipolar_constructs(spark, d):
     a, b = classify.construct(F.col("factor"))
     return _names(spark, d).withColumns({"pole_a": a, "pole_b": b})
@@ -294,8 +310,7 @@ def j7_first_keyword(spark, d):
     return _names(spark, d).join(words, F.contains(F.lower("factor"), F.col("word"))).groupBy("doc_id").agg(F.min_by("word", "ord").alias("keyword"))
 
 
-@query(_NAMES + """select doc_id, case when contains(lower(factor), 'trust') then 15 when contains(lower(factor), 'method') and not contains(lower(factor), 'social') then 7 when contains(lower(factor), 'method') then 7 when contains(lower(factor), 'social') then 10 end as aspect,
- case when contains(lower(factor), 'trust') then 1 when contains(lower(factor), 'method') then 4 when contains(lower(factor), 'social') then 1 end as dimension from f""")
+@query(_NAMES + f" select doc_id, {_HINTED(1)} as aspect, {_HINTED(2)} as dimension from f")
 def r17_name_hints(spark, d):
     aspect, dim = classify.name_hint(F.col("factor"))
     return _names(spark, d).select("doc_id", aspect.alias("aspect"), dim.alias("dimension"))

@@ -229,11 +229,12 @@ def f10_blocks_with_factors(spark, d):
     return blocks(spark, d).where(F.size("factors") > 0).select("doc_id", "block_seq")
 
 
-@query("select doc_id, '@doc' || doc_id || ' and more' as id from documents")
+@query(f"""select doc_id, md5(array_to_string(list_transform({SENT.format('text')}, lambda s: '@doc' || doc_id || ' ' || s), chr(10))) as whole from documents""")
 def x15_part_suffix(spark, d):
+    """Texts whose sentences are marked with their parts' ids, with the id of the whole instead."""
     own = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
-    marked = F.concat(F.lit("@"), own, F.lit("_part"), (F.col("doc_id") % 7).cast("string"), F.lit(" and more"))
-    return table(spark, d, "documents").select("doc_id", T.without_part(marked, own).alias("id"))
+    parts = F.transform(T.sentences(F.col("text")), lambda s, k: F.concat(F.lit("@"), own, F.lit("_part"), k.cast("string"), F.lit(" "), s))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.without_part(F.array_join(parts, "\n"), own)).alias("whole"))
 
 
 @query(f"""with c as (select doc_id, unnest(range(len(st))) as part, unnest(st) as s from (select doc_id, {SENT.format('text')} as st from documents))
