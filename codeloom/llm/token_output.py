@@ -9,9 +9,10 @@ Each shard is a row of a Parquet table (so Spark writes it to any store, and com
 * ``spans``: uint32, the number of ids that each rule expands to, which finds a position in the shard without expanding
   what comes before it: expand() skips whole symbols by their spans.
 
-Re-Pair replaces frequent pairs of symbols by new ones. As in its batch form, each round counts the pairs of the shard,
-and replaces all frequent ones (LEAST occurrences or more) from the left, the most frequent first where two overlap in their slot; rounds end when no pair
-is frequent, or when the MAX_RULES rules are used up.
+Re-Pair replaces frequent pairs of symbols by new ones. As in its batch form, each round counts the pairs of the shard and
+replaces many frequent ones (LEAST occurrences or more): where occurrences overlap, the more frequent pair goes first (the smaller one
+among equals, and from the left in a run of one symbol), so that copies of a passage are replaced alike wherever they stand. Rounds
+end when no pair is frequent, or when the MAX_RULES rules are used up.
 
 Null texts are empty; every document gets the end id, so an empty one has one id. Rows that repeat a doc_id follow each
 other in the order of their texts; null ids come first. An empty table gives no shards and no rows. Only doc_id and text are read. A
@@ -134,12 +135,38 @@ class WordEncoder:
 
 
 _SLOTS = 20
+#: How often a round goes over overlapping occurrences; what is left open then waits for the next round.
+_PASSES = 4
 
 
 def _slot(pair: np.ndarray) -> np.ndarray:
     return (pair * np.uint32(2654435761)) >> np.uint32(32 - _SLOTS)
 
 
+def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the pairs that start at ``at`` (ascending) are replaced: none that overlaps another, those of higher rank first."""
+    taken, left = np.zeros(len(at), dtype=bool), np.arange(len(at))
+    for _ in range(_PASSES):
+        if not len(left):
+            break
+        own, of = at[left], rank[left]
+        touches = np.diff(own, prepend=-2) == 1
+        # a run of one symbol: every second start
+        starts = np.flatnonzero(~(touches & (np.diff(of, prepend=-1) == 0)))
+        even = (np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))) % 2 == 0
+        left, own, of = left[even], own[even], of[even]
+        touches = np.diff(own, prepend=-2) == 1
+        rises = np.diff(of, prepend=-1) > 0
+        best = ~touches | rises  # above the one before
+        best[:-1] &= ~touches[1:] | ~rises[1:]  # and above the one after
+        taken[left[best]] = True
+        beside = np.zeros(len(own) + 2, dtype=bool)
+        beside[1:-1] = best
+        near = (touches & beside[:-2]) | (np.append(touches[1:], False) & beside[2:])
+        left = left[~best & ~near]
+    return taken
+
+
 def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, spans) of the ids (uint16), in which no pair of symbols occurs ``least`` times, unless MAX_RULES rules are used up.
 
@@ -165,13 +192,13 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
         hit = np.flatnonzero(rule >= 0)
         hit = hit[values[rule[hit]] == pair[hit]]
         at, rule = live[hit], rule[hit]
-        # overlapping occurrences: in a run of consecutive starts take every second one
-        starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        second = (np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))) % 2 == 0
-        at, rule = at[second], rule[second]
+        apart = _apart(at, rule)
+        at, rule = at[apart], rule[apart]
         uses = np.bincount(rule, minlength=len(values))
         number = np.where(uses > 1, np.cumsum(uses > 1) - 1, 0)
         at, rule = at[uses[rule] > 1], rule[uses[rule] > 1]
+        if not len(at):  # below four occurrences a run of one symbol may give a single one
+            break
         values = values[uses > 1]
         both = np.stack((values >> np.uint32(16), values & np.uint32(0xFFFF)), axis=1)
         spans[BASE + n : BASE + n + len(both)] = spans[both[:, 0]] + spans[both[:, 1]]
@@ -262,7 +289,8 @@ def _writer(path: str, end_id: int, shard_ids: int):
 def write_shards(docs: DataFrame, to: str, vocabulary: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
     """Encode docs (doc_id, text) into shards of ascending doc_id, at the path ``to``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the start of the text divides the rows of an id that repeats; whole texts order them
+    dealt = texts.repartitionByRange(F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(_writer(vocabulary, end_id, shard_ids), SCHEMA).write.parquet(to)
 
 
@@ -284,16 +312,29 @@ def _reader(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+#: Files whose starts are summed in one task.
+FILES_TOGETHER = 1000
+
+
+def _starts(shards: DataFrame) -> DataFrame:
+    """(file, row, start): the ids before each shard, as running sums within files, over the files of a thousand, and over thousands."""
+    part = F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("part")  # files and rows follow doc_id
+    meta = shards.select("n_ids", "file", "row", part)
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = durable(meta.groupBy("part").agg(F.sum("n_ids").alias("ids")).withColumn("group", F.floor(F.col("part") / FILES_TOGETHER)))
+    groups = files.groupBy("group").agg(F.sum("ids").alias("ids")).select("group", before("ids", Window.orderBy("group")).alias("of_groups"))
+    of_files = files.withColumn("of_files", before("ids", Window.partitionBy("group").orderBy("part"))).join(groups, "group")
+    own = meta.withColumn("own", before("n_ids", Window.partitionBy("part").orderBy("file", "row")))
+    return own.join(of_files, "part").select("file", "row", (F.col("own") + F.col("of_files") + F.col("of_groups")).alias("start"))
+
+
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): ids as little-endian uint32; start counts the ids of all documents before.
 
-    The running sum is over the shards' metadata alone: a row for SHARD_IDS ids.
+    The running sums are over the shards' metadata alone: a row for SHARD_IDS ids.
     """
     shards = spark.read.parquet(path).withColumns({"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")})
-    number = F.struct(F.lpad(F.regexp_extract("file", r"part-(\d+)", 1), 12, "0"), "row")  # files and rows follow doc_id
-    before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    meta = shards.select("n_ids", "file", "row", number.alias("number"))
-    starts = durable(meta.select("file", "row", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start")))
+    starts = durable(_starts(shards))
     # a row for each shard: sent to all tasks as long as there are few, so that the shards stay where they are read
     placed = shards.join(F.broadcast(starts) if starts.count() <= FEW_SHARDS else starts, ["file", "row"])
     return placed.select("doc_ids", "start", "lengths", "symbols", "rules", "spans").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids binary")

@@ -573,6 +573,37 @@ def test_grammar_ends_without_frequent_pairs():
     assert (token_output.expand(x, rules, spans) == ids).all() and spans.max() >= 12
 
 
+@pytest.mark.parametrize("period", [2, 3, 256, 375])
+def test_copies_are_replaced_in_phase(period):
+    """Where occurrences overlap, the same ones are replaced in every copy, wherever it stands."""
+    rng = np.random.default_rng(period)
+    copy = rng.permutation(49_000)[:period].astype(np.uint16)
+    ids = np.concatenate([np.tile(copy, 3000), *(np.append(copy, rng.integers(0, 49_000, k % 5)).astype(np.uint16) for k in range(1000))])
+    x, rules, spans = token_output.compress(ids)
+    assert (token_output.expand(x, rules, spans) == ids).all()
+    assert len(x) < 100 + 3.2 * 1000 and len(rules) < 2 * period + 400  # the copies, and the ids between the last ones
+
+
+@pytest.mark.parametrize("ids", [[], [5], [5, 5], [5] * 7, [5, 6] * 5, [5, 5, 6] * 9])
+def test_grammar_of_few_ids(ids):
+    for least in (2, 3, 32):
+        x, rules, spans = token_output.compress(np.array(ids, dtype=np.uint16), least)
+        assert token_output.expand(x, rules, spans).tolist() == ids
+
+
+def test_starts_over_files_and_groups_of_files(spark, monkeypatch, tmp_path):
+    """Starts are the running sum in the order of files and rows, however the files are grouped; rows of one id lie in several shards."""
+    monkeypatch.setattr(token_output, "FILES_TOGETHER", 3)
+    import public_tokenizers
+
+    rows = [(k % 90 if k % 3 else 7, f"word{k} and some more of it {k * 7919 % 1000}" if k % 11 else None) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(11)
+    token_output.write_shards(docs, str(tmp_path / "shards"), public_tokenizers.path(token_output.VOCABULARY), shard_ids=40)
+    out = token_output.read_shards(spark, str(tmp_path / "shards")).toPandas().sort_values("start", kind="stable")
+    assert len(out) == 900 and (out["start"].to_numpy() == np.append(0, np.cumsum(out["n_tokens"].to_numpy())[:-1])).all()
+    assert (np.diff(out["doc_id"].to_numpy()) >= 0).all()
+
+
 def test_another_vocabulary_goes_through_the_library(tmp_path):
     import json
 
