@@ -7,8 +7,9 @@ The table holds each fingerprint's Hamming distances to many pivots (reference f
 families: all pivots of family g agree outside the g-th segment of the bits, so their distances, less the distance to
 the zero pivot, depend on that segment alone. Two differing bits touch at most two of the four segments; hence linked
 fingerprints have equal relative distances in at least two families, and an equi-join on the distances of two families,
-for each of the six choices, meets every linked pair. Of what it meets, pairs with a coordinate that differs by more than
-two are discarded (triangle inequality), and the rest are verified by the Hamming distance itself.
+for each of the six choices, meets every linked pair. The table's 49 coordinates go with each fingerprint, as bytes in seven longs: of what the join
+meets, pairs with a coordinate that differs by more than two are discarded (triangle inequality), seven coordinates by a subtraction, and
+the rest are verified by the Hamming distance itself.
 
 A cell with more fingerprints than PAIR_CELL is divided by further pivots: its fingerprints agree in two of four segments, and
 each half of the other two gets a family of its own, of which linked fingerprints again agree in two of four. So cells
@@ -38,6 +39,8 @@ SEED, WIDTH, RADIUS = 42, 3, 2
 FAMILIES, PIVOTS = 4, 12
 #: Fingerprints of a cell that are compared pair by pair; larger cells are divided by further pivots.
 PAIR_CELL = 32
+#: Coordinates (each at most 64) of a long of the table, a byte each; the eighth byte stays free, so sums can't overflow.
+PACKED = 7
 
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
 
@@ -82,10 +85,29 @@ def pivot_table(fps: DataFrame) -> DataFrame:
     return fps.select("fp", _distance("fp", 0).alias("d0"), F.array(*(F.array(*(_distance("fp", p) for p in f)) for f in _pivots())).alias("d"))
 
 
-def _near(left: Column, right: Column) -> Column:
-    """No coordinate of the table differs by more than RADIUS (triangle inequality), nor do more bits."""
-    near = [F.abs(_distance(left, p) - _distance(right, p)) <= RADIUS for f in [[0], *_pivots()] for p in f]
-    return reduce(Column.__and__, near) & (F.bit_count(left.bitwiseXOR(right)) <= RADIUS)
+#: The table's columns: its 1 + FAMILIES * PIVOTS coordinates, PACKED to a long.
+_LONGS = [f"t{k}" for k in range(-(-(1 + FAMILIES * PIVOTS) // PACKED))]
+
+
+def _packed() -> list[Column]:
+    """_LONGS of a row of pivot_table(): d0 and then the families' distances."""
+    coordinates = [F.col("d0"), *(F.get(F.get("d", F.lit(g)), F.lit(k)) for g in range(FAMILIES) for k in range(PIVOTS))]
+    of = lambda k: [F.call_function("shiftleft", x.cast("long"), F.lit(8 * i)) for i, x in enumerate(coordinates[k * PACKED : (k + 1) * PACKED])]
+    return [reduce(Column.bitwiseOR, of(k)).alias(c) for k, c in enumerate(_LONGS)]
+
+
+def _lanes(byte: int) -> Column:
+    return F.lit(sum(byte << (8 * i) for i in range(PACKED))).cast("long")
+
+
+def _near(left: str, right: str) -> Column:
+    """No coordinate of two rows of the table differs by more than RADIUS (triangle inequality), nor do more bits.
+
+    A byte of x - y + 128 + RADIUS is in 128 .. 135 only if x - y is in -RADIUS .. 7 - RADIUS; x - y and y - x both are only if they differ by at most RADIUS.
+    """
+    above = lambda x, y: (F.col(x) + _lanes(128 + RADIUS) - F.col(y)).bitwiseAND(_lanes(0xF8)) == _lanes(128)
+    within = [above(f"{x}.{c}", f"{y}.{c}") for c in _LONGS for x, y in ((left, right), (right, left))]
+    return reduce(Column.__and__, within) & (F.bit_count(F.col(f"{left}.fp").bitwiseXOR(F.col(f"{right}.fp"))) <= RADIUS)
 
 
 _TWO = list(combinations(range(FAMILIES), FAMILIES - RADIUS))
@@ -97,30 +119,30 @@ def _halves(starts: list[Column], taken: tuple[int, int], width: int) -> Column:
 
 
 def _divided(cells: DataFrame, width: int) -> DataFrame:
-    """(fp, cell, starts) of the cells' next division: families of pivots on the segments (of so many bits) that start at ``starts``."""
+    """(fp, the table's longs, cell, starts) of the cells' next division: families of pivots on the segments (of so many bits) that start at ``starts``."""
     pivots = np.random.default_rng(SEED + width).permutation(np.arange(1, 1 << width))[:PIVOTS].tolist()
     shifted = lambda p, k: F.call_function("shiftleft", F.lit(p).cast("long"), F.get("starts", F.lit(k)))
     relative = [F.array(*(F.bit_count(F.col("fp").bitwiseXOR(shifted(p, k))) - F.bit_count("fp") for p in pivots)) for k in range(FAMILIES)]
     starts = [F.get("starts", F.lit(k)) for k in range(FAMILIES)]
     parts = F.array(*(F.struct(F.xxhash64("cell", F.lit(i), relative[i], F.lit(j), relative[j]).alias("cell"), _halves(starts, (i, j), width).alias("starts")) for i, j in _TWO))
-    return cells.select("fp", F.explode(parts).alias("p")).select("fp", "p.cell", "p.starts")
+    return cells.select("fp", *_LONGS, F.explode(parts).alias("p")).select("fp", *_LONGS, "p.cell", "p.starts")
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) that connect exactly the classes of the distinct fingerprints fps(fp)."""
     table, width = pivot_table(fps), 64 // FAMILIES
     relative = lambda g: F.transform(F.col("d")[g], lambda x: x - F.col("d0"))
-    table = table.select("fp", *(F.xxhash64(relative(g)).alias(f"k{g}") for g in range(FAMILIES)))
+    table = table.select("fp", *_packed(), *(F.xxhash64(relative(g)).alias(f"k{g}") for g in range(FAMILIES)))
     starts = [F.lit(g * width) for g in range(FAMILIES)]
     first = F.array(*(F.struct(F.xxhash64(F.lit(i), F.col(f"k{i}"), F.lit(j), F.col(f"k{j}")).alias("cell"), _halves(starts, (i, j), width).alias("starts")) for i, j in _TWO))
-    cells, out = table.select("fp", F.explode(first).alias("p")).select("fp", "p.cell", "p.starts"), []
+    cells, out = table.select("fp", *_LONGS, F.explode(first).alias("p")).select("fp", *_LONGS, "p.cell", "p.starts"), []
     while True:
         width //= 2
         sizes = cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
         shared = durable(cells.join(sizes, "cell"))
         small = shared if width < 2 else shared.where(F.col("size") <= PAIR_CELL)
         left, right = F.col("l.fp"), F.col("r.fp")
-        met = small.alias("l").join(small.alias("r"), (F.col("l.cell") == F.col("r.cell")) & (left < right) & _near(left, right))
+        met = small.alias("l").join(small.alias("r"), (F.col("l.cell") == F.col("r.cell")) & (left < right) & _near("l", "r"))
         out.append(met.select(left.alias("a"), right.alias("b")))
         crowded = shared.where(F.col("size") > PAIR_CELL)
         if width < 2 or crowded.isEmpty():
