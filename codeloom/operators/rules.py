@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.functions.tables import CO_FACTOR_HINTS, KEEP_CUES, RELATIONS, REVERSE_CUES
-from codeloom.operators import chains
+from codeloom.operators import chains, storage
 
 
 def dimension(df: DataFrame, rows: list, schema: str) -> DataFrame:
@@ -83,11 +83,20 @@ def description_length(blocks: DataFrame) -> DataFrame:
 def convergence(blocks: DataFrame, least: int = 4) -> DataFrame:
     """(doc_id, excerpt, dst, sources): outcomes on which so many factors of one excerpt converge.
 
-    Edges keep their excerpt's hash (128 bits), which is what they are grouped by; the excerpt itself comes from one of the group's rows.
+    Excerpts are compared by hash (128 bits), and a block's factors are sent once, without its excerpt. The excerpts of what was found are
+    looked up in the blocks of these documents alone, which the second reading of the blocks is cut down to.
     """
-    held = blocks.withColumn("_h1", F.xxhash64("excerpt")).withColumn("_h2", F.xxhash64("excerpt", F.lit(1)))
-    e = chains.edges(held, "excerpt", "_h1", "_h2")
-    return e.groupBy("doc_id", "_h1", "_h2", "dst").agg(F.count_distinct("src").alias("sources"), F.first("excerpt").alias("excerpt")).where(F.col("sources") >= least).select("doc_id", "excerpt", "dst", "sources")
+    hashes = [F.xxhash64("excerpt").alias("_h1"), F.xxhash64("excerpt", F.lit(1)).alias("_h2")]
+    n, key = F.least(F.size("relations"), F.size("factors") - 1), ["doc_id", "_h1", "_h2"]
+    sent = blocks.where((n > 0) & F.col("doc_id").isNotNull()).select("doc_id", *hashes, F.slice("factors", F.lit(1), n + 1).alias("f")).repartition(*key)
+    ends = F.explode(F.zip_with(F.slice("f", F.lit(1), F.size("f") - 1), F.slice("f", F.lit(2), F.size("f") - 1), lambda a, b: F.struct(a.alias("src"), b.alias("dst"))))
+    groups = sent.select(*key, ends.alias("e")).groupBy(*key, F.col("e.dst").alias("dst")).agg(F.count_distinct("e.src").alias("sources"))
+    found = storage.written(groups.where(F.col("sources") >= least), "found")
+    wanted = found.groupBy("doc_id").agg(F.collect_list(F.struct("_h1", "_h2", "dst", "sources")).alias("wanted"))
+    texts = blocks.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "excerpt", *hashes).join(wanted, "doc_id")
+    own = F.filter("wanted", lambda g: (g["_h1"] == F.col("_h1")) & (g["_h2"] == F.col("_h2")))
+    rows = texts.select(*key, "excerpt", F.explode(own).alias("g")).groupBy(*key, "g.dst").agg(F.first("excerpt").alias("excerpt"), F.first("g.sources").alias("sources"))
+    return rows.select("doc_id", "excerpt", "dst", "sources")
 
 
 def chains_per_document(blocks: DataFrame) -> DataFrame:
