@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from codeloom.operators import chains, rules, storage
+from codeloom.streaming import merging
 
 
 def plan(df) -> str:
@@ -26,3 +28,23 @@ def test_convergence_sends_no_excerpts(spark, monkeypatch):
         assert sorted(map(tuple, got)) == sorted((*k, len(v)) for k, v in want.items() if len(v) >= least)
     assert rules.convergence(b).count() == 1 and rules.convergence(b.where(F.lit(False))).count() == 0
     assert seen and all("SortAggregate" not in p and "first(excerpt" not in p for p in seen)
+
+
+def test_merging_an_item_asks_the_state_once(spark):
+    """A call of the state store is a message: one to read and one to write, however many pairs an item has."""
+    calls = []
+
+    class Store:
+        def __getattr__(self, name):
+            return lambda *x: calls.append(name)
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *x: Store()
+
+    made = merging.MergeItems()
+    made.init(Handle())
+    pairs = [{"code": f"c{k}", "rationale": None if k == 7 else "user"} for k in range(50)]
+    row = Row(interview_id="i", key="k", turn=1, sent=0, excerpt="x", pairs=pairs)
+    out = list(made.handleInputRows(("i", "k"), iter([row, row]), None))
+    assert len(calls) == 2 and out[0].n_items == 2 and out[0].pairs == "|".join(f"c{k}=user" for k in range(50) if k != 7)
