@@ -62,3 +62,20 @@ def test_a_memory_is_sorted_before_it_is_rendered(spark, tmp_path, monkeypatch):
     assert len(seen) == 1 and "to_json" not in seen[0]
     found = readers.memory_in_parts(spark, f"{tmp_path}/m")
     assert plan(found).count("regexp_replace") == 1 and sorted(map(str, found.select(df.columns).collect())) == sorted(map(str, df.collect()))
+
+
+def test_contexts_and_pairs_send_no_more_than_they_need(spark):
+    """Summaries are told apart by hash and not kept by a second shuffle; pairs are made without a function for each element, each two places once."""
+    docs = [(1, "Aaa bbb ccc ddd here. Bbb aaa eee."), (1, "Ccc aaa bbb bbb there. Aaa bbb.")]
+    b = chains.annotate(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert "first(summary" not in plan(memory.scored_contexts(b))
+    df = chains.co_occurrences(b.drop("relations").localCheckpoint())
+    assert "lambda" not in plan(df).split("Generate posexplode", 1)[1]
+    want = {}
+    for r in b.collect():
+        for i, f in enumerate(r["factors"]):
+            for j, g in enumerate(r["factors"]):
+                if f != g:
+                    want.setdefault((f, g), []).append((r["doc_id"], r["block_seq"], i, j))
+    got = {(r["factor"], r["co_factor"]): (r["n"], tuple(r["first_seen"])) for r in df.collect()}
+    assert got == {k: (len(v), min(v)) for k, v in want.items()}
