@@ -563,6 +563,25 @@ def test_near_copies_of_passages_are_found(spark):
     assert all(c == i // 2 * 2 for i, c in got.items())
 
 
+def test_near_copies_among_shorter_shares_are_found(spark):
+    """Neighbours in the sort order of a group are then mostly texts that share too little; the near copies stand apart, and are met by a second step."""
+    rng = np.random.default_rng(8)
+    fill = lambda n: [f"f{k}" for k in rng.integers(0, 10**6, n)]
+    rows_ = []
+    for p in range(80):
+        one = [f"p{p}x{k}" for k in range(80)]
+        two = [*one[:40], f"e{p}", *one[41:]]  # similarity 71 / 81
+        rows_ += [(100 * p, " ".join(fill(70) + one + fill(70))), (100 * p + 50, " ".join(fill(70) + two + fill(70)))]
+        for k in range(40):
+            at = int(rng.integers(0, 37))
+            rows_.append((100 * p + 1 + k, " ".join(fill(70) + one[at : at + 44] + [f"d{p}x{k}"] + fill(70))))
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    for df in (docs, docs.repartition(3)):
+        got = {r["doc_id"]: r["class_id"] for r in substring_dedup.repeated_passages(df).collect()}
+        assert len([p for p in range(80) if got.get(100 * p) == got.get(100 * p + 50) == 100 * p]) >= 0.9 * 80
+        assert all(i % 50 == 0 and c == i // 100 * 100 for i, c in got.items())
+
+
 def test_grammar_ends_without_frequent_pairs():
     rng = np.random.default_rng(4)
     phrases = [rng.integers(0, 49_000, 12) for _ in range(40)]
