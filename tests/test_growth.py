@@ -105,3 +105,12 @@ def test_items_of_many_interviews_share_files(spark, tmp_path):
     assert sorted((r["item_id"], r["excerpt"], r["header"]) for r in found) == sorted(
         (r["interview_id"], r["excerpt"], f"SOURCE @{r['interview_id']}\n    código: N/A\nEND SOURCE") for r in coded.collect()
     )
+
+
+def test_small_files_are_taken_in_together(spark, tmp_path):
+    """A batch has a fixed cost: small files are one batch and not one for each hundred."""
+    (tmp_path / "in").mkdir()
+    for k in range(230):
+        (tmp_path / "in" / f"f{k}.txt").write_text(f"text {k}")
+    merging.ingest_files(spark, str(tmp_path / "in"), f"{tmp_path}/out")
+    assert len(list((tmp_path / "out" / "log").iterdir())) == 1 and merging.read_ingested(spark, f"{tmp_path}/out")[1].count() == 230
