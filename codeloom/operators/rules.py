@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.functions.tables import CO_FACTOR_HINTS, KEEP_CUES, RELATIONS, REVERSE_CUES
-from codeloom.operators import chains, storage
+from codeloom.operators import chains, memory, storage
 
 
 def dimension(df: DataFrame, rows: list, schema: str) -> DataFrame:
@@ -24,7 +24,7 @@ def code_index(blocks: DataFrame) -> DataFrame:
 
 def ontology_context(blocks: DataFrame) -> DataFrame:
     """(code, frequency, sources, as_subject, as_object, relations) of every code; co_codes() and examples() have the rest of its context."""
-    own = chains.occurrences(blocks).groupBy(F.col("factor").alias("code")).agg(F.count("*").alias("frequency"), F.count_distinct("doc_id").alias("sources"))
+    own = memory.frequency(blocks).withColumnRenamed("factor", "code")
     sides = chains.edges(blocks).select(
         "rel", F.explode(F.array(F.struct(F.col("src").alias("code"), F.lit(True).alias("subject")), F.struct(F.col("dst").alias("code"), F.lit(False).alias("subject")))).alias("e")
     )

@@ -172,8 +172,8 @@ def x33_chain_syntax(spark, d):
     steps = F.flatten(F.transform("relations", lambda r, i: F.array_compact(F.array(F.get(nodes, i), r))))
     last = F.when(k == 1, F.array().cast("array<string>")).otherwise(F.array(F.element_at(nodes, -1)))
     text = F.concat(F.when(k == 3, F.lit("  ")).otherwise(F.lit("")), F.array_join(F.concat(steps, last), " -> "))
-    nodes, relations, valid = chains.parse_chain(F.col("text"))
-    rows = blocks(spark, d).select("doc_id", "block_seq", text.alias("text"))
+    nodes, relations, valid = chains.parts_of_chain(F.col("parts"))
+    rows = blocks(spark, d).select("doc_id", "block_seq", chains.chain_parts(text).alias("parts"))
     return rows.select("doc_id", "block_seq", F.array_join(nodes, "|").alias("nodes"), F.array_join(relations, "|").alias("relations"), valid.alias("valid"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import budget, chains, items
+from codeloom.operators import budget, chains, items, storage
 
 
 def parquet(spark: SparkSession, path: str, schema, files: int = 4) -> DataFrame:
@@ -35,7 +35,7 @@ def budgets(events: DataFrame, late: str = "10 minutes", window: str = "60 secon
 
 def factor_counts(docs: DataFrame) -> DataFrame:
     """(factor, frequency) so far; a row of state per factor."""
-    return chains.occurrences(chains.annotate(docs)).groupBy("factor").agg(F.count("*").alias("frequency"))
+    return chains.occurrences(chains.annotate(storage.spread(docs, "doc_id"))).groupBy("factor").agg(F.count("*").alias("frequency"))
 
 
 def first_pairs(conversations: DataFrame, time: str | None = None, late: str = "1 day") -> DataFrame:

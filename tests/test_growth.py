@@ -114,3 +114,35 @@ def test_small_files_are_taken_in_together(spark, tmp_path):
         (tmp_path / "in" / f"f{k}.txt").write_text(f"text {k}")
     merging.ingest_files(spark, str(tmp_path / "in"), f"{tmp_path}/out")
     assert len(list((tmp_path / "out" / "log").iterdir())) == 1 and merging.read_ingested(spark, f"{tmp_path}/out")[1].count() == 230
+
+
+def test_a_table_of_one_row_group_is_annotated_by_all_cores(spark, tmp_path):
+    """Parquet splits may be many and all but one empty, as rows are read by row groups: how many there are doesn't say that rows are dealt."""
+    from codeloom.plans import base
+
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.md5(F.col("id").cast("string")), F.lit(" some more words here")).alias("text"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    name, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(name, "20000")
+    try:
+        assert base.table(spark, str(tmp_path), "documents").rdd.getNumPartitions() >= 4
+        b = base.blocks(spark, str(tmp_path))
+        assert b.select("doc_id").distinct().count() == 4000 and "hashpartitioning(doc_id" in plan(b)
+        dealt = storage.spread(base.table(spark, str(tmp_path), "documents"), "doc_id")
+        assert "hashpartitioning(doc_id" in plan(dealt) and dealt.count() == 4000
+        assert plan(memory.frequency(b)).count("Exchange ") == 2  # texts are dealt, and a row for each factor of a task is sent
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_frequency_counts_documents_that_share_an_id_or_have_none(spark):
+    rows = [(1, ["A", "A", "B"]), (1, ["A"]), (None, ["A", None]), (2, ["B"]), (3, [])]
+    got = memory.frequency(spark.createDataFrame(rows, "doc_id long, factors array<string>"))
+    assert sorted(map(tuple, got.collect()), key=str) == [("A", 4, 1), ("B", 2, 2), (None, 1, 0)]
+
+
+def test_a_chain_is_cut_once(spark, sf):
+    from codeloom import plans
+
+    p = plan(plans.queries()["x33_chain_syntax"](spark, sf))
+    assert p.count("split(trim") == 1
