@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import components, durable, few
+from codeloom.llm.common import components, durable, few, small_batches
 
 SEED, WIDTH, RADIUS = 42, 3, 2
 FAMILIES, PIVOTS = 4, 12
@@ -162,7 +162,9 @@ def _with_classes(fps: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs."""
-    out = _with_classes(durable(fingerprints(docs, text, doc_id)))
+    with small_batches(docs.sparkSession):
+        fps = durable(fingerprints(docs, text, doc_id))
+    out = _with_classes(fps)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -173,7 +175,9 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     id have no class to speak for and stay. What is dropped is broadcast if it is little, and else joined by a shuffle.
     """
     digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    found = _with_classes(durable(fingerprints(docs, text, doc_id, digest))).where("doc_id is not null")
+    with small_batches(docs.sparkSession):
+        fps = durable(fingerprints(docs, text, doc_id, digest))
+    found = _with_classes(fps).where("doc_id is not null")
     # tables of their own, so that Spark can split the join where one class has very many rows
     one = durable(found.groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "root", "component_id").agg(F.count("*").alias("n")))
     first = durable(one.where("id = component_id").groupBy("root").agg(F.min("of").alias("first")))
