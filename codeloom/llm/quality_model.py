@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -75,12 +76,14 @@ class Reader:
         return row, np.concatenate((BUCKETS + kind, REPEAT + same))
 
 
+@cache
 def sparse_signs() -> np.ndarray:
-    """The random index vectors: SIGNS entries of +1 or -1 for each row."""
+    """The random index vectors: SIGNS entries of +1 or -1 for each row; made once for each worker process, as that takes as long as some MB of text."""
     out = np.zeros((ROWS, DIMENSION), dtype=np.int64)
     rng = np.random.default_rng(20240601)
     for r in range(ROWS):
         out[r, rng.choice(DIMENSION, SIGNS, replace=False)] = rng.choice((-1, 1), SIGNS)
+    out.flags.writeable = False  # shared
     return out
 
 
@@ -101,11 +104,21 @@ def add_contexts(table: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray]],
     for k in (0, 1, 3, 4):
         near[k : k + n] += own
     near = near[2 : n + 2] + signs[shapes]
-    for at in (rows, shapes, repeats):
+    for at in (rows, shapes):
+        at = at.astype(np.uint16)  # ROWS fits, and so short numbers are sorted by their digits
         order = np.argsort(at, kind="stable")
-        first = np.flatnonzero(np.diff(at[order], prepend=-1))
-        table[at[order][first], :DIMENSION] += np.add.reduceat(near[order], first, axis=0)
-        table[at[order][first], DIMENSION] += np.diff(np.append(first, n))
+        found = at[order]
+        first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        found, sums, counts = found[first], np.add.reduceat(near[order], first, axis=0), np.diff(np.append(first, n))
+        table[found, :DIMENSION] += sums
+        table[found, DIMENSION] += counts
+    # a word that doesn't repeat the one before has the other mark: what all words have, less those that do
+    words, same = found != ROWS, repeats == REPEAT + 1
+    again, times = near[same].sum(axis=0), np.count_nonzero(same)
+    table[REPEAT + 1, :DIMENSION] += again
+    table[REPEAT + 1, DIMENSION] += times
+    table[REPEAT, :DIMENSION] += sums[words].sum(axis=0) - again
+    table[REPEAT, DIMENSION] += counts[words].sum() - times
 
 
 def _indexer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -746,3 +746,22 @@ def test_pipeline_on_odd_tables(spark, odd, none, labels, tmp_path, empty):
     got = P.run(spark, str(tmp_path))
     assert set(got.columns) >= {"doc_id", "start", "n_tokens", "ids_crc32"} and sorted(str(r["doc_id"]) for r in got.collect()) == mixed
     assert empty == (not mixed)
+
+
+def test_quality_contexts_are_those_of_a_loop_and_signs_are_made_once():
+    from codeloom.llm import quality_model as q
+
+    assert q.sparse_signs() is q.sparse_signs()
+    signs = np.concatenate((q.sparse_signs(), np.zeros((1, q.DIMENSION), dtype=np.int64))).astype(np.int32)
+    reader = q.Reader()
+    texts = [reader(x) for x in ("a a a", "x", "One two two, three 4 one", "b")]
+    got, want = (np.zeros((q.ROWS + 1, q.DIMENSION + 1), dtype=np.int64) for _ in range(2))
+    q.add_contexts(got, texts, signs)
+    for rows, marks in texts:
+        n = len(rows)
+        for k in range(n):
+            near = sum((signs[rows[j]] for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < n), signs[marks[k]].copy())
+            for at in (rows[k], marks[k], marks[n + k]):
+                want[at, :-1] += near
+                want[at, -1] += 1
+    assert (got[: q.ROWS] == want[: q.ROWS]).all()
