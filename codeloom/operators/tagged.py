@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,23 +35,36 @@ def render(blocks: DataFrame) -> DataFrame:
     """(ref, tagged): a document's header and its blocks in order, one string per document."""
     ref = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
     block = render_block(ref, F.col("excerpt"), _cat("d", F.col("block_seq").cast("string")), F.col("factors"), F.col("relations"))
-    rows = blocks.select(ref.alias("ref"), "block_seq", block.alias("block")).groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("block_seq", "block"))).alias("b"))
-    text = F.array_join(F.transform("b", lambda b: b["block"]), "\n\n")
+    rows = blocks.select(ref.alias("ref"), "block_seq", block.alias("block")).groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("block_seq", "block"))).alias("b"))
+    text = F.array_join("b.block", "\n\n")
     return rows.select("ref", _cat(header(F.col("ref"), F.lit("Coded text"), F.lit("Not specified")), "\n\n", text).alias("tagged"))
 
 
 def parse(tagged: DataFrame) -> DataFrame:
     """(ref, block_seq, excerpt, description, factors, relations) of every block with a factor; documents without a reference have none."""
     ref = F.regexp_extract("tagged", r"referencia_bibtex:\s*(\S+)", 1)
-    raw = F.regexp_extract_all("tagged", F.lit(BLOCK), F.lit(1))
-    # the columns come first, as an explosion beside an expression of the text would copy the text to every block
-    rows = tagged.select(ref.alias("ref"), raw.alias("raw")).where("ref <> ''").select("ref", F.posexplode("raw").alias("block_seq", "b"))
-    tag = lambda p: F.regexp_extract("b", p, 1)
-    found = rows.select(
-        "ref", "block_seq", F.trim(tag(r"\[!(.*?)!\]")).alias("excerpt"), tag(r"\[%(.*?)%\]").alias("description"),
-        F.regexp_extract_all("b", F.lit(r"\[#(.*?)#\]"), F.lit(1)).alias("factors"), F.regexp_extract_all("b", F.lit(r"\[&(.*?)&\]"), F.lit(1)).alias("relations"),
+    # what BLOCK finds, by whole marks: in the text before each end mark, what follows the first begin mark
+    begin = F.lit("[-begin-]")
+    before = F.split("tagged", r"\[-end-\]", -1)
+    raw = F.filter(F.slice(before, 1, F.size(before) - 1), lambda x: F.contains(x, begin))
+    # the columns come first, as an explosion beside an expression of the text would copy the text to every block, and an inner one would work them out twice
+    rows = tagged.select(ref.alias("ref"), raw.alias("raw")).where("ref <> ''").select("ref", F.posexplode_outer("raw").alias("block_seq", "x")).where("block_seq is not null")
+    rows = rows.select("ref", "block_seq", F.btrim(F.substring("x", F.position(begin, "x") + 9, F.length("x")), F.lit(" \t\n\x0b\f\r")).alias("b"))
+    every = lambda p: F.regexp_extract_all("b", F.lit(p), F.lit(1))
+    rows = _with(rows, factors=every(r"\[#(.*?)#\]"), relations=every(r"\[&(.*?)&\]")).where(F.size("factors") > 0)
+    after = lambda mark: F.when(F.contains("b", F.lit(mark)), F.substring("b", F.position(F.lit(mark), "b") + 2, F.length("b")))
+    upto = lambda c, mark: F.when(F.contains(c, F.lit(mark)), F.substring_index(c, mark, 1)).alias(c)
+    own = rows.select("*", after("[!").alias("excerpt"), after("[%").alias("description"))
+    own = own.select("ref", "block_seq", "b", "factors", "relations", upto("excerpt", "!]"), upto("description", "%]"))
+    # a line's end within the marks leaves the tag to the pattern, which reads on for one without
+    in_line = lambda c: ~reduce(or_, (F.contains(c, F.lit(x)) for x in "\n\r\x85\u2028\u2029"))
+    tag = lambda c, p: F.when(in_line(c), F.col(c)).otherwise(F.regexp_extract("b", p, 1))
+    # plain words in title case need no work; a line separator is in no factor
+    other = F.array_join("factors", "\u2028").rlike("[^A-Za-z\u2028]|(?:^|\u2028)[a-z]|[A-Za-z][A-Z]")
+    titled = F.when(other, F.transform("factors", lambda f: T.title_case(f))).otherwise(F.col("factors"))
+    return own.select(
+        "ref", "block_seq", F.trim(tag("excerpt", r"\[!(.*?)!\]")).alias("excerpt"), tag("description", r"\[%(.*?)%\]").alias("description"), titled.alias("factors"), "relations",
     )
-    return found.where(F.size("factors") > 0).withColumn("factors", F.transform("factors", lambda f: T.title_case(f)))
 
 
 def quoted(x: Column) -> Column:

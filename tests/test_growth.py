@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from codeloom.operators import chains, items, memory, rules, storage
+from codeloom.operators import chains, items, memory, rules, storage, tagged
 from codeloom.sources import readers, writers
 from codeloom.streaming import merging
 
@@ -160,3 +160,25 @@ def test_contexts_are_sent_by_block(spark):
     for r in memory.context_places(b).collect():
         want[r["factor"]] = want.get(r["factor"], 0) + 1
     assert {r["factor"]: r["contexts"] for r in memory.context_counts(b).collect()} == want and want["Bbb"] == 1 and want["Aaa"] == 2
+
+
+def test_tagged_blocks_are_read_as_the_patterns_say(spark):
+    """Marks are found by whole strings where that is what the patterns find; odd texts give the same, and factors are found once."""
+    import re
+
+    texts = [
+        "[-begin-]  [@a@][!x!y!][%d!%][#Aa#][&r&][#b c#][-end-]tail[-begin-][#Open#]", "[-begin-]one[-begin-][!a\nb!][!c!][#4th#][-end-][-end-][-begin-][!]!][#x\ny#][#AB#]\x0b[-end-]",
+        "[-end-][-begin-][-end-][-begin-] \t[!a b!][%\r%][%e%][#co-op  é#][##][-end-]", "nothing", "[-begin-][!e[!f!][%g[-end-]",
+    ]
+    df = tagged.parse(spark.createDataFrame([(f"referencia_bibtex: r{k}\n{t}",) for k, t in enumerate(texts)], "tagged string"))
+    first = lambda p, b: (re.search(p, b) or [None, ""])[1]
+    any_in_line = r"([^\n\r\x85\u2028\u2029]*?)"
+    title = lambda f: "".join(x[:1].upper() + x[1:].lower() for x in re.findall(r"[^\W\d_]+|[\W\d_]+", re.sub(r"\s+", " ", f).strip(" ")))
+    want = []
+    for k, t in enumerate(texts):
+        for n, b in enumerate(re.findall(r"(?s)\[-begin-\][ \t\n\x0b\f\r]*(.*?)[ \t\n\x0b\f\r]*\[-end-\]", t)):
+            factors = [title(f) for f in re.findall(rf"\[#{any_in_line}#\]", b)]
+            if factors:
+                want.append((f"r{k}", n, first(rf"\[!{any_in_line}!\]", b).strip(" "), first(rf"\[%{any_in_line}%\]", b), factors, re.findall(rf"\[&{any_in_line}&\]", b)))
+    assert len(want) >= 3 and sorted(tuple(r) for r in df.collect()) == sorted(want)
+    assert plan(df).count("[#(.*?)#") == 1
