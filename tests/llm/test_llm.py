@@ -582,6 +582,51 @@ def test_near_copies_among_shorter_shares_are_found(spark):
         assert all(i % 50 == 0 and c == i // 100 * 100 for i, c in got.items())
 
 
+def test_spans_hold_all_exact_repeats_of_a_document(spark):
+    """A short repeat stands between two long ones in the sort order of their minima: the long ones are reported whole, and not only what they share with their neighbour."""
+    rng = np.random.default_rng(31)
+    fill = lambda n: [f"f{k}" for k in rng.integers(0, 10**6, n)]
+    rows_, want = [], {}
+    for p in range(400):
+        one = [f"p{p}x{k}" for k in range(62)]
+        for k, part in enumerate((one, one[12:], one)):
+            head, tail = " ".join(fill(70)), " ".join(fill(70))
+            rows_.append((3 * p + k, f"{head} {' '.join(part)} {tail}"))
+            want[3 * p + k] = len(head) + 1
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == set(want)
+    assert not [r["doc_id"] for r in found if min(s["start"] for s in r["spans"]) > want[r["doc_id"]]]
+
+
+def test_near_copies_that_only_their_surroundings_of_a_minimum_bring_together(spark):
+    """Documents with the same 23 words beside a minimum are met in all pairs if their chain leaves them in different classes, also under one hash function alone."""
+    rng = np.random.default_rng(4)
+    fill = lambda n: [f"f{k}" for k in rng.integers(0, 10**6, n)]
+    rows_ = []
+    for p in range(150):
+        one = [f"p{p}x{k}" for k in range(70)]
+        two = [*one[:35], f"e{p}", *one[36:]]
+        parts = [one, *(one[at : at + 30] for at in range(0, 41, 5)), two]
+        rows_ += [(100 * p + k, " ".join(fill(60) + part + fill(60))) for k, part in enumerate(parts)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string").select(F.col("doc_id").alias("doc"), "text")
+    made = substring_dedup.candidates(docs).where("member is not null").select(F.col("doc").alias("key"), F.col("doc2").alias("doc"), "member")
+    met = {(r["doc"], r["doc2"]) for r in substring_dedup.apart(docs, made, spark.createDataFrame([], "node long, root long")).collect()}
+    beside = {d: {(k, b & 0xFFFFFFFF) for k, b in zip(*(substring_dedup.windows([d], [t])[c].tolist() for c in ("key", "beside")), strict=True)} for d, t in rows_ if d % 100 in (0, 10)}
+    want = {(d, d + 10) for d in beside if d % 100 == 0 and beside[d] & beside[d + 10]}
+    assert len(want) > 100 and want <= met and all(b == a + 10 and a % 100 == 0 for a, b in met)
+
+
+def test_pairs_that_share_too_little_are_told_without_their_texts(spark, monkeypatch):
+    """Documents whose repeated words are too few for a passage are met by their tokens: no text is sent for such a pair."""
+    rng = np.random.default_rng(8)
+    fill = lambda n: [f"f{k}" for k in rng.integers(0, 10**6, n)]
+    rows_ = [(100 * p + k, " ".join(fill(70) + [f"p{p}x{i}" for i in range(38)] + fill(70))) for p in range(5) for k in range(60)]
+    sent, verified = [], substring_dedup._verified
+    monkeypatch.setattr(substring_dedup, "_verified", lambda pairs, every: (sent.append(pairs.count()), verified(pairs, every))[1])
+    assert substring_dedup.repeated_passages(spark.createDataFrame(rows_, "doc_id long, text string")).count() == 0
+    assert sum(sent) < 2 * len(rows_)  # neighbours; pairs are 30 for each
+
+
 def test_grammar_ends_without_frequent_pairs():
     rng = np.random.default_rng(4)
     phrases = [rng.integers(0, 49_000, 12) for _ in range(40)]
