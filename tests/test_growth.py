@@ -182,3 +182,42 @@ def test_tagged_blocks_are_read_as_the_patterns_say(spark):
                 want.append((f"r{k}", n, first(rf"\[!{any_in_line}!\]", b).strip(" "), first(rf"\[%{any_in_line}%\]", b), factors, re.findall(rf"\[&{any_in_line}&\]", b)))
     assert len(want) >= 3 and sorted(tuple(r) for r in df.collect()) == sorted(want)
     assert plan(df).count("[#(.*?)#") == 1
+
+
+def test_places_and_texts_of_contexts_are_sent_once(spark):
+    """Both are dealt by the fingerprint, and neither repeats of it nor the join need another shuffle; factors that hold the cut, or nulls, are sent as they are."""
+    rows = [(1, 0, "Aaa bbb.", ["Aaa", "B\x01b", None], ["r"]), (1, 1, "aaa  bbb.", ["Aaa", "", "B\x01b"], ["r", "s"]), (2, 0, "Aaa bbb.", ["Aaa"], []), (3, 0, "Ccc.", [], []), (0, 5, "Ccc.", [""], ["ccc"])]
+    b = spark.createDataFrame(rows, "doc_id long, block_seq int, excerpt string, factors array<string>, relations array<string>")
+    df = memory.scored_contexts(b)
+    assert plan(df).count("Exchange hashpartitioning") == 2
+    got = sorted((("none" if r["factor"] is None else r["factor"], r["doc_id"], r["block_seq"], r["pos"], r["summary"]) for r in df.collect()))
+    assert got == sorted([("Aaa", 1, 0, 0, "Aaa bbb."), ("B\x01b", 1, 0, 1, "Aaa bbb."), ("none", 1, 0, 2, "Aaa bbb."), ("", 1, 1, 1, "aaa bbb."), ("", 0, 5, 0, "Ccc.")])
+
+
+def test_repeats_of_a_task_are_sent_once_from_the_first_place(spark):
+    rows = [(k % 7, 5, 3 - k // 1000, 5000 - k) for k in range(4000)]
+    df = spark.createDataFrame(rows, "a long, b long, x long, y int").coalesce(1)
+    kept = storage.without_repeats(df, ("a", "b"), ("x", "y")).collect()
+    first = {a: min((x, y) for k, _, x, y in rows if k == a) for a in range(7)}
+    assert len(kept) == 7 and {r["a"]: (r["x"], r["y"]) for r in kept} == first
+    assert storage.without_repeats(df, ("a", "b")).count() == 7 and storage.without_repeats(df, ("x", "y")).count() == 4000
+    assert storage.without_repeats(df.where("a > 7"), ("a", "b")).count() == 0
+
+
+def test_shuffles_of_written_tables_leave_the_disks(spark):
+    """They end with the table, and don't wait for the driver's garbage collector."""
+    import time
+
+    disks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disks.getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffles()
+    b = chains.annotate(spark.createDataFrame([(1, "Aaa bbb ccc ddd here. Eee fff."), (2, "Aaa bbb.")], "doc_id long, text string"))
+    held = [storage.written(b.repartition("doc_id")), storage.written(memory.relations(b))]
+    end = time.time() + 10
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffles() - before and [h.count() for h in held] == [3, 4]
