@@ -221,3 +221,11 @@ def test_shuffles_of_written_tables_leave_the_disks(spark):
     while shuffles() - before and time.time() < end:
         time.sleep(0.1)
     assert not shuffles() - before and [h.count() for h in held] == [3, 4]
+
+
+def test_ranks_ask_for_no_documents_of_a_factor(spark):
+    """A factor's frequency is a count; how many documents it has is another question, with a row sent for each of them."""
+    b = spark.createDataFrame([(1, 0, ["A", "B"]), (2, 0, ["A", "B"]), (None, 0, ["A", "C"])], "doc_id long, block_seq int, factors array<string>")
+    df = memory.ranked_co_factors(b)
+    assert "hashpartitioning(doc_id" not in plan(df)
+    assert {(r["factor"], r["co_factor"], r["n"], r["frequency"]) for r in df.collect()} == {("A", "B", 2, 3), ("B", "A", 2, 2), ("A", "C", 1, 3), ("C", "A", 1, 1)}
